@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exactdedup, mixing, sharding
+from . import bpe, exactdedup, langid, mixing, quality, sharding
 
-_MODULES = (sharding, exactdedup, mixing)
+_MODULES = (sharding, quality, exactdedup, langid, mixing, bpe)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
