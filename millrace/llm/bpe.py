@@ -28,7 +28,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
