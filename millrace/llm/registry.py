@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdedup, langid, mixing, quality, sharding
+from . import automaton, bpe, exactdedup, langid, mixing, quality, sharding, suffixdedup
 
-_MODULES = (sharding, quality, exactdedup, langid, mixing, bpe)
+_MODULES = (sharding, quality, exactdedup, suffixdedup, langid, automaton, mixing, bpe)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
