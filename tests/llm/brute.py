@@ -45,3 +45,34 @@ def repeated_words(docs: list[tuple], window: int = 20) -> dict:
                 gone[i : i + window] = b"\1" * window
         out[d] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()))
     return out
+
+
+def jaccard_components(docs: list[tuple], gram: int = 4, percent: int = 85) -> dict:
+    """doc -> (set size, component)."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w)} if 0 < len(w) < gram else {tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)}
+    where: dict[tuple, list] = {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            where.setdefault(s, []).append(d)
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for d in sorted(sets):
+        count: dict = {}
+        for s in sets[d]:
+            for e in where[s]:
+                if e > d:
+                    count[e] = count.get(e, 0) + 1
+        for e, n in count.items():
+            if 100 * n >= percent * (len(sets[d]) + len(sets[e]) - n):
+                x, y = top(d), top(e)
+                up[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), top(d)) for d in sets}
