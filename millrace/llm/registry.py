@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import automaton, bpe, exactdedup, langid, mixing, ngramjoin, quality, sharding, suffixdedup
+from . import automaton, bpe, exactdedup, langid, linededup, mixing, ngramjoin, quality, sharding, suffixdedup
 
-_MODULES = (ngramjoin, sharding, quality, exactdedup, suffixdedup, langid, automaton, mixing, bpe)
+_MODULES = (linededup, ngramjoin, sharding, quality, exactdedup, suffixdedup, langid, automaton, mixing, bpe)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -76,3 +76,16 @@ def jaccard_components(docs: list[tuple], gram: int = 4, percent: int = 85) -> d
                 x, y = top(d), top(e)
                 up[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), top(d)) for d in sets}
+
+
+def normal_line(line: str) -> list[str]:
+    return re.sub(r"[^a-z0\n\x80-\U0010FFFF]", " ", re.sub("[0-9]", "0", line.lower())).split(" ")
+
+
+def distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
