@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .arrowmap import gathered
 from .kernel import ragged
@@ -222,7 +223,6 @@ def _columns(spec: str, text: pa.Array, what: str) -> Iterator[tuple[int, int, l
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with the token ids of its text as array<int>. ``vocabulary``: path of the tokenizers file."""
     spec = open(vocabulary, encoding="utf-8").read()
-    schema = df.schema
     if ids_col in df.columns:
         raise ValueError(f"the table has a column {ids_col}; name another")
 
@@ -232,24 +232,23 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
                 part = t.slice(i, j - i).combine_chunks()
                 yield from part.append_column(ids_col, ids).to_batches()
 
-    return df.mapInArrow(run, _extended(schema, ids_col))
-
-
-def _extended(schema, ids_col: str):
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
-    return StructType([*schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """df with the ids read back as text in ``text_col``, in place of the ids; null ids give null."""
+    """df with its ids read back as text in ``text_col`` (in place of a column of that name); null ids give null."""
     spec = open(vocabulary, encoding="utf-8").read()
+    kept = [f for f in df.schema.fields if f.name != text_col]
 
-    @F.udf("string", useArrow=False)
-    def read(ids):
-        return None if ids is None else _vocabulary(spec).decode(np.asarray(ids, np.int64))
-
-    return df.withColumn(text_col, read(F.col(ids_col))).drop(ids_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(spec)
+        for b in batches:
+            ids = b[ids_col]
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            texts = [v.decode(flat[x:y]) if ok else None for x, y, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), text_col])
+
+    return df.mapInArrow(run, StructType([*kept, StructField(text_col, StringType())]))
 
 
 def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
