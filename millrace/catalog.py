@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import files_queries
+
+_MODULES = (files_queries,)
+QUERIES = {name: query for m in _MODULES for name, query in m.Q.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.O.items()}
