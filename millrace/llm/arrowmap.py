@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
+from functools import cache
 
 import pyarrow as pa
 
 
-def gathered(batches: Iterable[pa.RecordBatch], least: int = 16 << 20, most_rows: int = 200_000) -> Iterator[pa.Table]:
+@cache
+def thrifty() -> None:
+    """Have this worker hand the memory of large arrays back as soon as they go. glibc otherwise raises the size
+    from which it does so to that of the largest array freed, and reused workers then keep their peak."""
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+def release() -> None:
+    """Hand back what Arrow's pool holds unused."""
+    pa.default_memory_pool().release_unused()
+
+
+def gathered(batches: Iterable[pa.RecordBatch], least: int = 8 << 20, most_rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of about ``least`` bytes from smaller batches; an empty input gives none."""
+    thrifty()
     held, size, rows = [], 0, 0
     for b in batches:
         if not b.num_rows:
@@ -18,6 +37,7 @@ def gathered(batches: Iterable[pa.RecordBatch], least: int = 16 << 20, most_rows
         if size >= least or rows >= most_rows:
             yield pa.Table.from_batches(held)
             held, size, rows = [], 0, 0
+            release()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -82,7 +82,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``most`` bytes: first row, last row + 1, bytes, rebased offsets."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -15,8 +15,9 @@ A window is a run of ``window`` units (bytes or words) within one document. Thre
 
 All rows and whole texts take part; nothing is capped. Hashes of 64 bits choose routes and merge equal
 segments; the engines compare contents. Documents are grouped by a hash of the id into ``buckets``
-groups, which must be so many that a group's texts fit a task: the default is eight times
-``spark.sql.shuffle.partitions``, at least 64.
+groups, which must be so many that a group's texts fit a task: the default is twice
+``spark.sql.shuffle.partitions``. What a group sends to a bucket is one row, so that the rows
+are at most the square of that number, and never more than the segments.
 
 Rows of the same id count as one document, in the order of their texts; a null id as a last one.
 """
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowmap import gathered
@@ -41,6 +42,12 @@ _LOW = U64(0xFFFFFFFF)
 _NO_ID = np.iinfo(np.int64).max
 #: Rows of one id are told apart above this bit of a position.
 _ROW_BIT = 40
+#: Parts of a bucket that are solved one after the other, which bounds an engine's memory.
+_PARTS = 8
+
+
+def default_buckets(spark: SparkSession) -> int:
+    return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
 
 
 @dataclass(frozen=True)
@@ -315,7 +322,7 @@ def _segments(u: Units, buckets: int) -> Callable:
                 size = y[heads] - x[heads]
                 item, place = ragged(size)
                 text = c.content[x[heads][item] + place]
-                for s, v in zip(columns, (b, 0, pack(size, content[heads], text, index.astype(np.int64), own[kept[at]], start[kept[at]])), strict=True):
+                for s, v in zip(columns, (b, 0, pack(size, content[heads], (route[heads] // U64(buckets) % U64(_PARTS)).astype(np.uint8), text, index.astype(np.int64), own[kept[at]], start[kept[at]])), strict=True):
                     s.append(v)
         return pa.Table.from_batches([_rows(names, columns, kinds)])
 
@@ -331,18 +338,27 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
     """Pass 2, after the shuffle: windows that occur earlier, for each group of documents."""
     names, kinds = ["part", "payload"], [pa.int32(), pa.binary()]
 
-    def solve(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        got = [unpack(v, np.int64, np.uint64, np.uint8, np.int64, np.int64, np.int64) for v in values]
+    def solve(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        got = [unpack(v, np.int64, np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.int64) for v in values]
         shift = np.cumsum([0, *(len(g[0]) for g in got[:-1])])
-        size, h, text, own, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 4, 5))
-        of = np.concatenate([g[3] + s for g, s in zip(got, shift, strict=True)])
-        # one copy of each content
-        _, head, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(head) == 1 and len(of) == 1:
-            return None
+        size, h, sub, text, own, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 3, 5, 6))
+        of = np.concatenate([g[4] + s for g, s in zip(got, shift, strict=True)])
+        del got
         begin = np.cumsum(size) - size
-        item, place = ragged(size[head])
-        data, size, of = text[begin[head][item] + place], size[head], back[of]
+        for k in range(_PARTS):
+            mine, members = np.flatnonzero(sub == k), np.flatnonzero(sub[of] == k)
+            if len(members) > 1:
+                # one copy of each content
+                _, head, back = np.unique(h[mine], return_index=True, return_inverse=True)
+                at = np.empty(len(size), np.int64)
+                at[mine] = back
+                head = mine[head]
+                item, place = ragged(size[head])
+                found = solve_part(text[begin[head][item] + place], size[head], at[of[members]], own[members], start[members])
+                if found:
+                    yield found
+
+    def solve_part(data: np.ndarray, size: np.ndarray, of: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         count = windows(data, size)
         cls = engine(data, size)
         # first place of each content, then of each class
@@ -388,7 +404,7 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
                 yield _rows(names, [[b], [value]], kinds)
                 continue
             if b != bucket and values:
-                if found := solve(values):
+                for found in solve(values):
                     held.append(found)
                     size += len(found[0])
                 values = []
@@ -397,8 +413,8 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
                     held, size = [], 0
             bucket = b
             values.append(value)
-        if values and (found := solve(values)):
-            held.append(found)
+        if values:
+            held += solve(values)
         if held:
             yield reports()
 
@@ -466,7 +482,7 @@ def remove_repeats(df: DataFrame, u: Units, engine: Engine, windows: Callable, i
     """One row per row of df: doc_id, n_units, n_removed, spans (array of start and end, in units) and
     kept (binary: the bytes or words that stay)."""
     spark = df.sparkSession
-    buckets = (buckets or max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))) | 1
+    buckets = buckets or default_buckets(spark)
     space = Workspace(spark, "repeats")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
