@@ -98,7 +98,9 @@ def entry_target(family: Column, wanted: Column, supported: Sequence[str]) -> Co
     out = F.when(~F.coalesce(able, F.lit(False)) & (family == "image") & (first == "WEBP"), "JPG")
     out = out.when(~F.coalesce(able, F.lit(False)) & (family == "audio"), F.lit("MP3" if "MP3" in supported else "WAV"))
     out = out.when(~F.coalesce(able, F.lit(False)) & (family == "document"), F.lit("PDF" if "PDF" in supported else "TXT"))
-    out = out.when(~F.coalesce(able, F.lit(False)) & (family == "video"), F.lit("MP4" if "MP4" in supported else "WEBM"))
+    video = next((t for t in ("MP4", "WEBM") if t in supported), None)
+    if video:
+        out = out.when(~F.coalesce(able, F.lit(False)) & (family == "video"), F.lit(video))
     return out.otherwise(first)
 
 

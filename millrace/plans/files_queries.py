@@ -123,22 +123,22 @@ def limits(spark, sf_dir):
 
 
 #: What this engine can write: the capability list behind the repaired targets.
-ABLE = ["PNG", "JPG", "SVG", "WAV", "TXT", "MD", "RTF", "PDF", "DOCX", "EPUB", "WEBM"]
+ABLE = ["PNG", "JPG", "SVG", "WAV", "TXT", "MD", "RTF", "PDF", "DOCX", "EPUB"]
 
 
 @_query(
     "targets",
     f"""WITH {CLASSIFIED}, x AS (SELECT *, {i.TARGET_SQL} AS target FROM classified)
 SELECT hid, family, wanted, target,
-  CASE WHEN family = 'image' AND target = 'WEBP' THEN 'JPG' WHEN family = 'audio' AND target NOT IN {i._in(ABLE)} THEN 'WAV'
-    WHEN family = 'video' AND target NOT IN {i._in(ABLE)} THEN 'WEBM' ELSE target END AS repaired,
+  CASE WHEN family = 'image' AND target = 'WEBP' THEN 'JPG' WHEN family = 'audio' AND target NOT IN {i._in(ABLE)} THEN 'WAV' ELSE target END AS repaired,
+  CASE WHEN family = 'video' AND target <> 'WEBM' THEN 'WEBM' ELSE target END AS repaired_video,
   coalesce({" OR ".join(f"(family = '{f}' AND target IN {i._in(v.TARGETS[f])})" for f in v.TARGETS)}, false) AS convertible,
   family = 'document' AND target IN {i._in(v.IGNORES_QUALITY)} AS ignores_quality FROM x""",
 )
 def targets(spark, sf_dir):
     f = classified(spark, sf_dir).withColumn("target", fx.default_target(F.col("family"), F.col("wanted")))
     fam, t = F.col("family"), F.col("target")
-    return f.select("hid", "family", "wanted", "target", fx.entry_target(fam, F.col("wanted"), ABLE).alias("repaired"), fx.convertible(fam, t).alias("convertible"), fx.ignores_quality(fam, t).alias("ignores_quality"))
+    return f.select("hid", "family", "wanted", "target", fx.entry_target(fam, F.col("wanted"), ABLE).alias("repaired"), fx.entry_target(fam, F.col("wanted"), ["WEBM", *v.TARGETS["image"], *v.TARGETS["audio"], *v.TARGETS["document"]]).alias("repaired_video"), fx.convertible(fam, t).alias("convertible"), fx.ignores_quality(fam, t).alias("ignores_quality"))
 
 
 @_query("formats", f"SELECT l_orderkey, l_linenumber, {i.size_sql('CAST(floor(l_extendedprice * l_extendedprice) AS BIGINT)')} AS size_label, {i.kb_sql('l_extendedprice')} AS kb_label FROM lineitem")
