@@ -43,7 +43,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base of the rolling hash, and those of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, b in enumerate((_BASE, _INVERSE)):
             p = np.full(size, b, U64)
             p[0] = 1
@@ -82,7 +82,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``most`` bytes: first row, last row + 1, bytes, rebased offsets."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowmap import gathered
+from .arrowmap import gathered, release, thrifty
 from .kernel import U64, buffers, chunks, mix, powers, prefix_hash, ragged, shingle_hashes, sliding_min, span_hash, starts_within, word_hashes
 from .workspace import Workspace
 
@@ -257,7 +257,9 @@ def _settle(values: list[bytes], hot_entries: int, add: Callable) -> tuple[np.nd
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    thrifty()
     for b in batches:
+        release()
         yield from zip(b["bucket"].to_pylist(), b["kind"].to_pylist(), b["payload"].to_pylist(), strict=True)
 
 
@@ -277,6 +279,8 @@ def _segments(u: Units, buckets: int) -> Callable:
     names, kinds = ["bucket", "kind", "payload"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        thrifty()
+        release()
         empty = pa.Table.from_batches([_rows(names, [[], [], []], kinds)])
         if not docs.num_rows or not told.num_rows:
             return empty
@@ -426,6 +430,8 @@ def _remove(u: Units) -> Callable:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        thrifty()
+        release()
         table, doc, nth = _ordered(docs)
         got = [unpack(v, np.int64, np.int64, np.int64) for v in told["payload"].to_pylist()]
         own, start, n = (np.concatenate([np.zeros(0, np.int64), *(g[k] for g in got)]) for k in range(3))

@@ -197,9 +197,9 @@ def picture_sizes(spark, sf_dir):
     return x.select("l_orderkey", "l_linenumber", rw.alias("rung_w"), rh.alias("rung_h"), F.when(both, cw0).otherwise(cw).alias("canvas_w"), F.when(both, ch0).otherwise(F.lit(1)).alias("canvas_h"), fx.frame_code(w, h).alias("code"))
 
 
-@_query("estimate_rows", f"WITH {PLANNED} SELECT hid, family, target, round(est_kb, 6) AS est_kb, {i.kb_sql('est_kb')} AS est_label FROM planned")
+@_query("estimate_rows", f"WITH {PLANNED} SELECT hid, family, target, CAST(floor(est_kb * 1000 + 0.5) AS BIGINT) AS est_milli, {i.kb_sql('est_kb')} AS est_label FROM planned")
 def estimate_rows(spark, sf_dir):
-    return planned(spark, sf_dir).select("hid", "family", "target", F.round("est_kb", 6).alias("est_kb"), fx.fmt_kb(F.col("est_kb")).alias("est_label"))
+    return planned(spark, sf_dir).select("hid", "family", "target", F.floor(F.col("est_kb") * 1000 + 0.5).cast("long").alias("est_milli"), fx.fmt_kb(F.col("est_kb")).alias("est_label"))
 
 
 def summary_sql(source: str, keys: str, est: str = "sum(est_kb)", inp: str = "sum(size)") -> str:
