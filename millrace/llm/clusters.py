@@ -6,6 +6,9 @@ items, verifies those pairs, and joins what is linked. A key is done when all it
 component; otherwise its pivots, which have met all others, leave it, and the next round takes four
 times as many pivots. So every pair of items that share a key is compared or already joined, in
 a number of rounds that grows with the logarithm of a key's items, and the result is the same as that of all pairs.
+Which items are pivots does not change the result, only the work: a group of near copies has a centre from
+which each copy differs a little, while two copies may differ too much to link. The caller's weight names
+likely centres, so that one pivot joins what would otherwise be compared pair by pair.
 
 Components are found by large and small stars: each round hands every item's larger neighbours
 to the smallest one. All of it is distributed; minima are combined before each shuffle.
@@ -40,29 +43,33 @@ def components(space: Workspace, links: DataFrame) -> DataFrame:
         edges = new
 
 
-def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components of the items of ``keys`` (col, node) under verified links, and those links.
+def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components of the items of ``keys`` (col, node, size, room, weight) under verified links, and those links.
 
-    ``verify`` takes pairs (a, b), a < b, each once, and gives those that are links.
+    ``room`` is the most that an item can have in common with another from this key on, its ``size`` if unknown:
+    if the lesser room is below what both sizes and ``percent`` demand, the two do not meet by this key. Of a key, or of a
+    cell of it, the item of the largest weight is the pivot. ``verify`` takes pairs (a, b), a < b, each
+    once in a round, and gives those that are links.
     """
-    pivots = keys.groupBy("col").agg(F.min("node").alias("pivot"))
+    central = F.struct((-F.col("weight")).alias("order"), "node", "size", "room", "component")
+    rest = keys.select("col", "node", "size", "room", "weight", F.col("node").alias("component"))
+    pivots = rest.groupBy("col").agg(F.min(central).alias("p"))
     links: DataFrame | None = None
     many = FIRST_PIVOTS
-    rest = keys
     while True:
-        met = rest.join(pivots, "col")
-        if links is not None:
-            known = components_now.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-            met = met.join(known, "pivot", "left").where(F.coalesce("pivot_component", "pivot") != F.col("component"))
-        pairs = met.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = pivots.select(F.col("col").alias("key"), F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.room").alias("pivot_room"), F.col("p.component").alias("pivot_component"))
+        near = (100 + percent) * F.least("room", "pivot_room") >= percent * (F.col("size") + F.col("pivot_size"))
+        met = rest.join(chosen, (F.col("col") == F.col("key")) & (F.col("component") != F.col("pivot_component")) & near)
+        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = space.save(verify(pairs).select("a", "b"))
         links = found if links is None else space.save(links.unionByName(found).distinct())
-        components_now = space.save(components(space, links))
-        left = rest.select("col", "node").join(pivots.select("col", F.col("pivot").alias("node")), ["col", "node"], "left_anti")
-        placed = left.join(components_now, "node", "left").select("col", "node", F.coalesce("component", "node").alias("component"))
+        now = space.save(components(space, links))
+        done = chosen.select(F.col("key").alias("col"), F.col("pivot").alias("node"))
+        left = rest.drop("component").join(done, ["col", "node"], "left_anti")
+        placed = left.join(now, "node", "left").select("col", "node", "size", "room", "weight", F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("col")
         rest = space.save(placed.join(mixed, "col", "left_semi"))
         if rest.isEmpty():
-            return components_now, links
-        pivots = rest.groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")).agg(F.min("node").alias("pivot")).drop("cell")
+            return now, links
+        pivots = rest.groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")).agg(F.min(central).alias("p"))
         many *= 4
