@@ -1,8 +1,8 @@
 """Exact dedup by content sort (native).
 
-Texts are normalised (each run of white space becomes one space), range-partitioned by their bytes
-along sampled splitters, and sorted within the partitions, which spills to disk where it must. In
-that order equal texts are neighbours; the window operator walks it, comparing the full bytes of
+Texts are normalised (each run of white space becomes one space), range-partitioned along sampled
+splitters by their first bytes and then a hash of all bytes, and sorted within the partitions by those and
+by the whole texts, which spills to disk where it must. In that order equal texts are neighbours; the window operator walks it, comparing the full bytes of
 neighbours, and the smallest identifier of each run stays.
 
 A text that very many rows hold would fill one range. The most frequent raw texts (at most
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 HOT_TEXTS, HOT_ROWS = 1000, 256
+#: Bytes of a text that a splitter holds; texts with the same ones are told apart by their hash, and then in full.
+SPLITTER_BYTES = 32
 
 
 def normalised(text: Column) -> Column:
@@ -39,8 +41,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts = hot.select("raw", F.ceil(F.col("count") / F.lit(hot_rows)).alias("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id")), F.col("salts")), F.lit(0)).cast("int")
     salted = rows.withColumn("raw", raw).join(F.broadcast(salts), "raw", "left").select("doc_id", normalised(F.col("text")).alias("norm"), salt.alias("salt"))
-    dealt = salted.repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt").orderBy(F.asc_nulls_last("doc_id"))
+    # the sampled splitters come to the driver: a head of the bytes and a hash bound their size, and equal texts share both
+    routed = salted.select("*", F.substring(F.col("norm").cast("binary"), 1, SPLITTER_BYTES).alias("head"), F.xxhash64("norm").alias("hash"))
+    dealt = routed.repartitionByRange("head", "hash", "salt")
+    run = Window.partitionBy("head", "hash", "salt", "norm").orderBy(F.asc_nulls_last("doc_id"))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = space.save(
         dealt.select(
