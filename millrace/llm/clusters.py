@@ -3,8 +3,8 @@
 Items that share a key are candidates. In a group of a thousand items that are all alike, a thousand
 links are as good as half a million: a round compares only some pivots of each key with the key's other
 items, verifies those pairs, and joins what is linked. A key is done when all its items are in one
-component; otherwise its pivots, which have met all others, leave it, and the next round takes four
-times as many pivots. So every pair of items that share a key is compared or already joined, in
+component; otherwise its pivots, which have met all others, leave it, and the next round takes
+sixteen times as many pivots. So every pair of items that share a key is compared or already joined, in
 a number of rounds that grows with the logarithm of a key's items, and the result is the same as that of all pairs.
 Which items are pivots does not change the result, only the work: a group of near copies has a centre from
 which each copy differs a little, while two copies may differ too much to link. The caller's weight names
@@ -37,12 +37,26 @@ def components(space: Workspace, links: DataFrame) -> DataFrame:
         moved = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = space.save(moved.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
         # stars only: no node is both an end and a centre, and every end has one centre
-        ends = new.select("u").distinct()
-        if new.join(ends.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        roles = new.select(F.col("u").alias("node"), F.lit(1).alias("end"), F.lit(0).alias("centre")).unionByName(new.select(F.col("v").alias("node"), F.lit(0).alias("end"), F.lit(1).alias("centre")))
+        if roles.groupBy("node").agg(F.sum("end").alias("end"), F.max("centre").alias("centre")).where("end + centre > 1").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         edges = new
 
 
+def merged(space: Workspace, known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) under the links that gave ``known`` and these too. Only a graph of the known
+    components that the new links touch is searched."""
+    if known is None:
+        return space.save(components(space, links))
+    for end in ("a", "b"):
+        of = known.select(F.col("node").alias(end), F.col("component").alias("__component"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("__component", end)).drop("__component")
+    moved = components(space, links)
+    new = moved.select(F.col("node").alias("component"), F.col("component").alias("__new"))
+    kept = known.join(new, "component", "left").select("node", F.coalesce("__new", "component").alias("component"))
+    return space.save(kept.unionByName(moved.join(known.select("node"), "node", "left_anti").select("node", "component")))
+
+
 def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Components of the items of ``keys`` (col, node, size, room, weight) under verified links, and those links.
 
@@ -55,6 +69,7 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
     rest = keys.select("col", "node", "size", "room", "weight", F.col("node").alias("component"))
     pivots = rest.groupBy("col").agg(F.min(central).alias("p"))
     links: DataFrame | None = None
+    now: DataFrame | None = None
     many = FIRST_PIVOTS
     while True:
         chosen = pivots.select(F.col("col").alias("key"), F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.room").alias("pivot_room"), F.col("p.component").alias("pivot_component"))
@@ -62,8 +77,10 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
         met = rest.join(chosen, (F.col("col") == F.col("key")) & (F.col("component") != F.col("pivot_component")) & near)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = space.save(verify(pairs).select("a", "b"))
-        links = found if links is None else space.save(links.unionByName(found).distinct())
-        now = space.save(components(space, links))
+        # pairs of one component never meet again, so no link is found twice
+        links = found if links is None else links.unionByName(found)
+        if now is None or not found.isEmpty():
+            now = merged(space, now, found)
         done = chosen.select(F.col("key").alias("col"), F.col("pivot").alias("node"))
         left = rest.drop("component").join(done, ["col", "node"], "left_anti")
         placed = left.join(now, "node", "left").select("col", "node", "size", "room", "weight", F.coalesce("component", "node").alias("component"))
@@ -72,4 +89,4 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
         if rest.isEmpty():
             return now, links
         pivots = rest.groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")).agg(F.min(central).alias("p"))
-        many *= 4
+        many *= 16
