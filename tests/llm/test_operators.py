@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.automaton import op8_suffix_automata
 from millrace.llm.bpe import decode, default_vocabulary, encode, op10_bpe
+from millrace.llm.clusters import linked
 from millrace.llm.exactdedup import op5_content_sort_dedup
 from millrace.llm.langid import op7_nearest_centroid
 from millrace.llm.linededup import dedup_lines, op1_fuzzy_lines
@@ -18,6 +19,7 @@ from millrace.llm.ngramjoin import op2_ngram_jaccard
 from millrace.llm.quality import op4_decision_list
 from millrace.llm.sharding import assign_shards, op3_rendezvous_shards
 from millrace.llm.suffixdedup import op6_suffix_dedup
+from millrace.llm.workspace import Workspace
 
 from .brute import WORD, distance, jaccard_components, normal_line, repeated_bytes, repeated_words, sha
 
@@ -77,6 +79,28 @@ def test_jaccard(spark, folder, rows):
     assert by_id(op2_ngram_jaccard(spark, folder), "n_shingles", "component_id") == jaccard_components(pairs(rows))
 
 
+def test_jaccard_of_all_pairs(spark):
+    """Driver's documents at sf0.01, with their near copies, against all pairs."""
+    folder = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert by_id(op2_ngram_jaccard(spark, folder), "n_shingles", "component_id") == jaccard_components(docs)
+
+
+def test_groups_need_no_centre(spark):
+    """Items in a chain under one key: no pivot links to all, and the rounds must find every link."""
+    n = 300
+    keys = spark.range(n).selectExpr("0L AS col", "id AS node", "10L AS size", "10L AS room", "0L AS weight")
+    groups, links = linked(Workspace(spark, "chain"), keys, lambda pairs: pairs.where("b - a <= 1 AND b <> 100"), 80)
+    assert {r.node: r.component for r in groups.collect()} == {k: 0 if k < 100 else 100 for k in range(n)}
+    assert links.count() == n - 2
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one line of some six words", 7, "a", 0), (2, "one line of some six words", 8, None, 1)], "doc_id long, text string, part int, n_lines string, item int")
+    got = dedup_lines(df)
+    assert {(r.doc_id, r.text, r.part, r.item, r.n_lines) for r in got.collect()} == {(1, "one line of some six words", 7, 0, 1), (2, "", 8, 1, 1)}
+
+
 def test_bytes_that_repeat(spark, folder, rows):
     assert by_id(op6_suffix_dedup(spark, folder), "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeated_bytes(pairs(rows))
 
