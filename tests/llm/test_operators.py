@@ -200,3 +200,50 @@ def test_language_held_out(spark):
     got = op7_nearest_centroid(spark, folder).where("held_out AND lang_pred <> 'und'").join(docs, "doc_id").where("lang IS NOT NULL")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("share")).first()
     assert r["share"] > 0.9
+
+
+def removed_lines(docs: list[tuple], least_words: int, percent: int = 80) -> dict:
+    """doc -> numbers of the lines that go, by all pairs of lines."""
+    lines = [(d, k, [w for w in normal_line(x) if w]) for d, t in sorted(docs) for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= least_words]
+    up = list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (_, _, a) in enumerate(lines):
+        for j, (_, _, b) in enumerate(lines[:i]):
+            longer = max(len(a), len(b))
+            if 100 * min(len(a), len(b)) >= percent * longer and 100 * (longer - distance(a, b)) >= percent * longer:
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    out: dict = {d: [] for d, _ in docs}
+    for i, (d, k, _) in enumerate(lines):
+        if top(i) != i:
+            out[d].append(k)
+    return out
+
+
+def edited_lines() -> list[tuple]:
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(2000)]
+    texts = []
+    for n in [5, 6, 8, 10, 12, 15, 16, 17, 19, 20, 21, 24, 25, 30, 35, 40, 41, 49, 50, 52, 60, 63, 100] * 2:
+        line = [r.choice(words) for _ in range(n)]
+        near = list(line)
+        for _ in range(n // 5):  # scattered edits of each kind
+            x = r.randrange(len(near))
+            near[x : x + 1] = r.choice(([r.choice(words)], [r.choice(words)], [], [near[x], r.choice(words)]))
+        texts += [" ".join(line), " ".join(near)]
+    r.shuffle(texts)
+    return [(i, "\n".join(texts[i::20])) for i in range(20)]
+
+
+def test_lines_of_all_pairs(spark):
+    docs = edited_lines()
+    want = removed_lines(docs, 5)
+    assert sum(map(len, want.values())) > 25
+    got = by_id(dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")), "removed")
+    assert {d: x[0] for d, x in got.items()} == want
