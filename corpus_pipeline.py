@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the one before kept, and its decisions take effect: documents that
 the quality rules reject go; repeated lines go, and with them documents of which no word is left; of
-each group of near copies the smallest id stays; documents are sampled to the target mix; what is left
+each group of near copies (Jaccard 0.8 or more of 5-word shingles) the smallest id stays; documents are sampled to the target mix; what is left
 is encoded, and decoded from the ids. All stages but the last return the columns of ``documents``.
 """
 
@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    gone = jaccard_groups(docs, gram=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
@@ -53,8 +53,8 @@ STAGES = [
     ("BPE encoding and decoding", bpe),
 ]
 
-#: The learned rules, the SimHash groups and the merges cannot be stated in SQL; a test runs the
-#: stages against brute force on a small fixture.
+#: The learned rules, the SimHash groups and the merges cannot be stated in SQL; tests run the line and
+#: n-gram stages against brute force on small tables.
 ORACLE_SQL = None
 
 
