@@ -247,3 +247,16 @@ def test_lines_of_all_pairs(spark):
     assert sum(map(len, want.values())) > 25
     got = by_id(dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")), "removed")
     assert {d: x[0] for d, x in got.items()} == want
+
+
+def test_short_lines(spark, tmp_path):
+    """Lines of few words go too, and lines of scripts without spaces count characters."""
+    han = "今天天气很好我们一起去公园散步吧"
+    near = han.replace("公", "花")
+    docs = [(0, f"menu\nabout us\none two three four\n{han}\n---"), (1, f"Menu\nabout us!\none two three four five\n{near}\n---\nabout me"), (2, "the menu\nพิพิธภัณฑ์สถาน"), (3, "พิพิธภัณฑ์สถาณ\nมาก\nมาย")]
+    written(spark, [(d, t, "en", "s", len(t)) for d, t in docs], tmp_path)
+    got = by_id(op1_fuzzy_lines(spark, str(tmp_path)), "removed")
+    assert {d: x[0] for d, x in got.items()} == {0: [], 1: [0, 1, 2, 3], 2: [], 3: [0]}
+    lines = edited_lines() + [(20, "one\ntwo words\nthree words here"), (21, "three words there\ntwo words\none\nthree words here")]
+    got = by_id(dedup_lines(spark.createDataFrame(lines, "doc_id long, text string"), least_words=1), "removed")
+    assert {d: x[0] for d, x in got.items()} == removed_lines(lines, 1)
