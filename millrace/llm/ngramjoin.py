@@ -13,6 +13,8 @@ A document's row is its set of n-grams of words; two documents link when their r
   discarded; for the others a pivot's row is
   multiplied with the block of its partners' rows, which accumulates the overlap counts, and
   entries below the bound that the sizes give are discarded.
+* Links lie within components, so once these are known the links of each row are counted there: in blocks of ``BLOCK``
+  rows against ``BLOCK``, whose counts leave a task and whose pairs do not.
 * A column that many rows share is not paired out: see ``clusters``. A row with few columns of its own is the likely
   centre of its near copies, and the pivot.
 
@@ -40,6 +42,8 @@ from .repeats import _NO_ID, _ids, _key, _part, _rows, _stream, dealt, default_b
 from .workspace import Workspace
 
 GRAM, PERCENT = 4, 85
+#: Rows of a component on each side of a block in which links are counted.
+BLOCK = 512
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +244,51 @@ def _overlaps(percent: int) -> Callable:
     return run
 
 
+def _degrees(percent: int) -> Callable:
+    """Of the rows of two blocks of a component (or of one with itself): how many of the other block's each links with."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        thrifty()
+        release()
+        block, n = t["block"].to_numpy(), t["n"].to_numpy()
+        one, other = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        data, offsets = buffers(t["shared"])
+        col, at = np.unique(data.view(U64), return_inverse=True)
+        ends, mark = offsets // 8, np.zeros(len(col), bool)
+        common = np.zeros((len(one), len(other)), np.int64)
+        for k, r in enumerate(one):
+            own = at[ends[r] : ends[r + 1]]
+            mark[own] = True
+            sums = np.append(0, np.cumsum(mark[at]))
+            common[k] = (sums[ends[1:]] - sums[ends[:-1]])[other]
+            mark[own] = False
+        link = 100 * common >= percent * (n[one][:, None] + n[other][None, :] - common)
+        link &= one[:, None] != other[None, :]
+        degree = np.zeros(len(n), np.int64)
+        degree[one] = link.sum(axis=1)
+        if key[1] != key[2]:
+            degree[other] = link.sum(axis=0)
+        return pa.table({"node": t["node"], "n_links": pa.array(degree)})
+
+    return run
+
+
+def degrees(groups: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links): the links of every row of the components."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    placed = groups.join(sizes, "component")
+    pairs = placed.where("__size = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    blocks = F.ceil(F.col("__size") / BLOCK)
+    block = placed.where("__size > 2").select("node", "component", blocks.alias("__blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    cells = block.join(rows.select("node", "n", "shared"), "node").withColumn("__other", F.explode(F.expr("sequence(0L, __blocks - 1)")))
+    cells = cells.select("component", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "node", "n", "shared", "block")
+    found = cells.groupBy("component", "low", "high").applyInArrow(_degrees(percent), "node long, n_links long")
+    return found.groupBy("node").agg(F.sum("n_links").alias("n_links")).unionByName(pairs)
+
+
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, class_id (smallest id of the same set) and n_links
-    (verified links of the class; those within a component that were not needed to join it are not counted)."""
+    (verified links of the class with other classes)."""
     spark = df.sparkSession
     buckets = buckets or default_buckets(spark)
     space = Workspace(spark, "jaccard")
@@ -267,8 +313,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         side = {s: rows.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"shared_{s}")) for s in "ab"}
         return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b").mapInArrow(_overlaps(percent), "a long, b long")
 
-    groups, links = linked(space, keys, verify, percent)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    groups, _ = linked(space, keys, verify, percent)
+    degree = degrees(groups, rows, percent)
     found = space.save(classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree.withColumnRenamed("node", "class_id"), "class_id", "left"))
     out = matrix.select("doc", "n", "low", "high").join(found, ["low", "high", "n"], "left")
     own = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component", "class_id", "doc"))

@@ -15,7 +15,7 @@ from millrace.llm.exactdedup import op5_content_sort_dedup
 from millrace.llm.langid import op7_nearest_centroid
 from millrace.llm.linededup import dedup_lines, op1_fuzzy_lines
 from millrace.llm.mixing import mix_rows, op9_mix_to_targets, rake
-from millrace.llm.ngramjoin import op2_ngram_jaccard
+from millrace.llm.ngramjoin import jaccard_groups, op2_ngram_jaccard
 from millrace.llm.quality import op4_decision_list
 from millrace.llm.sharding import assign_shards, op3_rendezvous_shards
 from millrace.llm.suffixdedup import op6_suffix_dedup
@@ -260,3 +260,23 @@ def test_short_lines(spark, tmp_path):
     lines = edited_lines() + [(20, "one\ntwo words\nthree words here"), (21, "three words there\ntwo words\none\nthree words here")]
     got = by_id(dedup_lines(spark.createDataFrame(lines, "doc_id long, text string"), least_words=1), "removed")
     assert {d: x[0] for d, x in got.items()} == removed_lines(lines, 1)
+
+
+def test_links_are_counted_in_full(spark, monkeypatch):
+    """Every pair of different texts that links counts, also where the component needed no more links, across blocks too."""
+    monkeypatch.setattr("millrace.llm.ngramjoin.BLOCK", 16, raising=False)
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 60):
+        near = list(base)
+        for _ in range(1 + i % 3):
+            near[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(near)))
+    docs += [(60, docs[0][1]), (61, "some other text that links with none"), (62, "one pair of texts " * 3 + "a b c " * 20), (63, "x one pair of texts " * 1 + "one pair of texts " * 2 + "a b c " * 20)]
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, t in docs for w in [t.split()]}
+    distinct = {frozenset(x) for x in sets.values()}
+    want = {d: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in distinct) for d, x in sets.items()}
+    assert max(want.values()) > 30 and min(want.values()) == 0
+    got = by_id(jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")), "n_links")
+    assert {d: x[0] for d, x in got.items()} == want
