@@ -26,18 +26,19 @@ def release() -> None:
 
 
 def gathered(batches: Iterable[pa.RecordBatch], least: int = 8 << 20, most_rows: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of about ``least`` bytes from smaller batches; an empty input gives none."""
+    """Tables of about ``least`` bytes from smaller batches, and from pieces of larger ones; an empty input gives none."""
     thrifty()
     held, size, rows = [], 0, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size, rows = size + b.nbytes, rows + b.num_rows
-        if size >= least or rows >= most_rows:
-            yield pa.Table.from_batches(held)
-            held, size, rows = [], 0, 0
-            release()
+    for whole in batches:
+        step = max(1, whole.num_rows * least // max(whole.nbytes, 1))
+        for at in range(0, whole.num_rows, step):
+            b = whole.slice(at, step)
+            held.append(b)
+            size, rows = size + b.nbytes, rows + b.num_rows
+            if size >= least or rows >= most_rows:
+                yield pa.Table.from_batches(held)
+                held, size, rows = [], 0, 0
+                release()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import word_hashes
-from .repeats import Units, remove_repeats
+from .kernel import words
+from .repeats import Units, numbered, remove_repeats
 
 WINDOW = 20
 
@@ -102,8 +102,7 @@ class SuffixAutomaton:
 
 def _windows(window: int):
     def count(data: np.ndarray, size: np.ndarray) -> np.ndarray:
-        offsets = np.append(0, np.cumsum(size))
-        first = word_hashes(data, offsets)[3]
+        first = words(data, np.append(0, np.cumsum(size)))[2]
         return np.maximum(np.diff(first) - window + 1, 0)
 
     return count
@@ -111,9 +110,8 @@ def _windows(window: int):
 
 def _engine(window: int):
     def classes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
-        offsets = np.append(0, np.cumsum(size))
-        h, starts, ends, first = word_hashes(data, offsets)
-        numbers = np.unique(h, return_inverse=True)[1].tolist()
+        starts, ends, first = words(data, np.append(0, np.cumsum(size)))
+        numbers = numbered(data.tobytes(), starts, ends).tolist()
         at = first.tolist()
         automaton = SuffixAutomaton()
         sequences = [numbers[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

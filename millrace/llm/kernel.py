@@ -9,6 +9,7 @@ operator says so.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection on 64 bits."""
     x = x ^ (x >> U64(30))
@@ -36,33 +32,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base of the rolling hash, and those of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 18)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+#: Runs of units of any length are hashed by two polynomials over the field of this many elements, each with a base of its own: two different spans
+#: of n units then agree with a probability of (n / PRIME) squared. (A polynomial modulo a power of two would not do: it
+#: confuses the Thue-Morse sequence and its complement, whatever the base.)
+PRIME = U64((1 << 31) - 1)
+_BASES = (0x5A827999 | 1, 0x1B873593)
+_powers: list[list[np.ndarray]] = [[np.ones(1, U64), np.ones(1, U64)] for _ in _BASES]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME but for multiples of it: below 2^33 for 64 bits, and below 2^31 + 4 for what is below 2^33."""
+    return (x & PRIME) + (x >> U64(31))
+
+
+def _powers_of(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a lane's base, and those of its inverse."""
+    held = _powers[lane]
+    if len(held[0]) < n:
+        size = 1 << max(18, int(n - 1).bit_length())
+        prime = int(PRIME)
+        for k, base in enumerate((_BASES[lane], pow(_BASES[lane], -1, prime))):
+            p = np.ones(size, U64)
+            have = 1
+            while have < size:
+                p[have : 2 * have] = p[:have] * U64(pow(base, have, prime)) % PRIME
+                have *= 2
+            held[k] = p
+    return held[0][:n], held[1][:n]
+
+
+def prefix_sums(lanes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of a sequence whose units are numbers below 2^31 in each lane: the sums that span_hash() takes."""
+    out = []
+    for k, x in enumerate(lanes):
+        sums = np.zeros(len(x) + 1, U64)
+        np.cumsum(_fold(x * _powers_of(k, len(x))[0]), out=sums[1:])
+        out.append(sums)
+    return out
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the rolling hash; one more than data has bytes."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTES[data] * up, out=out[1:])
-    return out
+def prefix_of_hashes(h: np.ndarray) -> list[np.ndarray]:
+    """prefix_sums() of units that are 64-bit hashes."""
+    return prefix_sums((h & PRIME, h >> U64(33)))
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
+def span_hash(prefix: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end)."""
+    out = np.zeros(len(starts), U64)
+    for k, sums in enumerate(prefix):
+        down = _powers_of(k, len(sums))[1]
+        x = _fold(_fold(_fold(_fold(sums[ends] - sums[starts]) * down[starts])))
+        x[x >= PRIME] -= PRIME
+        out = (out << U64(31)) | x
+    return mix(out + (np.asarray(ends) - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +135,45 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (little end first), zeros beyond the end; a view."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
+
+
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words() and a 64-bit hash of each."""
+    """words() and a 64-bit hash of each: its length, mixed with eight bytes after eight."""
     starts, ends, first = words(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), starts, ends, first
+    size = ends - starts
+    h, at = mix(size.astype(U64)), loads(data)
+    left = np.flatnonzero(size <= _LONG)
+    for k in range(0, _LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        x = at[starts[left] + k]
+        spare = np.maximum(8 * (8 - (size[left] - k)), 0).astype(U64)
+        h[left] = mix(h[left] ^ (x << spare))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, starts, ends, first
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each place on that has as many."""
+    n = len(data) - gram + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    at, out = loads(data), np.full(n, gram, U64)
+    if gram < 8:
+        return mix(out ^ (at[:n] << U64(8 * (8 - gram))))
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        out = mix(out ^ at[k : k + n])
+    return out
 
 
 _STEPS = mix(np.arange(1, 65, dtype=U64) * U64(0x2545F4914F6CDD1D)) | U64(1)

@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowmap import gathered, release, thrifty
-from .kernel import U64, buffers, chunks, mix, powers, prefix_hash, ragged, shingle_hashes, sliding_min, span_hash, starts_within, word_hashes
+from .kernel import U64, buffers, chunks, gram_hashes, mix, ragged, shingle_hashes, sliding_min, starts_within, word_hashes
 from .workspace import Workspace
 
+#: Bytes of text that a group of documents has, about.
+GROUP_BYTES = 16 << 20
 #: Entries (one for each task that has it) from which on an anchor is dealt by window.
 HOT_ENTRIES = 500
 _LOW = U64(0xFFFFFFFF)
@@ -46,8 +48,15 @@ _ROW_BIT = 40
 _PARTS = 8
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
+def groups_of(docs: DataFrame, text_col: str = "text") -> int:
+    """Groups into which the documents are dealt: so many that a group's texts have about GROUP_BYTES, whatever the input."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES)) | 1
+
+
+def together(docs: DataFrame, told: DataFrame, groups: int):
+    """Groups (part) of both tables side by side, dealt over as many partitions as there are groups."""
+    return docs.repartition(groups, "part").groupBy("part").cogroup(told.repartition(groups, "part").groupBy("part"))
 
 
 @dataclass(frozen=True)
@@ -83,11 +92,7 @@ class Chunk:
 
 def read_chunk(u: Units, data: np.ndarray, offsets: np.ndarray) -> Chunk:
     if not u.words:
-        n = len(data) - u.gram + 1
-        if n <= 0:
-            return Chunk(offsets, None, None, data, np.zeros(0, U64))
-        p = prefix_hash(data)
-        return Chunk(offsets, None, None, data, mix((p[u.gram :] - p[:n]) * powers(n)[1]))
+        return Chunk(offsets, None, None, data, gram_hashes(data, u.gram))
     h, starts, ends, first = word_hashes(data, offsets)
     size = ends - starts + 1  # words, each with one space after it
     word, place = ragged(size)
@@ -274,8 +279,15 @@ def part_column(doc: Column, buckets: int) -> Column:
     return F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 21)).bitwiseXOR(F.shiftrightunsigned(x, 42)), F.lit(buckets)).cast("int")
 
 
+def numbered(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the spans [begin, end) of raw: equal contents, equal numbers."""
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(raw[x:y], len(known)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
+
+
 def _segments(u: Units, buckets: int) -> Callable:
-    """Pass 2, before the shuffle. Kind 0: contents and where they are; kind 1: windows settled here."""
+    """Pass 2, before the shuffle. Kind 0: contents and their first two places here; kind 1: later places, each with the second
+    place of its content, for the same group of documents."""
     names, kinds = ["bucket", "kind", "payload"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -305,28 +317,34 @@ def _segments(u: Units, buckets: int) -> Callable:
             if not len(low):
                 continue
             x, y = c.span(low, high + u.window)
-            content = span_hash(prefix_hash(c.content), x, y)
-            route = np.concatenate([a.hash[is_cold], content[int(is_cold.sum()) :]])
+            # a route is a function of the content: of the anchor, or of the ends of the window
+            route = c.grams[low[int(is_cold.sum()) :]] ^ mix(c.grams[low[int(is_cold.sum()) :] + u.window - u.gram])
+            route = np.concatenate([a.hash[is_cold], mix(route)])
             own, start = doc[i + row], low - c.first[row] + (nth[i + row] << _ROW_BIT)
-            # the first place of each content; other places of it are later
+            content = numbered(c.content.tobytes(), x, y)
+            # the first place of each content, and of the later ones the next: what it loses, all later ones lose
             order = np.lexsort((start, own, content))
-            new = np.append(True, content[order][1:] != content[order][:-1])
-            group = np.cumsum(new) - 1
-            head = order[np.flatnonzero(new)]
-            later = ~new if u.within else own[order] > own[head][group]
-            gone, kept = order[later], order[~later]
-            if len(gone):
-                for p, at in dealt(_part(own[gone], buckets)):
-                    for s, v in zip(columns, (p, 1, pack(own[gone[at]], start[gone[at]], (high - low + 1)[gone[at]])), strict=True):
-                        s.append(v)
-            of = group[~later]
-            for b, at in dealt((route[kept] % U64(buckets)).astype(np.int64)):
+            group = content[order]
+            head = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]))]
+            later = own[order] > own[head][group]
+            if u.within:
+                later = np.append(False, group[1:] == group[:-1])
+            second = later & np.append(True, (group[1:] != group[:-1]) | ~later[:-1])
+            next_place = np.full(len(head), -1, np.int64)
+            next_place[group[second]] = order[second]
+            more = later & ~second
+            if more.any():
+                at, like = order[more], next_place[group[more]]
+                for s, v in zip(columns, (key[0].as_py(), 1, pack(own[like], start[like], (high - low + 1)[at], own[at], start[at])), strict=True):
+                    s.append(v)
+            sent, of = order[~more], group[~more]
+            for b, at in dealt((route[sent] % U64(buckets)).astype(np.int64)):
                 mine, index = np.unique(of[at], return_inverse=True)
                 heads = head[mine]
                 size = y[heads] - x[heads]
                 item, place = ragged(size)
                 text = c.content[x[heads][item] + place]
-                for s, v in zip(columns, (b, 0, pack(size, content[heads], (route[heads] // U64(buckets) % U64(_PARTS)).astype(np.uint8), text, index.astype(np.int64), own[kept[at]], start[kept[at]])), strict=True):
+                for s, v in zip(columns, (b, 0, pack(size, (route[heads] // U64(buckets) % U64(_PARTS)).astype(np.uint8), text, index.astype(np.int64), own[sent[at]], start[sent[at]])), strict=True):
                     s.append(v)
         return pa.Table.from_batches([_rows(names, columns, kinds)])
 
@@ -340,55 +358,62 @@ Engine = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
     """Pass 2, after the shuffle: windows that occur earlier, for each group of documents."""
-    names, kinds = ["part", "payload"], [pa.int32(), pa.binary()]
+    names, kinds = ["part", "kind", "payload"], [pa.int32(), pa.int32(), pa.binary()]
 
     def solve(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        got = [unpack(v, np.int64, np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.int64) for v in values]
+        got = [unpack(v, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int64) for v in values]
         shift = np.cumsum([0, *(len(g[0]) for g in got[:-1])])
-        size, h, sub, text, own, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 3, 5, 6))
-        of = np.concatenate([g[4] + s for g, s in zip(got, shift, strict=True)])
+        size, sub, text, own, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 4, 5))
+        of = np.concatenate([g[3] + s for g, s in zip(got, shift, strict=True)])
         del got
-        begin = np.cumsum(size) - size
+        begin, raw = np.cumsum(size) - size, text.tobytes()
         for k in range(_PARTS):
             mine, members = np.flatnonzero(sub == k), np.flatnonzero(sub[of] == k)
             if len(members) > 1:
-                # one copy of each content
-                _, head, back = np.unique(h[mine], return_index=True, return_inverse=True)
-                at = np.empty(len(size), np.int64)
-                at[mine] = back
-                head = mine[head]
-                item, place = ragged(size[head])
-                found = solve_part(text[begin[head][item] + place], size[head], at[of[members]], own[members], start[members])
+                number = np.empty(len(size), np.int64)
+                number[mine] = numbered(raw, begin[mine], begin[mine] + size[mine])
+                found = solve_part(text, begin, size, number, of[members], own[members], start[members])
                 if found:
                     yield found
 
-    def solve_part(data: np.ndarray, size: np.ndarray, of: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def solve_part(text: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, of: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        # the engine gets a content once for its first place, and once more for all others if there are any
+        order = np.lexsort((start, own, number[of]))
+        group = number[of][order]
+        lead = np.append(True, group[1:] != group[:-1])
+        nth = np.arange(len(order)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        new = nth < 2
+        given = order[new]  # the first place of each copy that the engine gets
+        copy = np.empty(len(order), np.int64)
+        copy[order] = np.cumsum(new) - 1
+        heads = of[given]
+        item, place = ragged(size[heads])
+        data, size = text[begin[heads][item] + place], size[heads]
         count = windows(data, size)
         cls = engine(data, size)
-        # first place of each content, then of each class
-        order = np.lexsort((start, own, of))
-        lead = order[np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))]
-        c_own, c_start = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-        c_own[of[lead]], c_start[of[lead]] = own[lead], start[lead]
+        # first place of each class
         content, t = ragged(count)
-        w_own, w_start = c_own[content], c_start[content] + t
+        w_own, w_start = own[given][content], start[given][content] + t
         by = np.lexsort((w_start, w_own, cls))
         top = by[np.flatnonzero(np.append(True, cls[by][1:] != cls[by][:-1]))]
-        f_own, f_start = np.empty(int(cls.max()) + 1, np.int64), np.empty(int(cls.max()) + 1, np.int64)
-        f_own[cls[top]], f_start[cls[top]] = w_own[top], w_start[top]
-        # the windows of each member
-        member, t = ragged(count[of])
-        at = cls[(np.cumsum(count) - count)[of][member] + t]
+        first = np.empty(int(cls.max()) + 1, np.int64)
+        first[cls[top]] = top
+        # the windows of each place
+        member, t = ragged(count[copy])
+        at = (np.cumsum(count) - count)[copy][member] + t
+        earliest = first[cls[at]]
         m_own, m_start = own[member], start[member] + t
-        gone = f_own[at] < m_own
+        gone = w_own[earliest] < m_own
         if u.within:
-            gone |= (f_own[at] == m_own) & (f_start[at] < m_start)
+            gone |= (w_own[earliest] == m_own) & (w_start[earliest] < m_start)
+        # only what the engine found equal to another window of its input
+        gone &= earliest != at
         m_own, m_start = m_own[gone], m_start[gone]
         if not len(m_own):
             return None
         new = np.append(True, (m_own[1:] != m_own[:-1]) | (m_start[1:] != m_start[:-1] + 1))
-        first = np.flatnonzero(new)
-        return m_own[first], m_start[first], np.diff(np.append(first, len(m_own)))
+        head = np.flatnonzero(new)
+        return m_own[head], m_start[head], np.diff(np.append(head, len(m_own)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -396,16 +421,16 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
 
         def reports() -> pa.RecordBatch:
             own, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            columns: list[list] = [[], []]
+            columns: list[list] = [[], [], []]
             for p, at in dealt(_part(own, buckets)):
-                columns[0].append(p)
-                columns[1].append(pack(own[at], start[at], n[at]))
+                for x, y in zip(columns, (p, 0, pack(own[at], start[at], n[at])), strict=True):
+                    x.append(y)
             return _rows(names, columns, kinds)
 
         bucket, values = None, []
         for b, kind, value in _stream(batches):
-            if kind == 1:  # as it is, to the documents that it names
-                yield _rows(names, [[b], [value]], kinds)
+            if kind == 1:  # as it is, to the group that it came from
+                yield _rows(names, [[b], [1], [value]], kinds)
                 continue
             if b != bucket and values:
                 for found in solve(values):
@@ -433,10 +458,30 @@ def _remove(u: Units) -> Callable:
         thrifty()
         release()
         table, doc, nth = _ordered(docs)
-        got = [unpack(v, np.int64, np.int64, np.int64) for v in told["payload"].to_pylist()]
-        own, start, n = (np.concatenate([np.zeros(0, np.int64), *(g[k] for g in got)]) for k in range(3))
-        which = np.searchsorted(doc, own) + (start >> _ROW_BIT)
-        start = start & ((1 << _ROW_BIT) - 1)
+        values = list(zip(told["kind"].to_pylist(), told["payload"].to_pylist(), strict=True))
+        none = np.zeros(0, np.int64)
+
+        def placed(own: np.ndarray, start: np.ndarray) -> np.ndarray:
+            """Row and start of a window in one number."""
+            return (np.searchsorted(doc, own) << _ROW_BIT) + start
+
+        got = [unpack(v, *[np.int64] * 3) for k, v in values if k == 0]
+        own, start, n = (np.concatenate([none, *(g[k] for g in got)]) for k in range(3))
+        at = placed(own, start)
+        # runs of windows that go
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        ends = np.maximum.accumulate(at + n) if len(at) else none
+        new = np.append(True, at[1:] > ends[:-1]) if len(at) else np.zeros(0, bool)
+        begin, end = at[new], ends[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else none
+        # places that lose what the second place of their content loses
+        like_own, like_start, size, own, start = (np.concatenate([none, *(g[k] for g in (unpack(v, *[np.int64] * 5) for k, v in values if k == 1))]) for k in range(5))
+        like = placed(like_own, like_start)
+        run_of_like = np.searchsorted(begin, like, "right") - 1
+        lost = run_of_like >= 0
+        lost[lost] = like[lost] + size[lost] <= end[run_of_like[lost]]
+        at, n = np.append(at, placed(own, start)[lost]), np.append(n, size[lost])
+        which, start = at >> _ROW_BIT, at & ((1 << _ROW_BIT) - 1)
         order = np.argsort(which, kind="stable")
         which, start, n = which[order], start[order], n[order]
         units, removed, kept, runs, run_of = [], [], [], [], []
@@ -470,7 +515,6 @@ def _remove(u: Units) -> Callable:
                 kept += [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         flat = np.concatenate([np.zeros((0, 2), np.int64), *runs])
         offsets = np.searchsorted(np.concatenate([np.zeros(0, np.int64), *run_of]), np.arange(table.num_rows + 1))
-        none = np.zeros(0, np.int64)
         return pa.table(
             {
                 "doc_id": table["doc_id"],
@@ -487,20 +531,19 @@ def _remove(u: Units) -> Callable:
 def remove_repeats(df: DataFrame, u: Units, engine: Engine, windows: Callable, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """One row per row of df: doc_id, n_units, n_removed, spans (array of start and end, in units) and
     kept (binary: the bytes or words that stay)."""
-    spark = df.sparkSession
-    buckets = buckets or default_buckets(spark)
-    space = Workspace(spark, "repeats")
+    space = Workspace(df.sparkSession, "repeats")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = buckets or groups_of(docs)
 
     def streamed(x: DataFrame) -> DataFrame:
-        return x.repartition("bucket").sortWithinPartitions("bucket", "kind")
+        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     entries = streamed(docs.mapInArrow(_propose(u, buckets), "bucket int, kind int, payload binary"))
     told = space.save(entries.mapInArrow(_count(buckets, hot_entries), "part int, hot boolean, payload binary"))
 
     grouped = docs.select(part_column(F.col("doc_id"), buckets).alias("part"), "doc_id", "text")
-    segments = grouped.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_segments(u, buckets), "bucket int, kind int, payload binary")
-    reports = space.save(streamed(segments).mapInArrow(_judge(u, buckets, engine, windows), "part int, payload binary"))
+    segments = together(grouped, told, buckets).applyInArrow(_segments(u, buckets), "bucket int, kind int, payload binary")
+    reports = space.save(streamed(segments).mapInArrow(_judge(u, buckets, engine, windows), "part int, kind int, payload binary"))
 
     out = "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return grouped.groupBy("part").cogroup(reports.groupBy("part")).applyInArrow(_remove(u), out)
+    return together(grouped, reports, buckets).applyInArrow(_remove(u), out)
