@@ -21,7 +21,10 @@ from millrace.llm.workspace import Workspace
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, rules).where("kept").select(*docs.columns)
+    judged = "judged"
+    while judged in docs.columns:
+        judged += "_"
+    return judge(docs, rules, out=judged).where(F.col(judged)["kept"]).drop(judged)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
