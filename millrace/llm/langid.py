@@ -8,12 +8,13 @@ what training documents of that centroid had (their lowest hundredth, less a mar
 rejected; ``predict`` can turn that into ``und``, the query must name a learned language
 and gives the mark as a further column.
 
-Training takes at most ``per_language`` labelled documents of each of at most ``most_languages``
-languages (those of the smallest hash; documented bounds), so that the model has a fixed size: 8 KB a centroid.
-Whole texts are used in training and prediction. lang, source and doc_id are no inputs of a prediction.
+Training takes at most ``sample_rows`` labelled documents, the same number of each language and at most ``per_language`` (those of
+the smallest hash): a documented bound of the sample, in which every language has its part. Their vectors stay on the executors, where
+each language is clustered by a task of its own; the centroids come to the driver, 8 KB each and no more than the sample has
+rows. Whole texts are used in training and prediction. lang, source and doc_id are no inputs of a prediction.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if
-nothing could be learned; ties go to the first centroid in alphabetical order of the languages;
+nothing could be learned; very long texts are counted whole; ties go to the first centroid in alphabetical order of the languages;
 repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .arrowmap import gathered
 from .kernel import buffers, chunks
+from .workspace import Workspace
 
 DIMENSIONS = 2048
-PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+PER_LANGUAGE, SAMPLE_ROWS = 400, 20_000
 UND = "und"
 
 
@@ -126,39 +128,56 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return centres, of
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, clusters: int = 4, margin: float = 0.05) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, clusters: int = 4, margin: float = 0.05) -> Model:
     """Learn from the rows of df that have text, language and id; the caller leaves out held-out rows."""
-    usable = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
-    # the limit within a language is applied before the shuffle as well (window group limit)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.join(F.broadcast(common), "lang", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("id", "lang")
-    rows = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
+    space = Workspace(df.sparkSession, "langid")
+    usable = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = usable.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = space.save(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows))
+    languages = counted.count()
+    if not languages:
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
+    each = max(1, min(per_language, sample_rows // languages))
+    # of a large language only rows of a small hash go on, some twice as many as are taken, so that no task gets all of its rows
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("draw")), 11).cast("double") / F.lit(float(1 << 53))
+    drawn = rows.join(F.broadcast(counted), "lang").where(draw * F.col("count") <= F.lit(2.0 * each + 100)).drop("count")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("draw")), "id", F.xxhash64("text"))
+    chosen = drawn.where(F.col("text").rlike(r"\p{L}")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches):
             v = vectors(t["text"].combine_chunks())
-            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks().cast(pa.int64()), t["lang"].combine_chunks().cast(pa.string()), pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary())], names=["id", "lang", "counts"])
-
-    got = rows.select(F.col("id").cast("long").alias("id"), "lang", "text").mapInArrow(count, "id long, lang string, counts binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["id"], r["counts"]))
-    if not got:
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), t["lang"].combine_chunks().cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "lang", "counts"])
+
+    sample = space.save(chosen.select("id", "lang", "text").mapInArrow(count, "id long, lang string, counts binary"))
+
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, seen = 0, np.zeros(DIMENSIONS, np.int64)
+        for b in batches:
+            v = _matrix(b["counts"])
+            rows, seen = rows + len(v), seen + (v > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([seen.tobytes()], pa.binary())], names=["rows", "seen"])
+
+    parts = sample.mapInArrow(frequency, "rows long, seen binary").collect()
+    total, seen = sum(p.rows for p in parts), sum(np.frombuffer(p.seen, np.int64) for p in parts)
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
+
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("counts", "ascending")])
+        own = _scaled(np.log1p(_matrix(table["counts"])) * idf)
+        centres, of = _kmeans(own, clusters)
+        near = np.einsum("ij,ij->i", own, centres[of])
+        floors = [float(np.quantile(near[of == k], 0.01)) - margin if (of == k).any() else 1.0 for k in range(len(centres))]
+        return pa.table({"lang": table["lang"].slice(0, 1).to_pylist() * len(centres), "k": list(range(len(centres))), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary()), "floor": floors})
+
+    found = sorted(sample.groupBy("lang").applyInArrow(cluster, "lang string, k long, centre binary, floor double").collect(), key=lambda r: (r.lang, r.k))
+    if not found:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in got])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _scaled(np.log1p(counts) * idf)
-    names = np.array([r["lang"] for r in got])
-    languages, centres, floors = [], [], []
-    for lang in sorted(set(names)):
-        own = x[names == lang]
-        c, of = _kmeans(own, clusters)
-        near = np.einsum("ij,ij->i", own, c[of])
-        for k in range(len(c)):
-            languages.append(str(lang))
-            centres.append(c[k])
-            floors.append(float(np.quantile(near[of == k], 0.01)) - margin if (of == k).any() else 1.0)
-    return Model(languages, np.stack(centres).astype(np.float32), idf, np.array(floors))
+    return Model([r.lang for r in found], np.stack([np.frombuffer(r.centre, np.float32) for r in found]), idf, np.array([r.floor for r in found]))
+
+
+def _matrix(counts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return buffers(counts)[0].view(np.float32).reshape(-1, DIMENSIONS)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: bool = False) -> DataFrame:
