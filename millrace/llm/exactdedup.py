@@ -5,15 +5,15 @@ splitters by their first bytes and then a hash of all bytes, and sorted within t
 by the whole texts, which spills to disk where it must. In that order equal texts are neighbours; the window operator walks it, comparing the full bytes of
 neighbours, and the smallest identifier of each run stays.
 
-A text that very many rows hold would fill one range. The most frequent raw texts (at most
-``hot_texts``, found by counting a 64-bit hash over all rows with partial sums) are therefore dealt
-over several cells by a salt after the text, in proportion to their count, so that no cell has
-many more than ``hot_rows`` rows. What the cells of one text found is merged by the SHA-256 of the
-text; only texts that have several cells take part, which are at most ``hot_texts``, so that the
-merged table has a proven bound and is broadcast. Neither number changes the result.
+A text that very many rows hold would fill one range. Texts are therefore counted by a 64-bit hash of what they are
+normalised to (all rows, with partial sums), and one that holds more than a ``1 / HOT_SHARE`` of the rows (and more than
+``hot_rows``) is dealt over several cells by a salt after the text, in proportion to its count. At most HOT_SHARE
+texts can hold so much, so the table of salts, which is broadcast, has a proven bound without leaving any out. What the cells
+of one text found is merged by the SHA-256 of the text; only texts of several cells take part, so that this table has the same
+bound. Neither number changes the result.
 
 Defined cases: a null text counts as empty; a null doc_id loses against any other; of rows that
-repeat both text and id one stays; an empty table gives an empty result; further columns are ignored.
+repeat both text and id one stays (and ties are no others); very long texts are sorted and compared whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-HOT_TEXTS, HOT_ROWS = 1000, 256
+HOT_SHARE, HOT_ROWS = 1 << 16, 256
 #: Bytes of a text that a splitter holds; texts with the same ones are told apart by their hash, and then in full.
 SPLITTER_BYTES = 32
 
@@ -32,17 +32,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = HOT_TEXTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256."""
     space = Workspace(df.sparkSession, "exact")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    raw = F.xxhash64("text").alias("raw")
-    hot = rows.groupBy(raw).count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "raw").limit(hot_texts)
-    salts = hot.select("raw", F.ceil(F.col("count") / F.lit(hot_rows)).alias("salts"))
+    rows = df.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("hash", F.xxhash64("norm"))
+    least = max(hot_rows, -(-df.count() // HOT_SHARE))
+    hot = rows.groupBy("hash").count().where(F.col("count") > least)
+    salts = hot.select("hash", F.ceil(F.col("count") / F.lit(least)).alias("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id")), F.col("salts")), F.lit(0)).cast("int")
-    salted = rows.withColumn("raw", raw).join(F.broadcast(salts), "raw", "left").select("doc_id", normalised(F.col("text")).alias("norm"), salt.alias("salt"))
+    salted = rows.join(F.broadcast(salts), "hash", "left").select("doc_id", "norm", "hash", salt.alias("salt"))
     # the sampled splitters come to the driver: a head of the bytes and a hash bound their size, and equal texts share both
-    routed = salted.select("*", F.substring(F.col("norm").cast("binary"), 1, SPLITTER_BYTES).alias("head"), F.xxhash64("norm").alias("hash"))
+    routed = salted.select("*", F.substring(F.col("norm").cast("binary"), 1, SPLITTER_BYTES).alias("head"))
     dealt = routed.repartitionByRange("head", "hash", "salt")
     run = Window.partitionBy("head", "hash", "salt", "norm").orderBy(F.asc_nulls_last("doc_id"))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
