@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (native).
 
 Tokens are counted for each cell (source, language, topic). Raking scales the cells' weights to the
-source, language and topic marginals in turn until all three hold. The ratio of a cell's weight to
+source, language and topic marginals in turn until the largest error of a marginal is below ``TOLERANCE``, or the rounds
+are used up; marginals that contradict each other never meet, and the error that remains is told. The ratio of a cell's weight to
 its tokens, scaled so that the expected sample has the wanted share of all tokens and no document
 is wanted more than once, is the probability with which each of its documents is kept; the draw is
 a hash of the document's id, so that it repeats.
@@ -14,8 +15,8 @@ The cells are few against the documents. Where they are at most ``BOUND_CELLS``
 assumed) they are raked in one task and broadcast; beyond that the same statements run distributed.
 
 Defined cases: null source, language or text form a category of their own (null text: topic
-``none``); a document without words has no tokens, probability 0, and is not kept; ids that repeat
-share their draw; an empty table gives an empty result. Further columns are ignored by
+``none``); a document without words has no tokens, probability 0, and is not kept; very long texts count whole; ids that repeat
+share their draw; ties do not arise, as a draw equals a probability in one case of 2^53 and then loses; an empty table gives an empty result. Further columns are ignored by
 ``op9`` and kept by ``sample_mix``.
 """
 
@@ -33,6 +34,8 @@ BOUND_CELLS = 50_000
 #: Powers by which the shares of the corpus become targets.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 _NAMES = ("source", "lang", "topic")
+#: Largest error of a marginal, as a share of the whole, at which raking ends; rounds at once, and at most.
+TOLERANCE, ROUNDS_AT_ONCE, MOST_ROUNDS = 1e-6, 6, 120
 
 
 def token_count(text: Column) -> Column:
@@ -55,13 +58,16 @@ def surface_topic(text: Column) -> Column:
     )
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 12) -> DataFrame:
-    """Cells (source, lang, topic, n_tokens) with the raked ``weight``; weights sum to 1.
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, space: Workspace | None = None) -> DataFrame:
+    """Cells (source, lang, topic, n_tokens) with the raked ``weight``, which sum to 1, and ``error``: the largest difference of a
+    marginal from its target that is left, the same in all rows.
 
     A name that ``targets[column]`` lacks gets the target 0; a column that it lacks gets the default.
     """
+    space = space or Workspace(cells.sparkSession, "rake")
     over = {c: Window.partitionBy(c) for c in _NAMES}
-    out = cells
+    few = cells.count() <= BOUND_CELLS
+    out = (cells.coalesce(1) if few else cells).select(*_NAMES, "n_tokens")
     for c in _NAMES:
         out = out.withColumn(f"__n_{c}", F.sum("n_tokens").over(over[c]).cast("double"))
     raw = {}
@@ -78,11 +84,19 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     for c in _NAMES:
         out = out.withColumn(f"__t_{c}", raw[c] / F.lit(total[c]))
     out = out.withColumn("weight", F.col("n_tokens").cast("double"))
-    for _ in range(rounds):
-        for c in _NAMES:
-            held = F.sum("weight").over(over[c])
-            out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"__t_{c}") / held).otherwise(0.0))
-    return out.select(*_NAMES, "n_tokens", "weight")
+    error, done = 1.0, 0
+    while done < MOST_ROUNDS:
+        for _ in range(ROUNDS_AT_ONCE):
+            for c in _NAMES:
+                held = F.sum("weight").over(over[c])
+                out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"__t_{c}") / held).otherwise(0.0))
+        out, done = space.save(out), done + ROUNDS_AT_ONCE
+        out = out.coalesce(1) if few else out
+        gaps = out.select(*(F.abs(F.sum("weight").over(over[c]) - F.col(f"__t_{c}")).alias(c) for c in _NAMES)).agg(*(F.max(c).alias(c) for c in _NAMES)).first()
+        before, error = error, max(gaps[c] or 0.0 for c in _NAMES)
+        if error < TOLERANCE or abs(before - error) < TOLERANCE / 100:
+            break
+    return out.select(*_NAMES, "n_tokens", "weight", F.lit(error).alias("error"))
 
 
 def calibrate(cells: DataFrame, share: float) -> DataFrame:
@@ -104,7 +118,7 @@ def calibrate(cells: DataFrame, share: float) -> DataFrame:
 
 
 def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = 0.5, seed: int = 9001) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, prob, sampled."""
+    """One row per document: doc_id, source, lang, topic, n_tokens, prob, sampled, and the error that raking left (null without tokens)."""
     spark = df.sparkSession
     space = Workspace(spark, "mixing")
     text = F.col(text_col)
@@ -112,13 +126,13 @@ def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rows = space.save(rows)
     cells = space.save(rows.where("n_tokens > 0").groupBy(*_NAMES).agg(F.sum("n_tokens").alias("n_tokens")))
     few = cells.count() <= BOUND_CELLS
-    raked = space.save(rake(cells.coalesce(1) if few else cells, targets))
-    probs = calibrate(raked, share).select(*(F.col(c).alias(f"__{c}") for c in _NAMES), "prob")
+    raked = rake(cells, targets, space)
+    probs = calibrate(raked, share).select(*(F.col(c).alias(f"__{c}") for c in _NAMES), "prob", "error")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _NAMES]
     joined = rows.join(F.broadcast(probs) if few else probs, same[0] & same[1] & same[2], "left")
     prob = F.when(F.col("n_tokens") > 0, F.coalesce("prob", F.lit(0.0))).otherwise(0.0)
     draw = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return joined.select("doc_id", *_NAMES, "n_tokens", prob.alias("prob"), (draw < prob).alias("sampled"))
+    return joined.select("doc_id", *_NAMES, "n_tokens", prob.alias("prob"), (draw < prob).alias("sampled"), F.col("error").alias("rake_error"))
 
 
 def sample_mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
