@@ -6,7 +6,8 @@ proportion to its weight, and a shard that is added takes records only into itse
 the others do not change. A key alone decides, so the law is ``key``.
 
 Defined cases: a null key is hashed like a value of its own, so all null keys share a shard; rows
-with equal keys share a shard and are numbered one by one; a null text has no bytes and the CRC of
+with equal keys share a shard and are numbered one by one, those that agree in every column
+in any order; equal scores go to the larger shard number; very long texts count by all of their bytes; a null text has no bytes and the CRC of
 the empty text; an empty table gives an empty result; further columns are kept by
 ``assign_shards`` and ignored by the query.
 """
@@ -57,16 +58,16 @@ def number_slots(df: DataFrame, key: str = "doc_id", shard_col: str = "shard", s
     """Number the rows of every shard from 0 without gaps.
 
     No shard is sorted in one task: rows are numbered within (shard, cell), a cell being a hash
-    range of the key, and the counts of the cells before are added. The table of counts has at most
+    of the whole row, so that rows of one key spread too, and the counts of the cells before are added. The table of counts has at most
     shards x cells rows, and no more rows than df has groups, which bounds what is broadcast.
     """
     cells = cells or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cell = "__cell"
-    rows = df.withColumn(cell, F.pmod(F.xxhash64(F.col(key), F.lit("cell")), F.lit(cells)).cast("int"))
+    rows = df.withColumn(cell, F.pmod(F.xxhash64(*(F.col(c) for c in df.columns), F.lit("cell")), F.lit(cells)).cast("int"))
     counts = rows.groupBy(shard_col, cell).count()
     before = Window.partitionBy(shard_col).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(shard_col), F.col(cell), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(shard_col, cell).orderBy(F.col(key)))
+    rank = F.row_number().over(Window.partitionBy(shard_col, cell).orderBy(F.col(key), F.xxhash64(*(F.col(c) for c in df.columns))))
     ranked = rows.withColumn("__rank", rank)
     joined = ranked.join(F.broadcast(offsets), [shard_col, cell])
     return joined.withColumn(slot_col, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop(cell, "__rank", "__before")
