@@ -38,12 +38,16 @@ from pyspark.sql import functions as F
 from .arrowmap import gathered, release, thrifty
 from .clusters import linked
 from .kernel import LOWER, U64, buffers, chunks, mix, shingle_hashes, starts_within, word_hashes
-from .repeats import _NO_ID, _ids, _key, _part, _rows, _stream, dealt, default_buckets, pack, part_column, unpack
+from .repeats import _NO_ID, _ids, _key, _part, _rows, _stream, dealt, groups_of, pack, part_column, together, unpack
 from .workspace import Workspace
 
 GRAM, PERCENT = 4, 85
 #: Rows of a component on each side of a block in which links are counted.
 BLOCK = 512
+#: Bytes of rows in such a block, about.
+BLOCK_BYTES = 4 << 20
+#: Columns of a block of the product: those whose hashes share so many bits, or so many columns at once.
+_BLOCK_BITS, _DENSE = 3, 4096
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +163,12 @@ def _frequencies(buckets: int) -> Callable:
     return run
 
 
-_ROW = "doc long, n long, low long, high long, prefix array<long>, shared binary"
+_ROW = "doc long, copies array<long>, n long, low long, high long, prefix array<long>, shared binary"
 
 
 def _matrix(gram: int, percent: int) -> Callable:
-    """Rows of the matrix: size, digest of the set, the columns that propose, and all shared columns. The last two only for the
-    smallest id of equal sets in the group, and only if the bound leaves columns that propose."""
+    """Rows of the matrix, one for each set of the group: its smallest id, all of its ids, size, digest of the set, and, if the bound
+    leaves columns that propose, these and all shared columns. Empty sets, and those of rows without an id, have a row each."""
 
     def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         thrifty()
@@ -178,7 +182,6 @@ def _matrix(gram: int, percent: int) -> Callable:
         n, low, high = (np.zeros(total, np.int64) for _ in range(3))
         prefix: list = [None] * total
         shared: list = [None] * total
-        seen: dict[tuple[int, int], int] = {}
         for i, j, d, o in chunks(*buffers(docs["text"])):
             row, h = row_sets(d, o, gram)
             first = np.searchsorted(row, np.arange(j - i + 1))
@@ -200,74 +203,105 @@ def _matrix(gram: int, percent: int) -> Callable:
             for r in np.flatnonzero((proposing > 0) & (own > 0)):
                 if doc[i + r] == _NO_ID:
                     continue
-                same = (int(low[i + r]), int(high[i + r]))
-                if same in seen and doc[seen[same]] <= doc[i + r]:
-                    continue
-                if same in seen:
-                    prefix[seen[same]] = shared[seen[same]] = None
-                seen[same] = i + r
                 part = slice(first[r], first[r + 1])
                 x, lv = h[part][common[part]], level[part][common[part]]
                 rare = np.lexsort((x, lv))[: proposing[r]]
                 prefix[i + r] = x[rare].view(np.int64)
                 shared[i + r] = x.tobytes()
-        return pa.table({"doc": docs["doc_id"], "n": pa.array(n), "low": pa.array(low), "high": pa.array(high), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary())})
+        alone = (n == 0) | (doc == _NO_ID)
+        order = np.lexsort((doc, np.where(alone, np.arange(total), -1), high, low, n))
+        same = np.zeros(total, bool)
+        same[1:] = ~alone[order][1:] & ~alone[order][:-1]
+        for x in (n, low, high):
+            same[1:] &= x[order][1:] == x[order][:-1]
+        head = np.flatnonzero(~same)
+        one = order[head]
+        copies = pa.ListArray.from_arrays(pa.array(np.append(head, total), pa.int32()), docs["doc_id"].combine_chunks().take(pa.array(order)))
+        columns = {"doc": docs["doc_id"].combine_chunks().take(pa.array(one)), "copies": copies, "n": pa.array(n[one]), "low": pa.array(low[one]), "high": pa.array(high[one])}
+        return pa.table(columns | {"prefix": pa.array([prefix[k] for k in one], pa.list_(pa.int64())), "shared": pa.array([shared[k] for k in one], pa.binary())})
 
     return run
 
 
+def _least_overlap(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """What rows of these sizes must have in common to link."""
+    return -(-percent * (n_a + n_b) // (100 + percent))
+
+
 def _overlaps(percent: int) -> Callable:
-    """Multiply each pivot's row with the block of its partners' rows; entries that reach the bound stay."""
+    """Multiply the rows of the pairs block by block of columns. The counts add up; a pair leaves as soon as what the
+    blocks to come hold of its rows cannot lift its count to the bound that the sizes give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thrifty()
-        for b in batches:
-            release()
-            a_id, b_id = b["a"].to_numpy(), b["b"].to_numpy()
-            sizes = b["n_a"].to_numpy() + b["n_b"].to_numpy()
-            left, right = b["shared_a"], b["shared_b"]
-            data, offsets = buffers(right)
-            block, ends = data.view(U64), offsets // 8
-            count = np.zeros(len(a_id), np.int64)
-            cut = np.flatnonzero(np.append(True, a_id[1:] != a_id[:-1])) if len(a_id) else np.zeros(0, np.int64)
-            for x, y in zip(cut, np.append(cut[1:], len(a_id)), strict=True):
-                row = np.frombuffer(left[int(x)].as_py(), U64)  # sorted
-                part = block[ends[x] : ends[y]]
-                if not len(row) or not len(part):
-                    continue
-                hit = row[np.minimum(np.searchsorted(row, part), len(row) - 1)] == part
-                sums = np.append(0, np.cumsum(hit))
-                count[x:y] = np.diff(sums[ends[x : y + 1] - ends[x]])
-            keep = 100 * count >= percent * (sizes - count)
-            yield pa.RecordBatch.from_arrays([pa.array(a_id[keep]), pa.array(b_id[keep])], names=["a", "b"])
+        for t in gathered(batches):
+            a_id, b_id = (t[c].to_numpy() for c in ("a", "b"))
+            bound = _least_overlap(t["n_a"].to_numpy(), t["n_b"].to_numpy(), percent)
+            side = [buffers(t[c]) for c in ("shared_a", "shared_b")]
+            col = [data.view(U64) for data, _ in side]
+            pair = [np.repeat(np.arange(len(a_id)), np.diff(ends) // 8) for _, ends in side]
+            block = [(c >> U64(64 - _BLOCK_BITS)).astype(np.int8) for c in col]
+            rest = [np.diff(ends) // 8 for _, ends in side]
+            count, alive = np.zeros(len(a_id), np.int64), np.ones(len(a_id), bool)
+            for k in range(1 << _BLOCK_BITS):
+                here = [np.flatnonzero((b == k) & alive[p]) for b, p in zip(block, pair, strict=True)]
+                # rows are sorted, so (pair, column) rises on both sides
+                key = [(pair[s][at].astype(U64) << U64(40)) | (col[s][at] << U64(_BLOCK_BITS) >> U64(24)) for s, at in enumerate(here)]
+                own, other = col[0][here[0]], col[1][here[1]]
+                if len(own) and len(other):
+                    at = np.searchsorted(key[0], key[1])
+                    hit = np.zeros(len(other), bool)
+                    for near in (0, 1):  # keys are shortened, so the whole column is compared, and the next one
+                        x = np.minimum(at + near, len(own) - 1)
+                        hit |= (own[x] == other) & (pair[0][here[0]][x] == pair[1][here[1]])
+                    count += np.bincount(pair[1][here[1]][hit], minlength=len(count))
+                for s in (0, 1):
+                    rest[s] -= np.bincount(pair[s][here[s]], minlength=len(count))
+                alive &= count + np.minimum(rest[0], rest[1]) >= bound
+            yield pa.RecordBatch.from_arrays([pa.array(a_id[alive]), pa.array(b_id[alive])], names=["a", "b"])
 
     return run
 
 
 def _degrees(percent: int) -> Callable:
-    """Of the rows of two blocks of a component (or of one with itself): how many of the other block's each links with."""
+    """Of the rows of two blocks of a component (or of one with itself): how many of the other block's each links with.
+    The product of the blocks is added up over blocks of the columns that both have."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         thrifty()
         release()
         block, n = t["block"].to_numpy(), t["n"].to_numpy()
-        one, other = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        sides = [np.flatnonzero(block == key[k].as_py()) for k in (1, 2)]
         data, offsets = buffers(t["shared"])
-        col, at = np.unique(data.view(U64), return_inverse=True)
-        ends, mark = offsets // 8, np.zeros(len(col), bool)
-        common = np.zeros((len(one), len(other)), np.int64)
-        for k, r in enumerate(one):
-            own = at[ends[r] : ends[r + 1]]
-            mark[own] = True
-            sums = np.append(0, np.cumsum(mark[at]))
-            common[k] = (sums[ends[1:]] - sums[ends[:-1]])[other]
-            mark[own] = False
-        link = 100 * common >= percent * (n[one][:, None] + n[other][None, :] - common)
-        link &= one[:, None] != other[None, :]
+        row = np.repeat(np.arange(len(n)), np.diff(offsets) // 8)
+        name, at = np.unique(data.view(U64), return_inverse=True)
+        entries = []
+        for side in sides:
+            place = np.full(len(n), -1, np.int64)
+            place[side] = np.arange(len(side))
+            mine = place[row] >= 0
+            entries.append((place[row[mine]], at[mine]))
+        both = np.logical_and(*(np.bincount(c, minlength=len(name)) > 0 for _, c in entries))
+        number = np.cumsum(both) - 1
+        sparse = []
+        for r, c in entries:
+            r, c = r[both[c]], number[c[both[c]]]
+            order = np.argsort(c, kind="stable")
+            sparse.append((r[order], c[order]))
+        common = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        for lo in range(0, int(both.sum()), _DENSE):
+            dense = []
+            for (r, c), side in zip(sparse, sides, strict=True):
+                part = slice(*np.searchsorted(c, [lo, lo + _DENSE]))
+                m = np.zeros((len(side), _DENSE), np.float32)
+                m[r[part], c[part] - lo] = 1
+                dense.append(m)
+            common += dense[0] @ dense[1].T
+        link = common >= _least_overlap(n[sides[0]][:, None], n[sides[1]][None, :], percent)
+        link &= sides[0][:, None] != sides[1][None, :]
         degree = np.zeros(len(n), np.int64)
-        degree[one] = link.sum(axis=1)
+        degree[sides[0]] = link.sum(axis=1)
         if key[1] != key[2]:
-            degree[other] = link.sum(axis=0)
+            degree[sides[1]] = link.sum(axis=0)
         return pa.table({"node": t["node"], "n_links": pa.array(degree)})
 
     return run
@@ -275,10 +309,11 @@ def _degrees(percent: int) -> Callable:
 
 def degrees(groups: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(node, n_links): the links of every row of the components."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    mine = groups.join(rows.select("node", F.length("shared").alias("__bytes")), "node")
+    sizes = mine.groupBy("component").agg(F.count(F.lit(1)).alias("__size"), F.sum("__bytes").alias("__bytes")).where("__size > 1")
     placed = groups.join(sizes, "component")
     pairs = placed.where("__size = 2").select("node", F.lit(1).cast("long").alias("n_links"))
-    blocks = F.ceil(F.col("__size") / BLOCK)
+    blocks = F.ceil(F.greatest(F.col("__size") / BLOCK, F.col("__bytes") / BLOCK_BYTES))
     block = placed.where("__size > 2").select("node", "component", blocks.alias("__blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     cells = block.join(rows.select("node", "n", "shared"), "node").withColumn("__other", F.explode(F.expr("sequence(0L, __blocks - 1)")))
     cells = cells.select("component", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "node", "n", "shared", "block")
@@ -289,14 +324,13 @@ def degrees(groups: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, class_id (smallest id of the same set) and n_links
     (verified links of the class with other classes)."""
-    spark = df.sparkSession
-    buckets = buckets or default_buckets(spark)
-    space = Workspace(spark, "jaccard")
+    space = Workspace(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = docs.mapInArrow(_columns(gram, buckets), "bucket int, kind int, payload binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    buckets = buckets or groups_of(docs)
+    counted = docs.mapInArrow(_columns(gram, buckets), "bucket int, kind int, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     told = space.save(counted.mapInArrow(_frequencies(buckets), "part int, payload binary"))
     grouped = docs.select(part_column(F.col("doc_id"), buckets).alias("part"), "doc_id", "text")
-    matrix = space.save(grouped.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_matrix(gram, percent), _ROW))
+    matrix = space.save(together(grouped, told, buckets).applyInArrow(_matrix(gram, percent), _ROW))
 
     real = matrix.where("n > 0 AND doc IS NOT NULL")
     classes = space.save(real.groupBy("low", "high", "n").agg(F.min("doc").alias("class_id")))
@@ -316,7 +350,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups, _ = linked(space, keys, verify, percent)
     degree = degrees(groups, rows, percent)
     found = space.save(classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree.withColumnRenamed("node", "class_id"), "class_id", "left"))
-    out = matrix.select("doc", "n", "low", "high").join(found, ["low", "high", "n"], "left")
+    real = matrix.where("n > 0 AND doc IS NOT NULL").select("copies", "n", "low", "high").join(found, ["low", "high", "n"], "left")
+    none = F.lit(None).cast("long")
+    alone = matrix.where("n = 0 OR doc IS NULL").select("copies", "n", *(none.alias(c) for c in ("component", "class_id", "n_links")))
+    out = real.select(*alone.columns).unionByName(alone).select(F.explode("copies").alias("doc"), "n", "component", "class_id", "n_links")
     own = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component", "class_id", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
