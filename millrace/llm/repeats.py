@@ -377,43 +377,45 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
                     yield found
 
     def solve_part(text: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, of: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        # the engine gets a content once for its first place, and once more for all others if there are any
+        # the engine gets a content for its first place, and again for the first of the later ones if there are any: what
+        # these two lose, the places of their kind lose
         order = np.lexsort((start, own, number[of]))
         group = number[of][order]
         lead = np.append(True, group[1:] != group[:-1])
-        nth = np.arange(len(order)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        new = nth < 2
-        given = order[new]  # the first place of each copy that the engine gets
+        head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        later = np.arange(len(order)) > head if u.within else own[order] > own[order][head]
+        new = lead | (later & np.append(True, ~later[:-1]))
+        given = order[new]
         copy = np.empty(len(order), np.int64)
         copy[order] = np.cumsum(new) - 1
-        heads = of[given]
-        item, place = ragged(size[heads])
-        data, size = text[begin[heads][item] + place], size[heads]
-        count = windows(data, size)
-        cls = engine(data, size)
-        # first place of each class
+        copy[order[~later]] = (np.cumsum(new) - 1)[head][~later]
+        item, place = ragged(size[of[given]])
+        data, size = text[begin[of[given]][item] + place], size[of[given]]
+        cls, count = engine(data, size), windows(data, size)
+        # the earliest place of each class: places as one number, by id, row of the id, and start
+        rows, rank = np.unique(np.stack([own[given], start[given] >> _ROW_BIT]), axis=1, return_inverse=True)
+        ids = np.unique(rows[0], return_inverse=True)[1]
         content, t = ragged(count)
-        w_own, w_start = own[given][content], start[given][content] + t
-        by = np.lexsort((w_start, w_own, cls))
-        top = by[np.flatnonzero(np.append(True, cls[by][1:] != cls[by][:-1]))]
-        first = np.empty(int(cls.max()) + 1, np.int64)
+        where = ((rank.reshape(-1) << _ROW_BIT) + (start[given] & ((1 << _ROW_BIT) - 1)))[content] + t
+        earliest = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, cls, where)
+        first = np.empty(len(earliest), np.int64)
+        top = np.flatnonzero(earliest[cls] == where)
         first[cls[top]] = top
-        # the windows of each place
-        member, t = ragged(count[copy])
-        at = (np.cumsum(count) - count)[copy][member] + t
-        earliest = first[cls[at]]
-        m_own, m_start = own[member], start[member] + t
-        gone = w_own[earliest] < m_own
-        if u.within:
-            gone |= (w_own[earliest] == m_own) & (w_start[earliest] < m_start)
+        gone = earliest[cls] < where
+        if not u.within:
+            gone &= ids[earliest[cls] >> _ROW_BIT] < ids[where >> _ROW_BIT]
         # only what the engine found equal to another window of its input
-        gone &= earliest != at
-        m_own, m_start = m_own[gone], m_start[gone]
-        if not len(m_own):
+        gone &= first[cls] != np.arange(len(cls))
+        if not gone.any():
             return None
-        new = np.append(True, (m_own[1:] != m_own[:-1]) | (m_start[1:] != m_start[:-1] + 1))
-        head = np.flatnonzero(new)
-        return m_own[head], m_start[head], np.diff(np.append(head, len(m_own)))
+        new_run = gone & np.append(True, ~gone[:-1] | (content[1:] != content[:-1]))
+        heads = np.flatnonzero(new_run)
+        length = np.bincount(np.cumsum(new_run)[gone] - 1, minlength=len(heads))
+        runs = np.bincount(content[heads], minlength=len(size))
+        member, k = ragged(runs[copy])
+        run = heads[(np.cumsum(runs) - runs)[copy[member]] + k]
+        return own[member], start[member] + t[run], length[(np.cumsum(new_run) - 1)[run]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -50,30 +50,22 @@ def _smaller_than_next(data: np.ndarray) -> np.ndarray:
 def _sort_direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes by their first ``depth`` bytes, eight at a time; only ties go on."""
     n = len(words)
-    order = np.argsort(words[at], kind="stable")
-    at = at[order]
-    k = words[at]
-    tie = np.zeros(len(at), bool)
+    rank = np.append(np.unique(words, return_inverse=True)[1] + 1, 0).astype(np.uint64)  # beyond the end: 0
+    at = at[np.argsort(rank[at])]
+    k = rank[at]
     same = k[1:] == k[:-1]
-    tie[1:] |= same
-    tie[:-1] |= same
-    group = np.cumsum(np.append(True, ~same))
+    tie = np.append(False, same) | np.append(same, False)
+    group = np.cumsum(np.append(True, ~same)).astype(np.uint64)
     for d in range(8, depth, 8):
         which = np.flatnonzero(tie)
         if not len(which):
             break
-        sub, g = at[which], group[which]
-        far = sub + d
-        key = np.where(far < n, words[np.minimum(far, n - 1)], 0)
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(g[order], kind="stable")]
-        sub, key, g = sub[order], key[order], g[order]
-        at[which] = sub
-        same = (key[1:] == key[:-1]) & (g[1:] == g[:-1])
-        still = np.zeros(len(which), bool)
-        still[1:] |= same
-        still[:-1] |= same
-        tie[which] = still
+        sub = at[which]
+        key = (group[which] << np.uint64(32)) | rank[np.minimum(sub + d, n)]
+        order = np.argsort(key)
+        at[which], key = sub[order], key[order]
+        same = key[1:] == key[:-1]
+        tie[which] = np.append(False, same) | np.append(same, False)
         group[which] = np.cumsum(np.append(True, ~same))
     return at
 
