@@ -2,47 +2,32 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Widths of the Helvetica face in thousandths, for the printable ASCII characters in order.
-ASCII_WIDTHS = [
+# Width in thousandths of each byte of the writer's code page, from 32 to 255 in order.
+PRINTED_WIDTHS = [
     278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278,
     556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
     1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
     667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
     233, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556,
-    556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+    556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584, 556,
+    556, 556, 333, 333, 556, 1000, 278, 556, 333, 1000, 667, 556, 1000, 556, 667, 556,
+    556, 191, 191, 556, 556, 350, 556, 1000, 333, 1000, 500, 556, 611, 556, 500, 667,
+    556, 278, 556, 556, 556, 556, 260, 556, 333, 737, 400, 556, 584, 333, 737, 333,
+    400, 584, 400, 400, 333, 556, 556, 278, 333, 400, 400, 556, 834, 834, 834, 556,
+    667, 667, 667, 667, 667, 667, 1000, 722, 667, 667, 667, 667, 278, 278, 278, 278,
+    722, 722, 778, 778, 778, 778, 778, 584, 778, 722, 722, 722, 722, 667, 667, 611,
+    556, 556, 556, 556, 556, 556, 611, 500, 556, 556, 556, 556, 222, 222, 222, 222,
+    556, 556, 556, 556, 556, 556, 556, 584, 556, 556, 556, 556, 556, 500, 556, 500,
 ]
-# The same for signs from U+00A1 to U+00BF, in order, and for letters without a base letter.
-SIGN_WIDTHS = [278, 556, 556, 556, 556, 260, 556, 333, 737, 400, 556, 584, 333, 737, 333, 400, 584, 400, 400, 333, 556, 556, 278, 333, 400, 400, 556, 834, 834, 834, 556]
-LETTER_WIDTHS = {"Æ": 1000, "Ð": 722, "×": 584, "Ø": 778, "Þ": 667, "ß": 611, "æ": 611, "ð": 556, "÷": 584, "ø": 556, "þ": 556}
-# Widths of the code page's bytes from 0x80 to 0x9F that have one.
-HIGH_WIDTHS = {
-    128: 556, 130: 333, 131: 333, 132: 556, 133: 1000, 134: 278, 135: 556, 136: 333, 137: 1000, 138: 667, 139: 556, 140: 1000, 142: 667, 145: 191,
-    146: 191, 147: 556, 148: 556, 149: 350, 150: 556, 151: 1000, 152: 333, 153: 1000, 154: 500, 155: 556, 156: 611, 158: 500, 159: 667,
-}
 DEFAULT_WIDTH = 556
-
-
-def widths() -> list[int]:
-    """Width of every byte of the writer's code page. Accented letters are as wide as their base letters."""
-    out = [DEFAULT_WIDTH] * 256
-    out[32:127] = ASCII_WIDTHS
-    out[161:192] = SIGN_WIDTHS
-    for b, w in HIGH_WIDTHS.items():
-        out[b] = w
-    for code in range(0xC0, 0x100):
-        c = chr(code)
-        out[code] = LETTER_WIDTHS[c] if c in LETTER_WIDTHS else out[ord(unicodedata.normalize("NFD", c)[0])]
-    return out
-
-
-WIDTHS = widths()
+WIDTHS = [DEFAULT_WIDTH] * 32 + PRINTED_WIDTHS
 #: Characters beyond Latin-1 that the code page has, and the characters of their bytes.
-HIGH = {b: bytes([b]).decode("cp1252") for b in HIGH_WIDTHS}
+HIGH = {b: bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (129, 141, 143, 144, 157)}
 
 
 def code_page(text: Column) -> Column:
@@ -56,11 +41,13 @@ def code_bytes(text: Column) -> Column:
 
 
 def width(text: Column) -> Column:
-    """Width of a text in thousandths of its size."""
+    """Width of a text in thousandths of its size: characters are counted by width, as many passes as there are widths."""
     paged = code_page(text)
-    table = F.array(*(F.lit(w) for w in WIDTHS))
-    chars = F.filter(F.split(paged, ""), lambda c: F.length(c) > 0)
-    return F.transform(F.array(table), lambda t: F.aggregate(chars, F.lit(0), lambda a, c: a + F.coalesce(F.get(t, F.ascii(c)), F.lit(DEFAULT_WIDTH))))[0]
+    out = F.length(paged) * DEFAULT_WIDTH
+    for w in sorted(set(WIDTHS) - {DEFAULT_WIDTH}):
+        chars = "".join(re.escape(chr(b)) for b, x in enumerate(WIDTHS) if x == w)
+        out = out + (F.length(paged) - F.length(F.regexp_replace(paged, f"[{chars}]", ""))) * (w - DEFAULT_WIDTH)
+    return out.cast("int")
 
 
 def pdf_escape(text: Column) -> Column:

@@ -22,11 +22,10 @@ def lines(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs of plain text: neighbouring lines that are not blank, trimmed and joined by a space. At least one, perhaps empty."""
-    tidy = F.transform(lines(F.coalesce(text, F.lit(""))), trim)
-    # blank lines become a mark that no trimmed line can hold, a line feed
-    marked = F.array_join(F.transform(tidy, lambda x: F.when(F.length(x) == 0, F.lit("\n")).otherwise(x)), " ")
-    parts = F.filter(F.transform(F.split(marked, "\n"), trim), lambda x: F.length(x) > 0)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
+    within = WS.replace(r"\n", "")
+    begin = f"(?<!{within}){within}*+"  # white space is looked at from the beginning of its run only
+    marked = F.regexp_replace(trim(F.coalesce(text, F.lit(""))), f"{begin}(?:\\n{within}*+){{2,}}", "\n\n")
+    return F.transform(F.split(marked, "\n\n"), lambda x: F.regexp_replace(x, f"{begin}\\n{within}*+", " "))
 
 
 def islands(df: DataFrame, of: Sequence[str], order: str, breaks: Column, name: str = "island") -> DataFrame:
@@ -64,22 +63,37 @@ def excerpt(parts: Column, most: int = 240) -> Column:
     from ..functions.text import collapse, trim_end
 
     most = max(40, most)
-    texts = F.filter(F.transform(parts, trim), lambda t: F.length(t) > 0)
-    # what lies beyond the first ``most`` characters cannot show, so all blocks may be joined
-    whole = trim(collapse(F.array_join(texts, " ")))
-    return F.when(F.length(whole) > most, F.concat(trim_end(F.substring(whole, 1, most - 1)), F.lit("…"))).otherwise(whole)
+    # blocks are joined until they are long enough for what shows, each cut to what could show of it
+    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+
+    def step(acc: Column, part: Column) -> Column:
+        shown = collapse(F.substring(F.regexp_replace(part, f"^{WS}+", ""), 1, 4 * most))
+        # a block whose beginning is mostly white space is taken whole
+        text = F.when(F.length(part) <= 4 * most, collapse(trim(part))).when(F.length(shown) > most, shown).otherwise(collapse(trim(part)))
+        joined = F.when(F.length(text) == 0, acc["text"]).when(acc["n"] == 0, text).otherwise(F.concat(acc["text"], F.lit(" "), text))
+        return F.when(acc["n"] > most, acc).otherwise(F.struct(joined.alias("text"), F.length(joined).alias("n")))
+
+    whole = F.aggregate(parts, state, step, lambda acc: trim(acc["text"]))
+    return F.transform(F.array(whole), lambda t: F.when(F.length(t) > most, F.concat(trim_end(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t))[0]
 
 
 def wrap(words: Column, most: float, width_of: Callable[[Column], Column]) -> Column:
-    """Greedy lines of an array of words: as many as fit, at least one."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    """Greedy lines of an array of words: as many as fit, at least one. Each word is measured once."""
+    line = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("width"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), line.alias("line"))
+    gap = width_of(F.lit(" ")).cast("double")
 
     def step(state: Column, word: Column) -> Column:
-        joined = F.when(F.length(state["line"]) > 0, F.concat(state["line"], F.lit(" "), word)).otherwise(word)
-        fits = (width_of(joined) <= most) | (F.length(state["line"]) == 0)
-        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["line"]))).alias("done"), F.when(fits, joined).otherwise(word).alias("line"))
+        size = width_of(word).cast("double")
+        now = state["line"]
+        first = F.length(now["text"]) == 0
+        wider = now["width"] + gap + size
+        longer = F.when(first, F.struct(word.alias("text"), size.alias("width"))).otherwise(F.struct(F.concat(now["text"], F.lit(" "), word).alias("text"), wider.alias("width")))
+        fits = first | (wider <= most)
+        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(now["text"]))).alias("done"), F.when(fits, longer).otherwise(F.struct(word.alias("text"), size.alias("width"))).alias("line"))
 
     def finish(state: Column) -> Column:
-        return F.when((F.length(state["line"]) > 0) | (F.size(state["done"]) == 0), F.concat(state["done"], F.array(state["line"]))).otherwise(state["done"])
+        last = state["line"]["text"]
+        return F.when((F.length(last) > 0) | (F.size(state["done"]) == 0), F.concat(state["done"], F.array(last))).otherwise(state["done"])
 
-    return F.aggregate(words, empty, step, finish)
+    return F.aggregate(words, start, step, finish)

@@ -36,10 +36,13 @@ def push_history(history: DataFrame, entry: DataFrame, most: int | None = None)
 
 
 def read_history(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Entries of JSON lists; what cannot be parsed, or is no list, gives no entry."""
-    parsed = F.from_json(F.col(column), "array<struct<id:string,name:string,size:long,format:string,state:string,ts:long>>")
+    """Entries of JSON lists; what cannot be parsed, or is no list, gives no entry. Members that a list's object lacks are null, and so
+    are those of a wrong type; an entry without name or size is none."""
+    is_list = F.col(column).rlike(r"^\s*\[")
+    parsed = F.from_json(F.when(is_list, F.col(column)), "array<struct<id:string,name:string,size:long,format:string,state:string,ts:long>>")
+    whole = F.filter(parsed, lambda e: e["name"].isNotNull() & e["size"].isNotNull())
     others = [c for c in raw.columns if c != column]
-    return raw.select(*others, F.explode(parsed).alias("e")).select(*others, "e.*")
+    return raw.select(*others, F.explode(whole).alias("e")).select(*others, "e.*")
 
 
 def write_history(entries: DataFrame) -> Column:

@@ -32,19 +32,22 @@ def measured_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, "n", "bytes_in", "bytes_out", "label", fmt_size(F.col("bytes_out")).alias("out_label"), pct.alias("pct"))
 
 
-def result_header(df: DataFrame, keys: Sequence[str], quality: int) -> DataFrame:
-    """The line above the results: here the input counts all files, failed ones too."""
+def result_header(df: DataFrame, keys: Sequence[str], quality: int, order: str = "seq") -> DataFrame:
+    """The line above the results: here the input counts all files, failed ones too. The rates stand in the order in which they first
+    come up; a group has no more of them than there are rates."""
     done = F.col("state") == "done"
     lossy = done & F.col("target").isin([t for t in v.TARGETS["audio"] if t not in v.LOSSLESS])
     label = F.when(lossy, bitrate_label(F.lit(quality), F.col("target")))
-    return df.groupBy(*keys).agg(
+    rates = df.where(label.isNotNull()).groupBy(*keys, label.alias("label")).agg(F.min(order).alias("at"))
+    rates = rates.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]), " / ").alias("rates"))
+    counted = df.groupBy(*keys).agg(
         F.sum("src_size").cast("long").alias("bytes_in"),
         F.sum(F.when(done, F.col("size")).otherwise(0)).cast("long").alias("bytes_out"),
         F.count_if(done).alias("n_done"),
         F.count_if(F.col("state") == "failed").alias("n_failed"),
         F.count_if(F.col("state") == "unsupported").alias("n_unsupported"),
-        F.array_join(F.array_sort(F.collect_set(label)), " / ").alias("rates"),
     )
+    return counted.join(rates, list(keys), "left").withColumn("rates", F.coalesce("rates", F.lit("")))
 
 
 def queue_state(df: DataFrame, keys: Sequence[str]) -> DataFrame:

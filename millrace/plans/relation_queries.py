@@ -52,11 +52,11 @@ def history_latest(spark, sf_dir):
 
 @_query("history_json", "SELECT event_id, 'n' || user_id AS name, CAST(event_id % 7 AS BIGINT) AS size FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'second', CAST(1 AS BIGINT) FROM events WHERE event_id % 3 = 0")
 def history_json(spark, sf_dir):
-    """Lists out of JSON; every third is broken and every third no list."""
+    """Lists out of JSON; every third is broken, and every third no list: a number, an object, or a list with a size of a wrong type."""
     e = F.col("event_id")
     good = F.concat(F.lit('[{"name": "n'), F.col("user_id").cast("string"), F.lit('", "size": '), (e % 7).cast("string"), F.lit('}, {"name": "second", "size": 1}]'))
-    raw = i.table(spark, sf_dir, "events").select("event_id", F.when(e % 3 == 0, good).when(e % 3 == 1, '[{"name": "x", ').otherwise("7").alias("value"))
-    return lists.read_history(raw).where("name IS NOT NULL AND size IS NOT NULL").select("event_id", "name", "size")
+    raw = i.table(spark, sf_dir, "events").select("event_id", F.when(e % 3 == 0, good).when(e % 3 == 1, '[{"name": "x", ').when(e % 9 == 2, "7").when(e % 9 == 5, '{"name": "y", "size": 1}').otherwise('[{"name": "ok", "size": "bad"}]').alias("value"))
+    return lists.read_history(raw).select("event_id", "name", "size")
 
 
 _STAGED = "s AS (SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) // 60000000 END AS ts, user_id, event_type, value FROM events)"

@@ -86,27 +86,28 @@ _WIDTH = f"CAST(list_sum(list_transform(string_split(t, ''), lambda c: {glyphs.W
   regexp_replace(t, '([()\\])', '\\\1', 'g') AS escaped, array_to_string(list_transform(string_split(t, ''), lambda c: printf('%02X', unicode(c))), '') AS bytes FROM x""",
 )
 def pdf_text(spark, sf_dir):
-    t, w = F.col("text"), glyphs.width(F.col("text"))
-    return i.table(spark, sf_dir, "documents").select("doc_id", w.alias("width"), F.round(w * 11 / 1000.0, 6).alias("points"), glyphs.pdf_escape(t).alias("escaped"), F.hex(glyphs.code_bytes(t)).alias("bytes"))
+    t, w = F.col("text"), F.col("width")
+    measured = i.table(spark, sf_dir, "documents").select("doc_id", "text", glyphs.width(F.col("text")).alias("width"))
+    return measured.select("doc_id", "width", F.round(w * 11 / 1000.0, 6).alias("points"), glyphs.pdf_escape(t).alias("escaped"), F.hex(glyphs.code_bytes(t)).alias("bytes"))
 
 
 @_query("pdf_wrap")
 def pdf_wrap(spark, sf_dir):
-    """Greedy lines of benchmark texts at 11 points in 200 points; a fold, so no SQL."""
+    """Greedy lines of the benchmark's texts at 11 points in 200 points; a fold, so no SQL: a test folds in plain Python."""
     words = F.filter(F.split("text", f"{WS}+"), lambda w: F.length(w) > 0)
     return i.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(layout.wrap(words, 200.0, lambda x: glyphs.width(x) * 11 / 1000.0)).alias("place", "line"))
 
 
-_MD = """CASE turn % 8 WHEN 0 THEN repeat('#', CAST(conv_id % 7 + 1 AS INTEGER)) || ' ' || substr(text, 1, 20) WHEN 1 THEN '- ' || substr(text, 1, 20) WHEN 2 THEN '2) ' || substr(text, 1, 20)
- WHEN 3 THEN '| ' || substr(text, 1, 9) || ' | b |' WHEN 4 THEN ' | --- |:-:| ' WHEN 5 THEN '![a](data:,b)' WHEN 6 THEN '  ' ELSE text END"""
+_MD = """CASE turn % 8 WHEN 0 THEN repeat('#', CAST(conv_id % 7 + 1 AS INTEGER)) || ' ' || text WHEN 1 THEN '- ' || text WHEN 2 THEN '2) ' || text
+ WHEN 3 THEN '| ' || text || ' | b |' WHEN 4 THEN ' | --- |:-:| ' WHEN 5 THEN '![a](data:,b)' WHEN 6 THEN '  ' ELSE text END"""
 
 
 def md_lines(spark, sf_dir):
-    t, head = F.col("text"), F.substring("text", 1, 20)
+    t = F.col("text")
     k = F.col("turn") % 8
     line = (
-        F.when(k == 0, F.concat(F.expr("repeat('#', cast(conv_id % 7 + 1 as int))"), F.lit(" "), head)).when(k == 1, F.concat(F.lit("- "), head)).when(k == 2, F.concat(F.lit("2) "), head))
-        .when(k == 3, F.concat(F.lit("| "), F.substring("text", 1, 9), F.lit(" | b |"))).when(k == 4, " | --- |:-:| ").when(k == 5, "![a](data:,b)").when(k == 6, "  ").otherwise(t)
+        F.when(k == 0, F.concat(F.expr("repeat('#', cast(conv_id % 7 + 1 as int))"), F.lit(" "), t)).when(k == 1, F.concat(F.lit("- "), t)).when(k == 2, F.concat(F.lit("2) "), t))
+        .when(k == 3, F.concat(F.lit("| "), t, F.lit(" | b |"))).when(k == 4, " | --- |:-:| ").when(k == 5, "![a](data:,b)").when(k == 6, "  ").otherwise(t)
     )
     return i.table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
 

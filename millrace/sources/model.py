@@ -1,4 +1,4 @@
-"""The block model of documents: schema, and helpers on plain Python values.
+"""Blocks as plain Python values, for the reader of rich text.
 
 A document is a list of blocks. A block has a kind ``t`` (h, p, ul, ol, table or img) and the members of its
 kind; the rest are null. Texts are runs with bold and italic flags.
@@ -6,19 +6,10 @@ kind; the rest are null. Texts are runs with bold and italic flags.
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
-RUN = "struct<text: string, b: boolean, i: boolean>"
-BLOCK = f"struct<t: string, level: int, runs: array<{RUN}>, items: array<array<{RUN}>>, rows: array<array<array<{RUN}>>>, data: binary, mime: string, name: string, alt: string>"
-BLOCKS = f"array<{BLOCK}>"
 MEMBERS = ("t", "level", "runs", "items", "rows", "data", "mime", "name", "alt")
 
-#: The white space of functions.text, for Python's own expressions.
-WS = "[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-_EDGES = re.compile(f"^{WS}+|{WS}+$")
-_SPACES = re.compile(f"{WS}+")
-
 Run = dict[str, Any]
 Block = dict[str, Any]
 
@@ -31,18 +22,6 @@ class CodecError(Exception):
         return str(self.args[0])
 
 
-def trim(s: str) -> str:
-    return _EDGES.sub("", s)
-
-
-def collapse(s: str) -> str:
-    return _SPACES.sub(" ", s)
-
-
-def split_words(s: str) -> list[str]:
-    return [w for w in _SPACES.split(s) if w]
-
-
 def run(text: str, b: bool = False, i: bool = False) -> Run:
     return {"text": text or "", "b": bool(b), "i": bool(i)}
 
@@ -57,58 +36,3 @@ def paragraph(*runs: Run) -> Block:
 
 def image(data: bytes, mime: str, name: str = "image", alt: str = "") -> Block:
     return block("img", data=data, mime=mime, name=name, alt=alt)
-
-
-def runs_text(runs: list[Run] | None) -> str:
-    return "".join(r["text"] or "" for r in runs or [])
-
-
-def image_label(alt: str | None) -> str:
-    return f"[image: {alt}]" if alt else "[image]"
-
-
-def block_text(b: Block) -> str:
-    if b["t"] in ("p", "h"):
-        return runs_text(b["runs"])
-    if b["t"] in ("ul", "ol"):
-        return " ".join(map(runs_text, b["items"] or []))
-    if b["t"] == "table":
-        return "\n".join(" | ".join(map(runs_text, row)) for row in b["rows"] or [])
-    return image_label(b["alt"]) if b["t"] == "img" else ""
-
-
-def excerpt(blocks: list[Block], most: int = 240) -> str:
-    most, parts, size = max(40, most), [], -1
-    for b in blocks:
-        if t := trim(block_text(b)):
-            parts.append(t)
-            size += len(t) + 1
-        if size >= most:
-            break
-    s = trim(collapse(" ".join(parts)))
-    return trim("x" + s[: most - 1])[1:] + "…" if len(s) > most else s
-
-
-def xml_escape(s: str) -> str:
-    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("'", "&apos;").replace('"', "&quot;")
-
-
-def columns(rows: list[list]) -> int:
-    return max([1, *(len(r or []) for r in rows or [])])
-
-
-def image_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height out of the head of a PNG or JPEG file."""
-    if len(data) < 30:
-        return None
-    if data[:2] == b"\x89P":
-        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
-    if data[:2] != b"\xff\xd8":
-        return None
-    at = 2
-    while at + 9 < len(data) and data[at] == 0xFF:
-        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8):
-            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-        at += 2 + size
-    return None
