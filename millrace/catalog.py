@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import files_queries, relation_queries, text_queries
+from .plans import convert_queries, files_queries, relation_queries, text_queries
 
-_MODULES = (files_queries, text_queries, relation_queries)
+_MODULES = (files_queries, text_queries, relation_queries, convert_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.Q.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.O.items()}

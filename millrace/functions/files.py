@@ -255,3 +255,29 @@ def previewable(family: Column, audio: bool = False) -> Column:
 
 def ignores_quality(family: Column, target: Column) -> Column:
     return (family == "document") & target.isin(v.IGNORES_QUALITY)
+
+
+def format_time(ts: Column) -> Column:
+    """Month, day and time of day."""
+    return F.date_format(ts, "MMM d, HH:mm")
+
+
+def active_target(target: Column, wanted: Column) -> Column:
+    """A file's own target, or that of the queue."""
+    return F.coalesce(target, wanted)
+
+
+def tiles_family(mode: Column, queue: Column, entry: Column) -> Column:
+    """The family whose targets are offered: the queue's in bulk mode, else that of the file that is open."""
+    return F.when(mode == "bulk", queue).otherwise(F.coalesce(entry, queue))
+
+
+def is_family(family: Column, which: str) -> Column:
+    return F.coalesce(family == which, F.lit(False))
+
+
+def tile_status(family: Column, target: Column, supported: Column) -> Column:
+    """What a target's tile says: nothing if it can be made; input only for formats that are read alone; else no support."""
+    read_alone = ((family == "image") & (target == "HEIC")) | ((family == "video") & target.isin("MOV", "MKV", "AVI") & ~supported)
+    checked = ((family != "image") | (target == "WEBP")) & ~supported
+    return F.when(read_alone, "INPUT ONLY").when(checked, "NO SUPPORT").otherwise("")

@@ -78,17 +78,21 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 def decode(files: DataFrame, exts: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pieces of documents (hid, name, content) and (file_id, code) of those that could not be read. ``exts``: the extensions that may come
-    up, where they are known; readers of others are left out of the plan."""
+    up, where they are known (else they are looked up by name: at most one row a reader's extension comes to the driver); readers of others
+    are left out of the plan."""
+    known = [e for ends in READERS for e in ends]
+    if exts is None:
+        exts = tuple(r.ext for r in files.select(ext_of(F.col("name")).alias("ext")).where(F.col("ext").isin(*known)).distinct().collect())
     rows = files.select(F.col("hid").alias("file_id"), ext_of(F.col("name")).alias("ext"), "content")
     pieces, codes = [], []
     for ends, read in READERS.items():
-        if exts is None or set(ends) & set(exts):
+        if set(ends) & set(exts):
             p, c = read(rows.where(F.col("ext").isin(*ends)).select("file_id", "content"))
             pieces.append(p)
             codes.append(c)
-    known = [e for ends in READERS for e in ends]
     other = rows.where(~F.col("ext").isin(*known)).select("file_id", F.when(F.col("ext") == ".pdf", "pdf-unsupported").otherwise("decode-failed").alias("code"))
-    return _all(pieces), _all([*codes, other])
+    none = rows.sparkSession.createDataFrame([], PIECES)
+    return _all(pieces or [none]), _all([*codes, other])
 
 
 def encode(pieces: DataFrame, target: str) -> DataFrame:

@@ -55,6 +55,12 @@ def stage_order(staged: DataFrame, tie: str = "seq") -> DataFrame:
     return staged.orderBy(F.coalesce("ts", F.lit(0)), tie)
 
 
+def stage_places(staged: DataFrame, owner: Sequence[str], tie: str = "seq") -> DataFrame:
+    """The place of each staged row in its owner's order, from 1."""
+    w = Window.partitionBy(*owner).orderBy(F.coalesce("ts", F.lit(0)), tie)
+    return staged.withColumn("place", F.row_number().over(w))
+
+
 def put_staged(rows: DataFrame, path: str) -> None:
     """Replace the staging table."""
     rows.write.mode("overwrite").parquet(path)

@@ -1,7 +1,7 @@
 """What this engine can read and write, with the code it gives for what it cannot.
 
-Codecs are part of this library (texts, packages, PDF, PCM sound, PNG, SVG) or of Spark's image reader. Those
-that need an outside library are named by their code and never imitated.
+What can be written follows from the writers that are there; formats that need an outside library are named by their
+code and never imitated.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocab as v
+from ..operators import convert
+from ..sources import media
 
 #: Targets with a writer here.
-WRITERS = {"PNG", "JPG", "SVG", "WAV", "TXT", "MD", "RTF", "PDF", "DOCX", "EPUB"}
-NO_WRITER = {"WEBP": "webp-unsupported", "MP3": "mp3-unsupported", "OGG": "ogg-unsupported", "AAC": "aac-unsupported", "M4A": "m4a-unsupported", "MP4": "mp4-unsupported", "WEBM": "webm-unsupported", "MOV": "mov-unsupported", "MKV": "mkv-unsupported", "AVI": "avi-unsupported", "HEIC": "heic-output-unsupported"}
+WRITERS = {*convert.WRITERS, *(name for name, write in (("PNG", media.write_png), ("SVG", media.svg_wrapper), ("WAV", media.write_wav)) if callable(write))}
+NO_WRITER = {"JPG": "encode-failed", "WEBP": "webp-unsupported", "MP3": "mp3-unsupported", "OGG": "ogg-unsupported", "AAC": "aac-unsupported", "M4A": "m4a-unsupported", "MP4": "mp4-unsupported", "WEBM": "webm-unsupported", "MOV": "mov-unsupported", "MKV": "mkv-unsupported", "AVI": "avi-unsupported", "HEIC": "heic-output-unsupported"}
 
 
 def encoder_found(name: str = "ffmpeg") -> bool:

@@ -123,7 +123,7 @@ def limits(spark, sf_dir):
 
 
 #: What this engine can write: the capability list behind the repaired targets.
-ABLE = ["PNG", "JPG", "SVG", "WAV", "TXT", "MD", "RTF", "PDF", "DOCX", "EPUB"]
+ABLE = ["DOCX", "EPUB", "MD", "PDF", "PNG", "RTF", "SVG", "TXT", "WAV"]
 
 
 @_query(

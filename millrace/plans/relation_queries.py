@@ -70,9 +70,8 @@ def _staged(spark, sf_dir):
 
 @_query("stage_order", f"WITH {_STAGED} SELECT user_id, seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(ts, 0), seq) AS INTEGER) AS place FROM s")
 def stage_order(spark, sf_dir):
-    """Each user's staging table in order; of one table, lists.stage_order sorts it all."""
-    w = Window.partitionBy("user_id").orderBy(F.coalesce("ts", F.lit(0)), "seq")
-    return _staged(spark, sf_dir).select("user_id", "seq", F.row_number().over(w).alias("place"))
+    """Each user's staging table in order."""
+    return lists.stage_places(_staged(spark, sf_dir), ["user_id"]).select("user_id", "seq", "place")
 
 
 @_query("staged_load", f"WITH {_STAGED}, u AS (SELECT *, value > 20 AS ok FROM s) SELECT seq, event_type, (SELECT CAST(count(*) - least(count(*) FILTER (WHERE ok), 20) AS BIGINT) FROM u) AS extra FROM u WHERE ok ORDER BY coalesce(ts, 0), seq LIMIT 20")
@@ -179,9 +178,9 @@ def style_at_place(spark, sf_dir):
     return i.table(spark, sf_dir, "part").select("p_partkey", relate.style_at(bounds, F.col("p_partkey") % 40).alias("style"))
 
 
-@_query("metadata_join", "SELECT o_orderkey, c_custkey IS NOT NULL AS probed, c_acctbal AS seconds FROM orders LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey")
+@_query("metadata_join", "SELECT o_orderkey, c_custkey IS NOT NULL AS probed, c_acctbal AS seconds FROM orders LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
 def metadata_join(spark, sf_dir):
-    probes = i.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("hid"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("seconds"))
+    probes = i.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("hid"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("seconds"))
     rows = i.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("hid"))
     return relate.with_metadata(rows, probes).select("o_orderkey", "probed", "seconds")
 

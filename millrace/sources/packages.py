@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..operators import relate
 from . import archive
@@ -38,6 +39,22 @@ def members(files: DataFrame) -> DataFrame:
     return files.select("file_id", "content").mapInPandas(run, "file_id string, seq long, name string, data binary, code string")
 
 
+@udtf(returnType="seq int, name string, data binary, code string")
+class ZipMembers:
+    """The same as a table function for SQL: ``SELECT f.hid, m.* FROM files f, LATERAL zip_members(f.content) m``."""
+
+    def eval(self, content: bytes):
+        try:
+            for k, (name, data) in enumerate(archive.read(bytes(content or b"")).items()):
+                yield k, name, data, None
+        except CodecError as e:
+            yield 0, None, None, e.code
+
+
+def register_functions(spark: SparkSession) -> None:
+    spark.udtf.register("zip_members", ZipMembers)
+
+
 def archives(parts: DataFrame) -> DataFrame:
     """(file_id, seq, name, data, packed) -> (file_id, content): the members of each file in the order of ``seq``."""
 
@@ -74,7 +91,7 @@ def _resolved(path: Column) -> Column:
 
 def read_docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pieces of (file_id, content), and (file_id, code) of files that could not be read."""
-    opened = members(files)
+    opened = members(files).persist()  # several parts are taken from it
     broken = opened.where("code IS NOT NULL").select("file_id", "code")
     whole = files.join(broken, "file_id", "left_anti")
     main = _part(opened, "word/document.xml")
@@ -96,7 +113,7 @@ def _media_type(path: Column) -> Column:
 
 def read_epub(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pieces of (file_id, content) in the order of the spine, and (file_id, code) of files that could not be read."""
-    opened = members(files)
+    opened = members(files).persist()  # several parts are taken from it
     broken = opened.where("code IS NOT NULL").select("file_id", "code")
     whole = files.join(broken, "file_id", "left_anti")
     root = _part(opened, "META-INF/container.xml").select("file_id", F.regexp_extract("text", r"""<rootfile\b[^>]*\sfull-path\s*=\s*["']([^"']+)""", 1).alias("name"))

@@ -7,6 +7,8 @@ next block begins.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,59 +58,51 @@ def read_markdown(files: DataFrame) -> DataFrame:
     """Pieces of (file_id, text). A table goes on over blank lines; lists and paragraphs end at them."""
     rows = files.select("file_id", F.posexplode(lines(F.coalesce(F.col("text"), F.lit("")))).alias("n", "raw")).withColumn("line", trim(F.col("raw"))).withColumn("kind", line_kind(F.col("raw")))
     item = F.regexp_replace("line", r"^(?:[-*+]|\d+[.)])\s+", "")
-    pictured = F.col("kind").isin("ul", "ol") & item.rlike(IMAGE)
-    rows = rows.withColumn("kind", F.when(F.col("kind").isin("row", "separator"), "table").when(pictured, "image").otherwise(F.col("kind"))).withColumn("rule", (line_kind(F.col("raw")) == "separator"))
+    listed = F.col("kind").isin("ul", "ol") & item.rlike(IMAGE)
+    rows = rows.withColumn("kind", F.when(F.col("kind").isin("row", "separator"), "table").when(listed, "image").otherwise(F.col("kind"))).withColumn("rule", (line_kind(F.col("raw")) == "separator"))
     by = Window.partitionBy("file_id").orderBy("n")
     shown = rows.withColumn("blank", F.lag(F.col("kind") == "blank").over(by)).where("kind <> 'blank'").withColumn("before", F.lag("kind").over(by))
     alone = F.col("kind").isin("image") | F.startswith("kind", F.lit("h"))
     ends = F.coalesce(F.col("blank"), F.lit(False)) & (F.col("kind") != "table")
     new = alone | ends | ~F.col("kind").eqNullSafe(F.col("before"))
     numbered = shown.withColumn("seq", F.sum(F.when(new, 1).otherwise(0)).over(by)).where("NOT rule")
-    nth = F.row_number().over(Window.partitionBy("file_id", "seq").orderBy("n")) - 1
-    placed = numbered.withColumn("nth", nth)
-
-    def pieces(of: DataFrame, t: Column, text: Column, **more: Column) -> DataFrame:
-        return as_pieces(of, **({"file_id": F.col("file_id"), "seq": F.col("seq"), "t": t, "row": F.col("nth"), "col": F.lit(0), "runs": inline(text)} | more))
-
-    heads = placed.where(F.startswith("kind", F.lit("h")))
-    level = F.substring("kind", 2, 1).cast("int")
-    texts = placed.where("kind = 'text'").groupBy("file_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("line"), F.lit(0).alias("nth"))
-    table = placed.where("kind = 'table'").select("file_id", "seq", "nth", F.posexplode(cells(F.col("line"))).alias("col", "cell"))
+    nth = F.when(F.col("kind") == "text", 0).otherwise(F.row_number().over(Window.partitionBy("file_id", "seq").orderBy("n")) - 1)
+    placed = numbered.withColumn("nth", nth).groupBy("file_id", "seq", "kind", "nth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("line"))
     alt, source = F.regexp_extract("line", IMAGE, 1), F.regexp_extract("line", IMAGE, 2)
+    pictured = F.col("kind") == "image"
     encoded = F.regexp_replace(F.regexp_extract(source, r"(?s)^data:([^;,]+)?(;base64)?,(.*)$", 3), r"\s+", "")
-    pictures = placed.where("kind = 'image'").withColumn("data", F.try_to_binary(F.when(F.length(encoded) > 0, encoded), F.lit("base64")))
-    stand_in = F.concat(F.lit("[image: "), F.when(F.length(alt) > 0, alt).otherwise(source), F.lit("]"))
     mime = F.regexp_extract(source, r"^data:([^;,]+)", 1)
-    out = [
-        pieces(heads, F.lit("h"), F.regexp_replace("line", r"^#{1,6}\s+", ""), level=level),
-        pieces(placed.where("kind IN ('ul', 'ol')"), F.col("kind"), item),
-        pieces(texts, F.lit("p"), F.col("line")),
-        pieces(table, F.lit("table"), F.col("cell"), col=F.col("col")),
-        pieces(pictures.where("data IS NOT NULL"), F.lit("img"), F.lit(""), data=F.col("data"), mime=F.when(F.length(mime) > 0, mime).otherwise("image/png"), alt=alt),
-        as_pieces(pictures.where("data IS NULL"), file_id=F.col("file_id"), seq=F.col("seq"), t=F.lit("p"), row=F.lit(0), col=F.lit(0), runs=F.array(plain_run(stand_in, i=F.lit(True)))),
-    ]
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
+    drawn = placed.withColumn("data", F.try_to_binary(F.when(pictured & (F.length(encoded) > 0), encoded), F.lit("base64")))
+    has = F.col("data").isNotNull()
+    heading = F.startswith("kind", F.lit("h"))
+    text = F.when(heading, F.regexp_replace("line", r"^#{1,6}\s+", "")).when(F.col("kind").isin("ul", "ol"), item).otherwise(F.col("line"))
+    shown = drawn.select(
+        "file_id", "seq", "nth", "kind", "data", F.when(has, F.when(F.length(mime) > 0, mime).otherwise("image/png")).alias("mime"), F.when(has, alt).alias("alt"),
+        F.when(pictured & ~has, F.concat(F.lit("[image: "), F.when(F.length(alt) > 0, alt).otherwise(source), F.lit("]"))).alias("stand_in"),
+        F.posexplode(F.when(F.col("kind") == "table", cells(F.col("line"))).otherwise(F.array(text))).alias("col", "text"),
+    )
+    t = F.when(heading, "h").when(pictured, F.when(has, "img").otherwise("p")).when(F.col("kind") == "text", "p").otherwise(F.col("kind"))
+    runs = F.when(F.col("stand_in").isNotNull(), F.array(plain_run(F.col("stand_in"), i=F.lit(True)))).when(pictured, F.array(plain_run(F.lit("")))).otherwise(inline(F.col("text")))
+    level = F.when(heading, F.substring("kind", 2, 1).cast("int"))
+    found = as_pieces(shown, file_id=F.col("file_id"), seq=F.col("seq"), t=t, level=level, row=F.col("nth"), col=F.col("col"), runs=runs, data=F.col("data"), mime=F.col("mime"), alt=F.col("alt"))
     empty = files.where(trim(F.coalesce(F.col("text"), F.lit(""))) == "")
     return found.unionByName(as_pieces(empty, file_id=F.col("file_id"), seq=F.lit(0), t=F.lit("p"), row=F.lit(0), col=F.lit(0), runs=F.array(plain_run(F.lit("")))))
 
 
 def entities(text: Column) -> Column:
-    """Text with the named and numbered character references of XML (and the hard space) resolved."""
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " ")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-
-    def number(x: Column, k: Column) -> Column:
-        digits = F.regexp_extract(x, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(F.startswith(F.lower(digits), F.lit("x")), F.conv(F.substring(digits, 2, 6), 16, 10).cast("int")).otherwise(digits.try_cast("int"))
-        fits = (k > 0) & (F.length(digits) > 0) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, code).otherwise(63)), 8, "0")), "UTF-32")
-        rest = x.substr(F.length(digits) + 2, F.length(x))
-        return F.when(k == 0, x).when(fits, F.concat(sign, rest)).otherwise(F.concat(F.lit("&#"), x))
-
-    numbered = F.array_join(F.transform(F.split(text, "&#"), number), "")
-    return F.replace(F.when(F.instr(text, "&#") > 0, numbered).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    """Text with character references resolved, numbered ones and the named ones of HTML 4 (as Python's library lists them)."""
+    signs = F.create_map(*(F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))))
+
+    def one(x: Column, k: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
+        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).otherwise(F.substring(name, 2, 7).try_cast("int"))
+        fits = F.startswith(name, F.lit("#")) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(F.coalesce(fits, F.lit(False)), code).otherwise(63)), 8, "0")), "UTF-32")
+        sign = F.when(F.coalesce(fits, F.lit(False)), numbered).otherwise(F.try_element_at(signs, name))
+        rest = x.substr(F.length(name) + 2, F.length(x))
+        return F.when(k == 0, x).when((F.length(name) > 0) & sign.isNotNull(), F.concat(sign, rest)).otherwise(F.concat(F.lit("&"), x))
+
+    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
 
 
 _HTML_BLOCKS = ["p", "div", "section", "article", "header", "footer", "main", "nav", "body", "blockquote", "pre", "figure", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "table", "tr", "td", "th", "img", "title", "head"]
