@@ -393,10 +393,15 @@ def _judge(u: Units, buckets: int, engine: Engine, windows: Callable[[np.ndarray
         data, size = text[begin[of[given]][item] + place], size[of[given]]
         cls, count = engine(data, size), windows(data, size)
         # the earliest place of each class: places as one number, by id, row of the id, and start
-        rows, rank = np.unique(np.stack([own[given], start[given] >> _ROW_BIT]), axis=1, return_inverse=True)
-        ids = np.unique(rows[0], return_inverse=True)[1]
+        by_row = np.lexsort((start[given] >> _ROW_BIT, own[given]))
+        one_own, one_row = own[given][by_row], start[given][by_row] >> _ROW_BIT
+        new_own = np.append(True, one_own[1:] != one_own[:-1])
+        new_row = new_own | np.append(True, one_row[1:] != one_row[:-1])
+        rank = np.empty(len(by_row), np.int64)
+        rank[by_row] = np.cumsum(new_row) - 1
+        ids = np.cumsum(new_own[new_row]) - 1
         content, t = ragged(count)
-        where = ((rank.reshape(-1) << _ROW_BIT) + (start[given] & ((1 << _ROW_BIT) - 1)))[content] + t
+        where = ((rank << _ROW_BIT) + (start[given] & ((1 << _ROW_BIT) - 1)))[content] + t
         earliest = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(earliest, cls, where)
         first = np.empty(len(earliest), np.int64)
