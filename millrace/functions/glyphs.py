@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,14 +38,23 @@ def code_bytes(text: Column) -> Column:
     return F.encode(code_page(text), "ISO-8859-1")
 
 
+#: A letter for each width, and what every character of the code page becomes by it (a mark for the default width).
+_CLASSES = {w: chr(ord("A") + k) for k, w in enumerate(sorted(set(WIDTHS) - {DEFAULT_WIDTH}))}
+_CHARACTERS = "".join(map(chr, range(1, 256)))
+_LETTERS = "".join(_CLASSES.get(w, "@") for w in WIDTHS[1:])
+
+
 def width(text: Column) -> Column:
-    """Width of a text in thousandths of its size: characters are counted by width, as many passes as there are widths."""
-    paged = code_page(text)
-    out = F.length(paged) * DEFAULT_WIDTH
-    for w in sorted(set(WIDTHS) - {DEFAULT_WIDTH}):
-        chars = "".join(re.escape(chr(b)) for b, x in enumerate(WIDTHS) if x == w)
-        out = out + (F.length(paged) - F.length(F.regexp_replace(paged, f"[{chars}]", ""))) * (w - DEFAULT_WIDTH)
-    return out.cast("int")
+    """Width of a text in thousandths of its size: characters become the letters of their widths in one pass, and are counted by letter."""
+    classes = F.translate(code_page(text), _CHARACTERS, _LETTERS)
+
+    def total(x: Column) -> Column:
+        out = F.length(x) * DEFAULT_WIDTH
+        for w, letter in _CLASSES.items():
+            out = out + (F.length(x) - F.length(F.replace(x, F.lit(letter), F.lit("")))) * (w - DEFAULT_WIDTH)
+        return out.cast("int")
+
+    return F.transform(F.array(classes), total)[0]
 
 
 def pdf_escape(text: Column) -> Column:
