@@ -7,17 +7,17 @@ A window is a run of ``window`` units (bytes or words) within one document. Thre
    occur twice can lie in repeated windows. Anchors are dealt to buckets by their hash and counted;
    each task first reduces its own repeats to one entry. Documents learn which of their anchors repeat.
 2. Segments. The text around each repeated anchor, so far as windows with that anchor reach, is sent
-   to the anchor's bucket, once for each content and task, and later copies within the task are
-   settled there. In the bucket an engine (suffix array or suffix automaton) tells which windows are
-   equal, and each window that occurs earlier is reported. Anchors with very many entries are dealt by
+   to the anchor's bucket, once for each content and group of documents, with the first of its places there and the first of those
+   that are later; still later ones stay with their group, and lose what that second place loses. In the bucket an engine (suffix array
+   or suffix automaton) tells which windows are equal, and each window that occurs earlier is reported. It gets each content once,
+   and once more for its other places, so that without it nothing is removed. Anchors with very many entries are routed by
    window instead, so that no bucket gathers the differing surroundings of a passage that many documents share.
 3. Removal. Reports go to the documents, and each is cut once.
 
-All rows and whole texts take part; nothing is capped. Hashes of 64 bits choose routes and merge equal
-segments; the engines compare contents. Documents are grouped by a hash of the id into ``buckets``
-groups, which must be so many that a group's texts fit a task: the default is twice
-``spark.sql.shuffle.partitions``. What a group sends to a bucket is one row, so that the rows
-are at most the square of that number, and never more than the segments.
+All rows and whole texts take part; nothing is capped. Hashes of 64 bits choose anchors and routes; contents are compared byte by
+byte. Documents are grouped by a hash of the id into ``buckets`` groups, by default so many that a group's texts have about
+GROUP_BYTES. What a group sends to a bucket is one row, so that the rows are at most the square of that number, and never
+more than the segments. Very long texts are handled whole, in chunks of whole rows.
 
 Rows of the same id count as one document, in the order of their texts; a null id as a last one.
 """
