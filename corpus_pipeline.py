@@ -4,6 +4,10 @@ Each stage works on all rows that the one before kept, and its decisions take ef
 the quality rules reject go; repeated lines go, and with them documents of which no word is left; of
 each group of near copies (Jaccard 0.8 or more of 5-word shingles) the smallest id stays; documents are sampled to the target mix; what is left
 is encoded, and decoded from the ids. All stages but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts fail the quality rules and go; rows with a null id stay in the n-gram join, as they link with
+nothing; rows that repeat an id are judged by their own texts, and share the draw of the mix; very long texts are handled whole; ties
+go to the smaller id; an empty table gives an empty result; further columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -56,8 +60,8 @@ STAGES = [
     ("BPE encoding and decoding", bpe),
 ]
 
-#: The learned rules, the SimHash groups and the merges cannot be stated in SQL; tests run the line and
-#: n-gram stages against brute force on small tables.
+#: The learned rules, the groups of lines and the merges cannot be stated in SQL; tests run the line and
+#: n-gram stages against brute force on small tables, and all stages on odd rows.
 ORACLE_SQL = None
 
 
