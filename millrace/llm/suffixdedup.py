@@ -4,7 +4,8 @@ Every byte covered by a string of ``window`` bytes that also starts in a documen
 goes. The frame in ``repeats`` finds and routes the segments that can hold such strings; here the
 segments of a bucket are laid end to end and their suffix array is built in two stages: suffixes
 smaller than their successor (type B) are sorted directly, the others (type A) are induced by scanning
-the buckets of first bytes in order. Adjacent common prefixes then tell which windows are equal.
+the buckets of first bytes in order. Adjacent common prefixes then tell which windows are equal. Suffixes at which
+no window starts, and that induce none at which one does, stay out of the array.
 
 Only prefixes of ``window`` bytes matter, so the direct sort looks at the first 56 bytes or more
 and leaves later ties as they come; an induced suffix is then in order to at least that depth.
@@ -28,31 +29,33 @@ WINDOW = 50
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a number, in byte order; zeros beyond the end."""
-    out = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
-    n = len(data)
-    # doubling: two, four, eight bytes
-    for have in (1, 2, 4):
-        out[:-have] = (out[:-have] << np.uint64(8 * have)) | out[have:]
-    return out[:n]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _smaller_than_next(data: np.ndarray) -> np.ndarray:
     """Type B: the suffix is smaller than its successor. The last suffix is not: its successor is empty."""
-    n = len(data)
-    change = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)
-    at = change[np.searchsorted(change, np.arange(n))]  # end of the run of equal bytes
-    out = np.zeros(n, bool)
-    inner = at < n - 1
-    out[inner] = data[at[inner]] < data[at[inner] + 1]
-    return out
+    change = np.flatnonzero(data[1:] != data[:-1])
+    # the end of a run of equal bytes decides for all of it
+    known = np.repeat(data[change] < data[change + 1], np.diff(change, prepend=-1))
+    return np.append(known, np.zeros(len(data) - len(known), bool))
+
+
+def _inducing(wanted: np.ndarray, is_b: np.ndarray) -> np.ndarray:
+    """The wanted suffixes, and those that induce them: of a type A suffix its successors up to the next of type B."""
+    n = len(wanted)
+    last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+    direct = np.flatnonzero(is_b)
+    until = np.append(direct, n - 1)[np.searchsorted(direct, last)]
+    depth = np.bincount(last, minlength=n + 1) - np.bincount(until + 1, minlength=n + 1)
+    return wanted | (np.cumsum(depth)[:n] > 0)
 
 
 def _sort_direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first ``depth`` bytes, eight at a time; only ties go on."""
-    n = len(words)
-    rank = np.append(np.unique(words, return_inverse=True)[1] + 1, 0).astype(np.uint64)  # beyond the end: 0
-    at = at[np.argsort(rank[at])]
-    k = rank[at]
+    """Suffixes by their first ``depth`` bytes, eight at a time; only ties go on. ``words`` go ``depth`` beyond the last suffix."""
+    k = words[at]
+    order = np.argsort(k)
+    at, k = at[order], k[order]
     same = k[1:] == k[:-1]
     tie = np.append(False, same) | np.append(same, False)
     group = np.cumsum(np.append(True, ~same)).astype(np.uint64)
@@ -61,7 +64,12 @@ def _sort_direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
         if not len(which):
             break
         sub = at[which]
-        key = (group[which] << np.uint64(32)) | rank[np.minimum(sub + d, n)]
+        k = words[sub + d]
+        order = np.argsort(k)
+        k = k[order]
+        rank = np.empty(len(k), np.uint64)
+        rank[order] = np.cumsum(np.append(True, k[1:] != k[:-1]))
+        key = (group[which] << np.uint64(32)) | rank
         order = np.argsort(key)
         at[which], key = sub[order], key[order]
         same = key[1:] == key[:-1]
@@ -70,30 +78,33 @@ def _sort_direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes at least, by two-stage sorting."""
+def suffix_array(data: np.ndarray, words: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes, and those that induce them, in the order of their first ``depth`` bytes at least, by two-stage sorting.
+    ``words`` are those of the data and ``depth`` zeros. Suffixes that no wanted one needs are not sorted."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     is_b = _smaller_than_next(data)
-    direct = _sort_direct(np.flatnonzero(is_b), _words(data), depth)
+    needed = _inducing(wanted, is_b)
+    direct = _sort_direct(np.flatnonzero(is_b & needed), words, depth)
+    induces = np.append(False, needed[:-1] & ~is_b[:-1])  # the suffix before it is needed and of type A
     ends = np.searchsorted(data[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     out: list[np.ndarray] = []
 
     def scan(bucket: np.ndarray, own: int) -> np.ndarray:
         """Deal the type A predecessors of these suffixes to the buckets of their first bytes; those of the bucket itself are returned."""
-        before = bucket[bucket > 0] - 1
-        before = before[~is_b[before]]
+        before = bucket[induces[bucket]] - 1
         first = data[before]
         mine = before[first == own]
         rest, first = before[first != own], first[first != own]
         order = np.argsort(first, kind="stable")
         rest, first = rest[order], first[order]
-        cut = np.flatnonzero(np.diff(first)) + 1
+        cut = np.flatnonzero(first[1:] != first[:-1]) + 1
         if len(rest):
-            for c, part in zip(first[np.append(0, cut)].tolist(), np.split(rest, cut), strict=True):
-                induced[c].append(part)
+            at = [0, *cut.tolist(), len(rest)]
+            for c, x, y in zip(first[at[:-1]].tolist(), at[:-1], at[1:], strict=True):
+                induced[c].append(rest[x:y])
         return mine
 
     # the empty suffix comes before all and induces the last one
@@ -144,9 +155,9 @@ def _engine(window: int):
         content, place = ragged(size)
         valid = place <= size[content] - window
         number = np.cumsum(valid) - 1
-        order = suffix_array(data, depth)
-        order = order[valid[order]]
         words = np.append(_words(data), np.zeros(depth, np.uint64))
+        order = suffix_array(data, words, depth, valid)
+        order = order[valid[order]]
         prefix = common_prefix(data, order[1:], order[:-1], window, words)
         out = np.empty(len(order), np.int64)
         out[number[order]] = np.cumsum(np.append(0, prefix < window))
