@@ -52,7 +52,13 @@ class Workspace:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_last(self) -> None:
+        """Remove the table before the last, when nothing will read it any more."""
+        self._remove(f"{self.path}/{self.count - 1}")
+
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._remove(self.path)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
