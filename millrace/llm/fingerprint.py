@@ -104,6 +104,10 @@ def parsed(text: Column) -> Column:
     return F.struct((F.substring(text, 1, 1) == "w").alias("whole"), hashes.alias("hashes"))
 
 
+def _unpacked(whole: Column, bits: Column) -> Column:
+    return parsed(F.concat(F.when(whole, F.lit("w")).otherwise(F.lit("p")), F.lower(F.hex(bits))))
+
+
 def low_hashes(df: DataFrame, by: list[str], sketch_col: str = "sketch", share: int = SHARE) -> DataFrame:
     """The merged sketches of groups of any size, a row a hash below the fraction: ``by`` and hash."""
     each = df.select(*by, F.explode(F.filter(F.col(sketch_col)["hashes"], lambda h: h <= _last_below(share))).alias("hash"))
@@ -139,11 +143,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], out
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the fingerprints of its text and of the text whose second half is the next document's begin, and their likeness."""
-    own = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text")))
-    rows = with_next(own, "doc_id", "text", ["text", "sketch"])
+    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text")))
+    # hashes are shuffled as eight bytes each
+    own = texts.select("doc_id", "text", F.col("sketch")["whole"].alias("whole"), F.unhex(F.array_join(F.col("sketch")["hashes"], "")).alias("bits"))
+    rows = with_next(own, "doc_id", "text", ["text", "whole", "bits"])
     n, half = F.length("text"), F.shiftright(F.length("text"), 1)
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next")["text"].substr(F.lit(1), half))
-    cut = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next")["sketch"].alias("next_sketch"))
+    cut = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), _unpacked(F.col("whole"), F.col("bits")).alias("sketch"), _unpacked(F.col("next")["whole"], F.col("next")["bits"]).alias("next_sketch"))
     both = cut.withColumn("edited_sketch", sketch(F.col("edited")))
     met = both.select("*", overlap(F.col("sketch"), F.col("edited_sketch")).alias("with_edited"), overlap(F.col("sketch"), F.col("next_sketch")).alias("with_next"))
     return met.select(
