@@ -1,58 +1,118 @@
 """Conversion of a table of files: each extension by its reader, each target by its writer, and a code for each file that fails.
 
-Every reader and writer works on all files of its kind at once; files are told apart by ``hid``. A file that cannot be read, or
-whose target has no writer, gives a row with its code and without content, and fails no other file.
+The bytes of the files are read once. A mapper deals each row to the reader of its extension and catches what goes wrong with that
+row, so that a broken file becomes a row with its code and fails no other; a limit of time holds for each row. What readers find is tagged (pieces, texts that
+expressions go on with, glyphs that are laid out by windows) and written once, a folder a tag; all that follows reads
+that table, and a file's row in it holds its name, size and code.
 """
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import ext_of, out_name
-from ..sources import formats, packages, pdf, readers, rtf
-from ..sources.pieces import PIECES, assemble
-
-
-def read_rtf(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pieces of (file_id, content); a text that does not begin as rich text is corrupt. The reader is a small automaton, run by batches."""
-    text = F.decode("content", "ISO-8859-1")
-    good = files.where(F.startswith(text, F.lit("{\\rtf"))).select("file_id", text.alias("text"))
+from ..sources import formats, packages, pdf, pdfread, readers, rtf
+from ..sources.model import CodecError
+from ..sources.pieces import ARROW, PIECES, as_pieces, assemble, plain_run
+from ..sources.shared import saved
+from . import layout
+
+#: Seconds that one file may take to be read.
+MOST_SECONDS = 600.0
+
+
+def _text(kind: str) -> Callable[[bytes], list[dict]]:
+    """Text in UTF-8 without its mark; bytes that are none become U+FFFD."""
+    return lambda content: [{"kind": kind, "body": content.decode("utf-8", "replace").removeprefix("﻿")}]
+
+
+#: What reads the bytes of a file with an extension: rows with a ``kind`` ("piece" if they have none).
+READERS: dict[str, Callable[[bytes], list[dict]]] = {
+    ".txt": _text("txt"),
+    ".md": _text("md"),
+    ".markdown": _text("md"),
+    ".rtf": rtf.rich_text,
+    ".docx": packages.docx,
+    ".epub": packages.epub,
+    ".pdf": pdfread.glyphs,
+}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.strip().split(" ")[0] for x in "file_id, seq, t, level, row, col, runs, data, mime, alt".split(",")]
+_MORE = {"kind": "string", "page": "int", "x": "double", "y": "double", "body": "string", "name": "string", "size": "long", "code": "string"}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
+_PARTS = f"{PIECES}, " + ", ".join(f"{n} {t}" for n, t in _MORE.items())
+_ARROW_PARTS = pa.schema([*ARROW, *((n, _KINDS[t]) for n, t in _MORE.items())])
+
+
+@contextmanager
+def _limited(seconds: float) -> Iterator[None]:
+    """Raise in what runs within when the time is over; a reader that never ends costs its limit."""
+
+    def over(*_: object) -> None:
+        raise CodecError("encode-timeout")
+
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS) -> tuple[list[dict], str | None]:
+    """What a reader finds in a file, and the code if it cannot be read."""
+    read = READERS.get(ext)
+    if read is None or content is None:
+        return [], "decode-failed"
+    try:
+        with _limited(seconds):
+            return read(content), None
+    except CodecError as e:
+        return [], e.code
+    except Exception:  # noqa: BLE001 - whatever is wrong with a file is that file's code
+        return [], "decode-failed"
+
+
+def parts(files: DataFrame, seconds: float = MOST_SECONDS) -> DataFrame:
+    """(hid, name, size, content) -> the rows of all readers, and one of kind "file" for each file, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for file_id, source in zip(b["file_id"], b["text"], strict=True):
-                for seq, block in enumerate(rtf.read(source)):
-                    if block["t"] == "table":
-                        rows += [(file_id, seq, "table", None, r, c, cell, None, None, None) for r, row in enumerate(block["rows"]) for c, cell in enumerate(row)]
-                    else:
-                        rows.append((file_id, seq, block["t"], block["level"], 0, 0, block["runs"] or [], block["data"], block["mime"], block["alt"]))
-            yield pd.DataFrame(rows, columns=names)
+            for k in range(b.num_rows):
+                hid, name, size, ext, content = (b.column(c)[k].as_py() for c in ("hid", "name", "size", "ext", "content"))
+                rows, code = read_one(ext, content, seconds)
+                told = [{"kind": "file", "name": name, "size": size, "code": code}, *rows]
+                for at in range(0, len(told), 5000):
+                    yield pa.RecordBatch.from_pylist([{"kind": "piece", **r, "file_id": hid} for r in told[at : at + 5000]], schema=_ARROW_PARTS)
 
-    broken = files.where(~F.startswith(text, F.lit("{\\rtf"))).select("file_id", F.lit("rtf-corrupt").alias("code"))
-    return good.mapInPandas(run, PIECES), broken
+    rows = files.select(F.col("hid").cast("string").alias("hid"), "name", F.col("size").cast("long").alias("size"), ext_of(F.col("name")).alias("ext"), "content")
+    return saved(rows.mapInArrow(run, _PARTS), "kind")
 
 
-def _of_text(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    def run(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        texts = files.select("file_id", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
-        return read(texts), files.limit(0).select("file_id", F.lit("").alias("code"))
+def _laid_out(glyphs: DataFrame) -> DataFrame:
+    """Paragraphs of glyphs, page after page."""
+    found = layout.page_paragraphs(glyphs.select("file_id", "page", "seq", "x", "y", F.col("body").alias("str")))
+    return as_pieces(found, file_id=F.col("file_id"), seq=F.col("page") * 1_000_000 + F.col("place"), t=F.lit("p"), row=F.lit(0), col=F.lit(0), runs=F.array(plain_run(readers.trim(F.col("text")))))
 
-    return run
 
+def pieces_of(found: DataFrame) -> DataFrame:
+    """Pieces of all files of ``parts``."""
 
-READERS: dict[tuple[str, ...], Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
-    (".txt",): _of_text(readers.read_txt),
-    (".md", ".markdown"): _of_text(readers.read_markdown),
-    (".rtf",): read_rtf,
-    (".docx",): packages.read_docx,
-    (".epub",): packages.read_epub,
-}
+    def of(kind: str) -> DataFrame:
+        return found.where(F.col("kind") == kind)
+
+    texts = {kind: of(kind).select("file_id", F.col("body").alias("text")) for kind in ("txt", "md")}
+    return of("piece").select(*ARROW.names).unionByName(readers.read_txt(texts["txt"])).unionByName(readers.read_markdown(texts["md"])).unionByName(_laid_out(of("glyph")))
 
 
 def _as_bytes(f) -> Callable[[DataFrame], DataFrame]:
@@ -69,45 +129,23 @@ WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def decode(files: DataFrame, exts: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pieces of documents (hid, name, content) and (file_id, code) of those that could not be read. ``exts``: the extensions that may come
-    up, where they are known (else they are looked up by name: at most one row a reader's extension comes to the driver); readers of others
-    are left out of the plan."""
-    known = [e for ends in READERS for e in ends]
-    if exts is None:
-        exts = tuple(r.ext for r in files.select(ext_of(F.col("name")).alias("ext")).where(F.col("ext").isin(*known)).distinct().collect())
-    rows = files.select(F.col("hid").alias("file_id"), ext_of(F.col("name")).alias("ext"), "content")
-    pieces, codes = [], []
-    for ends, read in READERS.items():
-        if set(ends) & set(exts):
-            p, c = read(rows.where(F.col("ext").isin(*ends)).select("file_id", "content"))
-            pieces.append(p)
-            codes.append(c)
-    other = rows.where(~F.col("ext").isin(*known)).select("file_id", F.when(F.col("ext") == ".pdf", "pdf-unsupported").otherwise("decode-failed").alias("code"))
-    none = rows.sparkSession.createDataFrame([], PIECES)
-    return _all(pieces or [none]), _all([*codes, other])
-
-
 def encode(pieces: DataFrame, target: str) -> DataFrame:
     """(file_id, content) of pieces in a target format."""
     return WRITERS[target](pieces)
 
 
-def convert(files: DataFrame, target: str, exts: tuple[str, ...] | None = None) -> DataFrame:
+def _outcome(files: DataFrame, target: str, content: Column, code: Column) -> DataFrame:
+    failed = F.when(content.isNull(), F.coalesce(code, F.lit("encode-failed")))
+    name = out_name(F.col("entry_name"), F.lit("document"), F.lit(target))
+    return files.select("hid", "entry_name", name.alias("name"), F.lit(target).alias("target"), "src_size", F.octet_length(content).cast("long").alias("size"), content.alias("content"), failed.alias("code"))
+
+
+def convert(files: DataFrame, target: str, seconds: float = MOST_SECONDS) -> DataFrame:
     """Documents (hid, name, size, content) as files of one target: hid, entry_name, name, target, src_size, size, content, code."""
-    family = F.lit("document")
-    if target in WRITERS:
-        pieces, codes = decode(files, exts)
-        made = encode(pieces, target)
-    else:
-        made, codes = files.limit(0).select(F.col("hid").alias("file_id"), "content"), files.select(F.col("hid").alias("file_id"), F.lit("unsupported-target").alias("code"))
-    done = files.select("hid", F.col("name").alias("entry_name"), F.col("size").alias("src_size")).join(made.withColumnRenamed("file_id", "hid"), "hid", "left").join(codes.withColumnRenamed("file_id", "hid"), "hid", "left")
-    code = F.when(F.col("content").isNull(), F.coalesce("code", F.lit("encode-failed")))
-    return done.select("hid", "entry_name", out_name(F.col("entry_name"), family, F.lit(target)).alias("name"), F.lit(target).alias("target"), "src_size", F.octet_length("content").cast("long").alias("size"), "content", code.alias("code"))
+    if target not in WRITERS:
+        told = files.select("hid", F.col("name").alias("entry_name"), F.col("size").alias("src_size"))
+        return _outcome(told, target, F.lit(None).cast("binary"), F.lit("unsupported-target"))
+    found = parts(files, seconds)
+    told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), F.col("name").alias("entry_name"), F.col("size").alias("src_size"), F.col("code").alias("__code"))
+    made = encode(pieces_of(found), target).select(F.col("file_id").alias("hid"), "content")
+    return _outcome(told.join(made, "hid", "left"), target, F.col("content"), F.col("__code"))

@@ -35,8 +35,8 @@ def _documents(spark, sf_dir, end=".txt"):
 
 def _there_and_back(spark, sf_dir, target, end):
     """Text files to a format and back to text."""
-    made = c.convert(_documents(spark, sf_dir), target, (".txt",)).select("hid", "name", "size", "content").persist()
-    back = c.convert(made, "TXT", (end,))
+    made = c.convert(_documents(spark, sf_dir), target).select("hid", "name", "size", "content")
+    back = c.convert(made, "TXT")
     return back.where("code IS NULL").select(F.col("hid").cast("long").alias("doc_id"), F.col("content").cast("string").alias("txt"))
 
 
@@ -94,7 +94,7 @@ def convert_batch(spark, sf_dir):
 @_query("pdf_files")
 def pdf_files(spark, sf_dir):
     """Documents as PDF: size and whether the last lines point to the table of objects; a test reads the objects."""
-    made = c.convert(_documents(spark, sf_dir), "PDF", (".txt",))
+    made = c.convert(_documents(spark, sf_dir), "PDF")
     tail = F.regexp_extract(F.decode(F.col("content").substr(F.octet_length("content") - 40, F.lit(41)), "ISO-8859-1"), r"startxref\n(\d+)\n%%EOF", 1).cast("int")
     return made.select(F.col("hid").cast("long").alias("doc_id"), "size", (F.decode(F.substring("content", tail + 1, 4), "ISO-8859-1") == "xref").alias("sound"), "code")
 
@@ -119,7 +119,7 @@ def md_roundtrip(spark, sf_dir):
     table = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("| **"), r["role"], F.lit("** | "), r["word"], F.lit(" |"))), "\n")
     text = F.concat(F.expr("repeat('#', cast(conv_id % 6 + 1 as int))"), F.lit(" Talk "), F.col("conv_id").cast("string"), F.lit("\n\n"), items, F.lit("\n\n| role | words |\n| --- | --- |\n"), table, F.lit("\n"))
     files = g.select(F.col("conv_id").cast("string").alias("hid"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("name"), F.lit(0).cast("long").alias("size"), text.cast("binary").alias("content"))
-    return c.convert(files, "MD", (".md",)).select(F.col("hid").cast("long").alias("conv_id"), F.col("content").cast("string").alias("md"))
+    return c.convert(files, "MD").select(F.col("hid").cast("long").alias("conv_id"), F.col("content").cast("string").alias("md"))
 
 
 def _le_sql(x: str, n: int) -> str:

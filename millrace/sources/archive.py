@@ -15,8 +15,20 @@ from .model import CodecError
 _END, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
 
 
-def read(data: bytes) -> dict[str, bytes]:
-    """Members by name, in the order of the directory; folders are left out."""
+#: Most bytes that the members of one archive may take when inflated.
+MOST_INFLATED = 1 << 30
+
+
+def _inflated(body: bytes, most: int) -> bytes:
+    stream = zlib.decompressobj(-15)
+    out = stream.decompress(body, most + 1)
+    if len(out) > most or not stream.eof:
+        raise CodecError("zip-corrupt")
+    return out
+
+
+def read(data: bytes, most: int = MOST_INFLATED) -> dict[str, bytes]:
+    """Members by name, in the order of the directory; folders are left out. No more than ``most`` bytes are inflated."""
     end = data.rfind(_END, max(0, len(data) - 22 - 65535))
     if end < 0 or end + 22 > len(data):
         raise CodecError("zip-corrupt")
@@ -40,7 +52,7 @@ def read(data: bytes) -> dict[str, bytes]:
         body = data[start : start + packed]
         if method == 8:
             try:
-                body = zlib.decompress(body, -15)
+                body = _inflated(body, min(size, most))
             except zlib.error:
                 raise CodecError("zip-corrupt") from None
         elif method != 0:
@@ -48,6 +60,7 @@ def read(data: bytes) -> dict[str, bytes]:
         if zlib.crc32(body) != crc or len(body) != size:
             raise CodecError("zip-corrupt")
         out[name] = body
+        most -= len(body)
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.glyphs import base64_line, md_escape, rtf_escape
 from ..functions.text import xml_escape
+from .media import jpeg_size, png_size
 from .pieces import Format, picture_label
 
 
@@ -87,6 +88,7 @@ def _rtf_block(t: Column, level: Column, lines: Column, most: Column) -> Column:
 
 
 RTF = Format(
+    padded=True,
     run=_grouped,
     row=_rtf_row,
     block=_rtf_block,
@@ -103,8 +105,13 @@ def _wrapped(tag: str, inner: Column) -> Column:
     return F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))
 
 
+def xml_text(text: Column) -> Column:
+    """Text without the signs that XML has no way to write."""
+    return xml_escape(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", ""))
+
+
 def _html_run(r: Column) -> Column:
-    text = xml_escape(_text(r))
+    text = xml_text(_text(r))
     text = F.when(r["i"], _wrapped("em", text)).otherwise(text)
     return F.when(r["b"], _wrapped("strong", text)).otherwise(text)
 
@@ -123,38 +130,81 @@ XHTML = Format(
     run=_html_run,
     row=_html_row,
     block=_html_block,
-    picture=lambda number, data, mime, alt: F.concat(F.lit('<p><img src="images/'), picture_name(number, mime), F.lit('" alt="'), xml_escape(alt), F.lit('"/></p>')),
-    whole=lambda blocks: F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"><head><title>Converted</title></head><body>'), F.array_join(blocks, "\n"), F.lit("</body></html>")),
+    picture=lambda number, data, mime, alt: F.concat(F.lit('<p><img src="art/'), picture_name(number, mime), F.lit('" alt="'), xml_escape(alt), F.lit('"/></p>')),
+    whole=lambda blocks: F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"><head><title>Text</title></head><body>'), F.array_join(blocks, "\n"), F.lit("</body></html>")),
 )
 
 
 def _word_run(r: Column) -> Column:
     style = F.when(r["b"] | r["i"], F.concat(F.lit("<w:rPr>"), F.when(r["b"], "<w:b/>").otherwise(""), F.when(r["i"], "<w:i/>").otherwise(""), F.lit("</w:rPr>"))).otherwise("")
-    return F.concat(F.lit("<w:r>"), style, F.lit('<w:t xml:space="preserve">'), xml_escape(_text(r)), F.lit("</w:t></w:r>"))
+    # tabs and line feeds are elements of their own
+    text = F.replace(F.replace(xml_text(_text(r)), F.lit("\t"), F.lit('</w:t><w:tab/><w:t xml:space="preserve">')), F.lit("\n"), F.lit('</w:t><w:br/><w:t xml:space="preserve">'))
+    return F.concat(F.lit("<w:r>"), style, F.lit('<w:t xml:space="preserve">'), text, F.lit("</w:t></w:r>"))
 
 
 def _word_row(t: Column, row: Column, cells: Column) -> Column:
     joined = F.array_join(cells, "")
     listed = F.concat(F.lit('<w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="'), F.when(t == "ol", "2").otherwise("1"), F.lit('"/></w:numPr></w:pPr>'), joined, F.lit("</w:p>"))
-    cell = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<w:tc><w:p>"), c, F.lit("</w:p></w:tc>"))), "")
+    size = _column_width(F.size(cells)).cast("string")
+    cell = F.array_join(F.transform(cells, lambda c: F.concat(F.lit('<w:tc><w:tcPr><w:tcW w:type="dxa" w:w="'), size, F.lit('"/></w:tcPr><w:p>'), c, F.lit("</w:p></w:tc>"))), "")
     return F.when(_is(t, "ul", "ol"), listed).when(t == "table", _wrapped("w:tr", cell)).otherwise(joined)
 
 
+def _column_width(n: Column) -> Column:
+    """A share of the line in twentieths of a point."""
+    return F.greatest(F.lit(800), F.floor(F.lit(9000) / F.greatest(n, F.lit(1))))
+
+
+_EDGES = "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV"))
+
+
 def _word_block(t: Column, level: Column, lines: Column, most: Column) -> Column:
     joined = F.array_join(lines, "")
-    size = F.greatest(F.lit(800), F.floor(F.lit(9000) / most)).cast("string")
-    grid = F.repeat(F.concat(F.lit('<w:gridCol w:w="'), size, F.lit('"/>')), most)
-    table = F.concat(F.lit("<w:tbl><w:tblGrid>"), grid, F.lit("</w:tblGrid>"), joined, F.lit("</w:tbl>"))
+    grid = F.repeat(F.concat(F.lit('<w:gridCol w:w="'), _column_width(most).cast("string"), F.lit('"/>')), most)
+    table = F.concat(F.lit(f"<w:tbl><w:tblPr><w:tblBorders>{_EDGES}</w:tblBorders></w:tblPr><w:tblGrid>"), grid, F.lit("</w:tblGrid>"), joined, F.lit("</w:tbl>"))
     heading = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="Heading'), F.greatest(F.lit(1), F.least(F.coalesce(level, F.lit(1)), F.lit(3))).cast("string"), F.lit('"/></w:pPr>'), joined, F.lit("</w:p>"))
     return F.when(t == "table", table).when(_is(t, "ul", "ol"), joined).when(t == "h", heading).otherwise(_wrapped("w:p", joined))
 
 
 #: Name spaces of a word-processing part.
-WORD_SPACES = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+_DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+WORD_SPACES = f'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="{_DRAWING}/main" xmlns:wp="{_DRAWING}/wordprocessingDrawing" xmlns:pic="{_DRAWING}/picture"'
+# The widest picture in pixels, the size of one that does not tell its own, and the units of a pixel.
+_WIDEST, _UNTOLD, _UNITS = 600, (600, 450), 9525
+
+
+def picture_relationship(number: Column) -> Column:
+    return F.concat(F.lit("art"), number.cast("string"))
+
+
+def _word_picture(number: Column, data: Column, mime: Column, alt: Column) -> Column:
+    """An inline frame that a word processor shows: its extent, and the fill by its relationship."""
+
+    def framed(d: Column) -> Column:
+        size = F.coalesce(png_size(d), jpeg_size(d), F.struct(F.lit(_UNTOLD[0]).cast("long").alias("width"), F.lit(_UNTOLD[1]).cast("long").alias("height")))
+
+        def drawn(s: Column) -> Column:
+            w, h = F.greatest(s["width"], F.lit(1)), F.greatest(s["height"], F.lit(1))
+            scale = F.least(F.lit(1.0), F.lit(float(_WIDEST)) / w)
+            x, y = ((F.floor(side * scale + 0.5) * _UNITS).cast("string") for side in (w, h))
+            n, name = number.cast("string"), xml_escape(F.when(F.length(alt) > 0, alt).otherwise(picture_name(number, mime)))
+            parts = [
+                '<w:p><w:r><w:drawing><wp:inline><wp:extent cx="', x, '" cy="', y, '"/><wp:docPr id="', n, '" name="', name, '" descr="', name, f'"/><a:graphic><a:graphicData uri="{_DRAWING}/picture"><pic:pic><pic:nvPicPr><pic:cNvPr id="', n, '" name="', name,
+                '"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="', picture_relationship(number), '"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="', x, '" cy="', y,
+                '"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>',
+            ]
+            return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+        return F.transform(F.array(size), drawn)[0]
+
+    return F.transform(F.array(data), framed)[0]
+
+
 WORD = Format(
+    padded=True,
     run=_word_run,
     row=_word_row,
     block=_word_block,
-    picture=lambda number, data, mime, alt: F.concat(F.lit('<w:p><w:r><w:drawing><a:blip r:embed="rIdImg'), number.cast("string"), F.lit('"/></w:drawing></w:r></w:p>')),
+    picture=_word_picture,
     whole=lambda blocks: F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><w:document {WORD_SPACES}><w:body>'), F.array_join(blocks, ""), F.lit('<w:sectPr><w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:body></w:document>')),
 )

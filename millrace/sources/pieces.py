@@ -14,14 +14,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUNS = "array<struct<text: string, b: boolean, i: boolean>>"
 PIECES = f"file_id string, seq long, t string, level int, row int, col int, runs {RUNS}, data binary, mime string, alt string"
+_RUN = pa.struct([("text", pa.string()), ("b", pa.bool_()), ("i", pa.bool_())])
+ARROW = pa.schema([("file_id", pa.string()), ("seq", pa.int64()), ("t", pa.string()), ("level", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("runs", pa.list_(_RUN)), ("data", pa.binary()), ("mime", pa.string()), ("alt", pa.string())])
 NAMES = ["file_id", "seq", "t", "level", "row", "col", "runs", "data", "mime", "alt"]
 
 
+def piece_batch(rows: list[dict]) -> pa.RecordBatch:
+    """Pieces as Python rows, in the columns of a batch; what a row lacks is null."""
+    return pa.RecordBatch.from_pylist(rows, schema=ARROW)
+
+
 def plain_run(text: Column, b: Column | None = None, i: Column | None = None) -> Column:
     return F.struct(text.alias("text"), (F.lit(False) if b is None else b).alias("b"), (F.lit(False) if i is None else i).alias("i"))
 
@@ -49,23 +57,37 @@ class Format:
     block: Callable[[Column, Column, Column, Column], Column]  # kind, level, rows (array), most cells of a row
     picture: Callable[[Column, Column, Column, Column], Column]  # number in the file from 1, data, mime, alt
     whole: Callable[[Column], Column]  # blocks (array)
+    padded: bool = False  # rows of a table get as many cells as its longest
 
 
-def _in_order(column: str, *by: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(*by, column))), lambda x: x[column])
+def _in_order(columns: list[str], *by: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(*by, *columns)))
 
 
 def assemble(pieces: DataFrame, f: Format) -> DataFrame:
-    """file_id and body of every file."""
-    dealt = pieces.repartition("file_id")
-    shown = dealt.withColumn("cell", F.array_join(F.transform(F.col("runs"), f.run), ""))
-    texts = shown.where("t <> 'img'").groupBy("file_id", "seq", "t", "level", "row").agg(_in_order("cell", "col").alias("cells"))
-    rows = texts.withColumn("line", F.struct(f.row(F.col("t"), F.col("row"), F.col("cells")).alias("text"), F.size("cells").alias("n")))
-    blocks = rows.groupBy("file_id", "seq", "t", "level").agg(_in_order("line", "row").alias("lines"))
-    lines, most = F.transform("lines", lambda x: x["text"]), F.array_max(F.transform("lines", lambda x: x["n"]))
-    written = blocks.select("file_id", "seq", f.block(F.col("t"), F.col("level"), lines, most).alias("text"))
-    number = F.row_number().over(Window.partitionBy("file_id").orderBy("seq"))
-    pictures = shown.where("t = 'img'").withColumn("number", number)
-    drawn = pictures.select("file_id", "seq", f.picture(F.col("number"), F.col("data"), F.col("mime"), F.coalesce("alt", F.lit(""))).alias("text"))
-    both = written.unionByName(drawn).groupBy("file_id").agg(_in_order("text", "seq").alias("blocks"))
-    return both.select("file_id", f.whole(F.col("blocks")).alias("body"))
+    """file_id, body, title (text of the first heading) and pictures (array of number, data, mime, alt) of every file. One shuffle by file; cells, rows and blocks are
+    gathered within it."""
+    dealt = pieces.repartition("file_id").withColumn("cell", F.array_join(F.transform(F.col("runs"), f.run), ""))
+    picture = F.first(F.when(F.col("t") == "img", F.struct("data", F.coalesce("mime", F.lit("image/png")).alias("mime"), F.coalesce("alt", F.lit("")).alias("alt"))), ignorenulls=True)
+    head = F.first(F.when(F.col("t") == "h", text_of(F.col("runs"))), ignorenulls=True)
+    rows = dealt.groupBy("file_id", "seq", "t", "level", "row").agg(_in_order(["cell"], "col").alias("cells"), picture.alias("picture"), head.alias("head"))
+    blocks = rows.groupBy("file_id", "seq", "t", "level").agg(_in_order(["cells"], "row").alias("rows"), F.first("picture", ignorenulls=True).alias("picture"), F.first("head", ignorenulls=True).alias("head"))
+    files = blocks.groupBy("file_id").agg(_in_order(["t", "level", "rows", "picture", "head"], "seq").alias("blocks"))
+    drawn = F.filter("blocks", lambda b: b["t"] == "img")
+    numbered = files.withColumn("places", F.transform(drawn, lambda b: b["seq"])).withColumn("pictures", F.transform(drawn, lambda b, k: F.struct((k + 1).alias("number"), b["picture"]["data"].alias("data"), b["picture"]["mime"].alias("mime"), b["picture"]["alt"].alias("alt"))))
+
+    def written(b: Column) -> Column:
+        most = F.array_max(F.transform(b["rows"], lambda r: F.size(r["cells"])))
+
+        def line(r: Column) -> Column:
+            cells = F.transform(r["cells"], lambda c: c["cell"])
+            short = F.greatest(most - F.size(cells), F.lit(0)) if f.padded else F.lit(0)
+            empty = f.run(plain_run(F.lit("")))
+            return f.row(b["t"], r["row"], F.concat(cells, F.array_repeat(empty, short)) if f.padded else cells)
+
+        text = f.block(b["t"], b["level"], F.transform(b["rows"], line), most)
+        p = b["picture"]
+        return F.when(b["t"] == "img", f.picture(F.array_position("places", b["seq"]), p["data"], p["mime"], p["alt"])).otherwise(text)
+
+    heads = F.filter(F.transform("blocks", lambda b: b["head"]), lambda h: h.isNotNull())
+    return numbered.select("file_id", f.whole(F.transform("blocks", written)).alias("body"), F.coalesce(F.get(heads, F.lit(0)), F.lit("")).alias("title"), "pictures")

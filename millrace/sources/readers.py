@@ -1,21 +1,18 @@
-"""Readers of text formats: from the text of files to pieces, by expressions and windows within a file.
-
-Marked-up texts (HTML chapters, word-processing parts) are cut into tags and texts. What a text is in follows from which
-tags came last before it, so running maxima of places take the part of a tree; a paragraph that was never closed ends where the
-next block begins.
-"""
+"""Readers of text formats: from the text of files to pieces, by expressions and windows within a file; pages by ``markup``."""
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import IMAGE, cells, line_kind
 from ..functions.text import collapse, trim
 from ..operators.layout import lines, paragraphs
-from .pieces import as_pieces, plain_run, text_of
+from .markup import html_blocks
+from .pieces import PIECES, as_pieces, piece_batch, plain_run
 
 
 def read_txt(files: DataFrame) -> DataFrame:
@@ -89,143 +86,15 @@ def read_markdown(files: DataFrame) -> DataFrame:
     return found.unionByName(as_pieces(empty, file_id=F.col("file_id"), seq=F.lit(0), t=F.lit("p"), row=F.lit(0), col=F.lit(0), runs=F.array(plain_run(F.lit("")))))
 
 
-def entities(text: Column) -> Column:
-    """Text with character references resolved, numbered ones and the named ones of HTML 4 (as Python's library lists them)."""
-    signs = F.create_map(*(F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))))
-
-    def one(x: Column, k: Column) -> Column:
-        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
-        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).otherwise(F.substring(name, 2, 7).try_cast("int"))
-        fits = F.startswith(name, F.lit("#")) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(F.coalesce(fits, F.lit(False)), code).otherwise(63)), 8, "0")), "UTF-32")
-        sign = F.when(F.coalesce(fits, F.lit(False)), numbered).otherwise(F.try_element_at(signs, name))
-        rest = x.substr(F.length(name) + 2, F.length(x))
-        return F.when(k == 0, x).when((F.length(name) > 0) & sign.isNotNull(), F.concat(sign, rest)).otherwise(F.concat(F.lit("&"), x))
-
-    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
-
-
-_HTML_BLOCKS = ["p", "div", "section", "article", "header", "footer", "main", "nav", "body", "blockquote", "pre", "figure", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "table", "tr", "td", "th", "img", "title", "head"]
-
-
-def _tokens(files: DataFrame, pattern: str) -> DataFrame:
-    """file_id, n, tag (lower case, with a slash in front if it closes; null for texts) and token."""
-    found = files.select("file_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 0)).alias("n", "token"))
-    tag = F.lower(F.regexp_extract("token", r"^<(/?[A-Za-z][A-Za-z0-9:]*)", 1))
-    return found.withColumn("tag", F.when(F.startswith("token", F.lit("<")), tag))
-
-
-def _last(by, *tags: str) -> Column:
-    """Place of the last of these tags so far, -1 if there was none."""
-    return F.coalesce(F.last(F.when(F.col("tag").isin(*tags), F.col("n")), ignorenulls=True).over(by), F.lit(-1))
-
-
 def read_html(files: DataFrame) -> DataFrame:
     """Pieces of (file_id, text): headings, paragraphs, list items, table cells, and pictures by name (alt; ``mime`` holds the source)."""
-    # comments, scripts and styles are taken whole, so that nothing in them counts
-    tokens = _tokens(files, r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|[^<]+")
-    by = Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-
-    def count(*tags: str) -> Column:
-        return F.sum(F.when(F.col("tag").isin(*tags), 1).otherwise(0)).over(by)
-
-    blocks = [t for b in _HTML_BLOCKS for t in (b, f"/{b}")]
-    placed = tokens.select(
-        "*",
-        count(*blocks).alias("block"),
-        F.last(F.when(F.col("tag").isin(*blocks), F.col("tag")), ignorenulls=True).over(by).alias("within"),
-        (count("b", "strong") > count("/b", "/strong")).alias("b"),
-        (count("i", "em") > count("/i", "/em")).alias("i"),
-        count("table").alias("n_table"),
-        (count("table") > count("/table")).alias("in_table"),
-        count("tr").alias("tr"),
-        count("td", "th").alias("td"),
-        count("ul", "ol").alias("n_list"),
-        (count("ul", "ol") > count("/ul", "/ol")).alias("in_list"),
-        F.last(F.when(F.col("tag").isin("ul", "ol"), F.col("tag")), ignorenulls=True).over(by).alias("list"),
-        count("li").alias("li"),
-        (_last(by, "th") > _last(by, "td", "/th", "/tr", "/table")).alias("th"),
-    )
-    texts = placed.where("tag IS NULL AND coalesce(within, '') NOT IN ('title', 'head')")
-    kind = F.when(F.col("in_table") & (F.col("td") > 0), "table").when(F.col("in_list") & (F.col("li") > 0), F.col("list")).when(F.col("within").rlike("^h[1-6]$"), "h").otherwise("p")
-    placed_texts = texts.withColumn("t", kind)
-    # a cell or an item is one piece however many blocks it has
-    unit = F.when(F.col("t") == "table", F.concat_ws("-", F.lit("t"), "n_table", "tr", "td")).when(F.col("t").isin("ul", "ol"), F.concat_ws("-", F.lit("l"), "n_list", "li")).otherwise(F.concat_ws("-", F.lit("b"), "block"))
-    spaced = F.regexp_replace(entities(F.col("token")), r"[ \t\r\n\f]+", " ")
-    runs = F.transform(F.array_sort(F.collect_list(F.struct("n", "s", "bold", "i"))), lambda x: plain_run(x["s"], x["bold"], x["i"]))
-    units = placed_texts.withColumn("unit", unit).withColumn("s", spaced).withColumn("bold", F.col("b") | ((F.col("t") == "table") & F.col("th")))
-    made = units.groupBy("file_id", "unit", "t").agg(F.min("n").alias("n"), F.first("within").alias("within"), F.min("n_table").alias("n_table"), F.min("tr").alias("tr"), F.min("td").alias("td"), F.min("n_list").alias("n_list"), F.min("li").alias("li"), runs.alias("runs"))
-    trimmed = _trimmed(F.col("runs"))
-    shown = made.withColumn("runs", trimmed).where((F.length(trim(text_of(F.col("runs")))) > 0) | (F.col("t") == "table"))
-    group = F.when(F.col("t") == "table", F.concat(F.lit("t"), F.col("n_table"))).when(F.col("t").isin("ul", "ol"), F.concat(F.lit("l"), F.col("n_list"))).otherwise(F.col("unit"))
-    seq = F.min("n").over(Window.partitionBy("file_id", group))
-    row = F.when(F.col("t") == "table", F.col("tr")).when(F.col("t").isin("ul", "ol"), F.col("li")).otherwise(0)
-    grouped = shown.withColumn("seq", seq).withColumn("row", F.dense_rank().over(Window.partitionBy("file_id", group).orderBy(row)) - 1)
-    pieces = as_pieces(
-        grouped, file_id=F.col("file_id"), seq=F.col("seq"), t=F.col("t"), level=F.when(F.col("t") == "h", F.substring("within", 2, 1)), row=F.col("row"),
-        col=F.when(F.col("t") == "table", F.col("td")).otherwise(0), runs=F.col("runs"),
-    )
-    pictures = placed.where("tag = 'img'")
-
-    def attribute(name: str) -> Column:
-        found = F.regexp_extract_all("token", F.lit(rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), 1)
-        return entities(F.regexp_replace(F.coalesce(F.get(found, F.lit(0)), F.lit("")), r"""^["']|["']$""", ""))
-
-    return pieces.unionByName(as_pieces(pictures, file_id=F.col("file_id"), seq=F.col("n"), t=F.lit("img"), row=F.lit(0), col=F.lit(0), runs=F.array(), mime=attribute("src"), alt=attribute("alt")))
-
-
-def _trimmed(runs: Column) -> Column:
-    """Runs without white space before the first and after the last, and without empty ones; one empty run if none is left."""
-    n = F.size(runs)
-    cut = F.transform(runs, lambda r, k: plain_run(F.regexp_replace(F.regexp_replace(r["text"], F.when(k == 0, r"^\s+").otherwise("^$"), ""), F.when(k == n - 1, r"\s+$").otherwise("^$"), ""), r["b"], r["i"]))
-    full = F.filter(cut, lambda r: F.length(r["text"]) > 0)
-    return F.when(F.size(full) > 0, full).otherwise(F.array(plain_run(F.lit(""))))
-
-
-def read_word(files: DataFrame) -> DataFrame:
-    """Pieces of the main part of word-processing files (file_id, text); pictures have their relationship in ``mime``."""
-    tokens = _tokens(files, r"(?s)<!--.*?-->|<[^>]*>|[^<]+")
-    by = Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-
-    def count(*tags: str) -> Column:
-        return F.sum(F.when(F.col("tag").isin(*tags), 1).otherwise(0)).over(by)
-
-    def value(*tags: str) -> Column:
-        return F.last(F.when(F.col("tag").isin(*tags), F.regexp_extract("token", r"""w:val\s*=\s*["']([^"']*)""", 1)), ignorenulls=True).over(by)
-
-    paragraph, run = _last(by, "w:p"), _last(by, "w:r")
-    on = lambda tag: _last(by, tag) > run
-    off = F.regexp_extract("token", r"""w:val\s*=\s*["'](?:0|false|none)["']""", 0) != ""
-    placed = tokens.withColumn("tag", F.when(F.col("tag").isin("w:b", "w:i") & off, F.lit("off")).otherwise(F.col("tag"))).select(
-        "*",
-        count("w:p").alias("par"),
-        (_last(by, "w:t") > _last(by, "/w:t")).alias("in_text"),
-        on("w:b").alias("b"),
-        on("w:i").alias("i"),
-        F.when(_last(by, "w:pstyle") > paragraph, value("w:pstyle")).alias("style"),
-        F.when(_last(by, "w:numid") > paragraph, value("w:numid")).alias("list"),
-        (count("w:tbl") > count("/w:tbl")).alias("in_table"),
-        count("w:tbl").alias("tbl"),
-        count("w:tr").alias("tr"),
-        count("w:tc").alias("tc"),
-    )
-    texts = placed.where("(tag IS NULL AND in_text) OR tag IN ('w:tab', 'w:br')").withColumn("s", F.when(F.col("tag") == "w:tab", "\t").when(F.col("tag") == "w:br", "\n").otherwise(entities(F.col("token"))))
-    level = F.regexp_extract("style", r"(?i)^heading\s*([1-6])", 1).try_cast("int")
-    kind = F.when(F.col("in_table"), "table").when(level.isNotNull(), "h").when(F.col("list").isNotNull(), F.when(F.col("list") == "2", "ol").otherwise("ul")).when(F.col("style").rlike("(?i)^listnumber"), "ol").when(F.col("style").rlike("(?i)^listbullet"), "ul").otherwise("p")
-    unit = F.when(F.col("in_table"), F.concat_ws("-", F.lit("t"), "tbl", "tr", "tc")).otherwise(F.concat_ws("-", F.lit("p"), "par"))
-    runs = F.transform(F.array_sort(F.collect_list(F.struct("n", "s", "b", "i"))), lambda x: plain_run(x["s"], x["b"], x["i"]))
-    made = texts.withColumn("t", kind).withColumn("level", level).withColumn("unit", unit).groupBy("file_id", "unit", "t", "tbl", "tr", "tc").agg(F.min("par").alias("par"), F.min("level").alias("level"), runs.alias("runs"))
-    # neighbouring items of one kind are one list
-    order = Window.partitionBy("file_id").orderBy("par", "tc")
-    same = (F.lag("t").over(order) == F.col("t")) & F.col("t").isin("ul", "ol") & (F.lag("par").over(order) == F.col("par") - 1)
-    group = F.when(F.col("t") == "table", F.min("par").over(Window.partitionBy("file_id", "t", "tbl"))).otherwise(F.col("par"))
-    begun = made.withColumn("group", group).withColumn("begin", F.when(F.coalesce(same, F.lit(False)), F.lit(None)).otherwise(F.col("group")))
-    seq = F.when(F.col("t") == "table", F.col("group")).otherwise(F.last("begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = begun.withColumn("seq", seq)
-    row = F.dense_rank().over(Window.partitionBy("file_id", "seq").orderBy(F.when(F.col("t") == "table", F.col("tr")).otherwise(F.col("par")))) - 1
-    pieces = as_pieces(numbered.withColumn("row", row), file_id=F.col("file_id"), seq=F.col("seq"), t=F.col("t"), level=F.col("level"), row=F.col("row"), col=F.when(F.col("t") == "table", F.col("tc")).otherwise(0), runs=F.col("runs"))
-    blips = placed.where("tag = 'a:blip'")
-    return pieces.unionByName(as_pieces(blips, file_id=F.col("file_id"), seq=F.col("par"), t=F.lit("img"), row=F.lit(0), col=F.lit(0), runs=F.array(), mime=F.regexp_extract("token", r"""r:embed\s*=\s*["']([^"']*)""", 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file_id, text in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                yield piece_batch([{"file_id": file_id, **block} for block in html_blocks(text or "")])
+
+    return files.select("file_id", "text").mapInArrow(run, PIECES)
 
 
 def read_ocr(pages: DataFrame) -> DataFrame:

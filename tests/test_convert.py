@@ -110,10 +110,10 @@ def test_epub_with_paths_and_open_paragraphs(spark):
     chapter = b"<html><head><title>no</title></head><body><p>one<p>two &amp; &#8212; <b>b</b><div><ul><li>i<li>j</ul></div><img src='../pic.png' alt='x'><img src='gone.png' alt='y'></body></html>"
     opf = b'<package><manifest><item id="c" href="text/../text/c.html" media-type="text/html"/><item id="s" href="s.css" media-type="text/css"/></manifest><spine><itemref idref="s"/><itemref idref="c"/></spine></package>'
     data = archive.write([("META-INF/container.xml", b'<rootfile media-type="x" full-path="O/p.opf"/>', True), ("O/p.opf", opf, True), ("O/text/c.html", chapter, True), ("O/pic.png", b"PIC", False)])
-    pieces, codes = packages.read_epub(files(spark, ("a.epub", data)).select(F.col("hid").alias("file_id"), "content"))
-    got = [(r.t, "".join(x.text for x in r.runs), bytes(r.data or b"")) for r in pieces.orderBy("seq", "row", "col").collect()]
+    found = c.parts(files(spark, ("a.epub", data)))
+    got = [(r.t, "".join(x.text for x in r.runs), bytes(r.data or b"")) for r in c.pieces_of(found).orderBy("seq", "row", "col").collect()]
     assert got == [("p", "one", b""), ("p", "two & — b", b""), ("ul", "i", b""), ("ul", "j", b""), ("img", "", b"PIC"), ("p", "[image: y]", b"")]
-    assert codes.count() == 0
+    assert found.where("code IS NOT NULL").count() == 0
 
 
 class _Texts(html.parser.HTMLParser):
