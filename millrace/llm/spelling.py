@@ -32,6 +32,8 @@ from .workspace import Workspace
 
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 SHARD_WORDS, BATCH_BYTES = 1 << 15, 32 << 20
+#: Words that a task meets with a batch of shards, and most tasks.
+TASK_WORDS, MOST_TASKS = 10_000, 20_000
 _RUN = r"[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The check-sums that this divides lose a code point.
@@ -152,7 +154,8 @@ def near_words(vocabulary: DataFrame, space: Workspace, shard_words: int = SHARD
         if not groups or groups[-1][2] + size > batch_bytes:
             groups.append([start, start, 0])
         groups[-1][1], groups[-1][2] = start, groups[-1][2] + size
-    words, parts = vocabulary.repartition("word"), []
+    # walking tries costs far more than the few bytes of a word tell
+    words, parts = vocabulary.repartition(max(1, min(MOST_TASKS, -(-vocabulary.count() // TASK_WORDS))), "word"), []
     for k, (low, high, _) in enumerate(groups):
         batch = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in tries.where(F.col("start").between(low, high)).select("labels", "first", "counts").collect()])
         parts.append(space.save(words.mapInArrow(_meet(batch, k == 0), "word string, n long, n_near long, best struct<less: long, word: string>")))
@@ -200,7 +203,7 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rati
     root = rows.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(max(0, steps - 1).bit_length()):
         on: Column = F.col("root") == F.col("via")
-        root = root.join(root.select(F.col("word").alias("via"), F.col("root").alias("on")), on, "left").select("word", F.coalesce("on", "root").alias("root"))
+        root = space.save(root.join(root.select(F.col("word").alias("via"), F.col("root").alias("on")), on, "left").select("word", F.coalesce("on", "root").alias("root")))
     out = rows.join(root, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

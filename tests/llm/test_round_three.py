@@ -238,4 +238,4 @@ def test_batches_of_shards_have_a_bound(spark):
     words = spark.createDataFrame([(f"word{i:05d}", 5) for i in range(500)], "word string, n long")
     space = Workspace(spark, "test")
     found = spelling.near_words(words, space, shard_words=50, batch_bytes=4000)
-    assert space.count > 5 and found.count() == 500
+    assert space.count > 3 and found.count() == 500  # the tries, and a table a batch
