@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import ext_of, out_name
-from ..sources import formats, packages, pdf, pdfread, readers, rtf
+from ..functions.vocab import DEFAULT_QUALITY
+from ..sources import formats, packages, pdf, pdfread, raster, readers, rtf, sound
 from ..sources.model import CodecError
 from ..sources.pieces import ARROW, PIECES, as_pieces, assemble, plain_run
 from ..sources.shared import saved
@@ -42,7 +43,13 @@ READERS: dict[str, Callable[[bytes], list[dict]]] = {
     ".docx": packages.docx,
     ".epub": packages.epub,
     ".pdf": pdfread.glyphs,
+    ".png": raster.probe,
+    ".jpg": raster.probe,
+    ".jpeg": raster.probe,
+    ".wav": sound.probe,
 }
+#: The family of a file by its extension, as far as it can be read.
+FAMILIES = {e: "image" if read is raster.probe else "audio" if read is sound.probe else "document" for e, read in READERS.items()}
 
 _MORE = {"kind": "string", "page": "int", "x": "double", "y": "double", "body": "string", "name": "string", "size": "long", "code": "string"}
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
@@ -129,23 +136,59 @@ WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: Targets of pictures and of sound, and how a row of theirs becomes a file.
+MEDIA: dict[str, tuple[str, Callable[[dict, str, int], bytes]]] = {
+    **dict.fromkeys(("PNG", "JPG", "SVG"), ("image", lambda r, target, quality: raster.encoded(r["data"], r["mime"], int(r["x"]), int(r["y"]), r["name"] or "", target, quality))),
+    "WAV": ("audio", lambda r, target, quality: sound.encoded(r["data"])),
+}
+TARGETS = {**dict.fromkeys(WRITERS, "document"), **{t: family for t, (family, _) in MEDIA.items()}}
+
+
 def encode(pieces: DataFrame, target: str) -> DataFrame:
     """(file_id, content) of pieces in a target format."""
     return WRITERS[target](pieces)
 
 
+def encode_media(found: DataFrame, target: str, quality: int, seconds: float) -> DataFrame:
+    """(file_id, content, code) of pictures or sounds of ``parts``."""
+    write = MEDIA[target][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row, content, code = b.slice(k, 1).to_pylist()[0], None, None
+                try:
+                    with _limited(seconds):
+                        content = write(row, target, quality)
+                except CodecError as e:
+                    code = e.code
+                except Exception:  # noqa: BLE001 - as in read_one
+                    code = "encode-failed"
+                yield pa.RecordBatch.from_arrays([pa.array([row["file_id"]], pa.string()), pa.array([content], pa.binary()), pa.array([code], pa.string())], names=["file_id", "content", "made_code"])
+
+    kind = "image" if MEDIA[target][0] == "image" else "sound"
+    return found.where(F.col("kind") == kind).select("file_id", "data", "mime", "x", "y", "name").mapInArrow(run, "file_id string, content binary, made_code string")
+
+
 def _outcome(files: DataFrame, target: str, content: Column, code: Column) -> DataFrame:
+    family = TARGETS.get(target, "document")
     failed = F.when(content.isNull(), F.coalesce(code, F.lit("encode-failed")))
-    name = out_name(F.col("entry_name"), F.lit("document"), F.lit(target))
+    name = out_name(F.col("entry_name"), F.lit(family), F.lit(target))
     return files.select("hid", "entry_name", name.alias("name"), F.lit(target).alias("target"), "src_size", F.octet_length(content).cast("long").alias("size"), content.alias("content"), failed.alias("code"))
 
 
-def convert(files: DataFrame, target: str, seconds: float = MOST_SECONDS) -> DataFrame:
-    """Documents (hid, name, size, content) as files of one target: hid, entry_name, name, target, src_size, size, content, code."""
-    if target not in WRITERS:
+def convert(files: DataFrame, target: str, quality: int = DEFAULT_QUALITY, seconds: float = MOST_SECONDS) -> DataFrame:
+    """Files (hid, name, size, content) as files of one target: hid, entry_name, name, target, src_size, size, content, code. A file of another
+    family than the target's has the code of an unsupported target."""
+    if target not in TARGETS:
         told = files.select("hid", F.col("name").alias("entry_name"), F.col("size").alias("src_size"))
         return _outcome(told, target, F.lit(None).cast("binary"), F.lit("unsupported-target"))
     found = parts(files, seconds)
     told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), F.col("name").alias("entry_name"), F.col("size").alias("src_size"), F.col("code").alias("__code"))
-    made = encode(pieces_of(found), target).select(F.col("file_id").alias("hid"), "content")
-    return _outcome(told.join(made, "hid", "left"), target, F.col("content"), F.col("__code"))
+    if target in MEDIA:
+        made = encode_media(found, target, quality, seconds).select(F.col("file_id").alias("hid"), "content", "made_code")
+    else:
+        made = encode(pieces_of(found), target).select(F.col("file_id").alias("hid"), "content", F.lit(None).cast("string").alias("made_code"))
+    other = [e for e, family in FAMILIES.items() if family != TARGETS[target]]
+    strange = F.when(ext_of(F.col("entry_name")).isin(*other), "unsupported-target")
+    return _outcome(told.join(made, "hid", "left"), target, F.col("content"), F.coalesce(F.col("__code"), F.col("made_code"), strange))

@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocab as v
 from ..operators import convert
-from ..sources import media
 
-#: Targets with a writer here.
-WRITERS = {*convert.WRITERS, *(name for name, write in (("PNG", media.write_png), ("SVG", media.svg_wrapper), ("WAV", media.write_wav)) if callable(write))}
-NO_WRITER = {"JPG": "encode-failed", "WEBP": "webp-unsupported", "MP3": "mp3-unsupported", "OGG": "ogg-unsupported", "AAC": "aac-unsupported", "M4A": "m4a-unsupported", "MP4": "mp4-unsupported", "WEBM": "webm-unsupported", "MOV": "mov-unsupported", "MKV": "mkv-unsupported", "AVI": "avi-unsupported", "HEIC": "heic-output-unsupported"}
+#: Targets that ``convert`` accepts.
+WRITERS = set(convert.TARGETS)
+NO_WRITER = {"WEBP": "webp-unsupported", "MP3": "mp3-unsupported", "OGG": "ogg-unsupported", "AAC": "aac-unsupported", "M4A": "m4a-unsupported", "MP4": "mp4-unsupported", "WEBM": "webm-unsupported", "MOV": "mov-unsupported", "MKV": "mkv-unsupported", "AVI": "avi-unsupported", "HEIC": "heic-output-unsupported"}
 
 
 def encoder_found(name: str = "ffmpeg") -> bool:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..functions import files as fx
 from ..functions import vocab as v
+from ..functions.text import WS, trim
 from ..operators import convert as c
-from ..sources import media, packages, readers
-from ..sources.pieces import text_of
+from ..sources import archive, media, packages, readers
+from ..sources.pieces import as_pieces, plain_run, text_of
 from . import inputs as i
 from .text_queries import _PAR, _PCM, _trim
 
@@ -99,6 +101,94 @@ def pdf_files(spark, sf_dir):
     return made.select(F.col("hid").cast("long").alias("doc_id"), "size", (F.decode(F.substring("content", tail + 1, 4), "ISO-8859-1") == "xref").alias("sound"), "code")
 
 
+_PAGE = bytes(range(128, 160)).decode("cp1252", "replace")
+_HIGH = "".join(c for c in _PAGE if c != "\ufffd")
+
+
+@_query(
+    "pdf_roundtrip",
+    f"WITH t AS (SELECT doc_id, {_trim(f"regexp_replace(text, '{WS}+', ' ', 'g')")} AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN text = '' THEN 'pdf-no-text' END AS code, CASE WHEN text <> '' THEN regexp_replace(text, '[^\\x{{20}}-\\x{{7E}}\\x{{A0}}-\\x{{FF}}{_HIGH}]', '?', 'g') END AS words FROM t",
+)
+def pdf_roundtrip(spark, sf_dir):
+    """Text files as PDF, read again: every word in order, with question marks for signs that the faces lack."""
+    made = c.convert(_documents(spark, sf_dir), "PDF").select("hid", "name", "size", "content")
+    words = F.regexp_replace(F.col("content").cast("string"), f"{WS}+", " ")
+    return c.convert(made, "TXT").select(F.col("hid").cast("long").alias("doc_id"), "code", trim(words).alias("words"))
+
+
+_BROKEN = [".txt", ".txt", ".rtf", ".docx", ".pdf", ".md", ".epub", ".docx", ".xyz", ".wav", ".png", ".epub"]
+
+
+@_query(
+    "convert_broken",
+    """SELECT doc_id, CASE doc_id % 12 WHEN 3 THEN 'zip-corrupt' WHEN 4 THEN 'pdf-unsupported' WHEN 6 THEN 'zip-corrupt' WHEN 7 THEN 'docx-corrupt' WHEN 8 THEN 'decode-failed' WHEN 9 THEN 'decode-failed' WHEN 10 THEN 'decode-failed' WHEN 11 THEN 'epub-corrupt' END AS code,
+CASE doc_id % 12 WHEN 0 THEN 'good ' || doc_id || chr(10) WHEN 1 THEN 'caf' || chr(65533) || ' ' || doc_id || chr(10) WHEN 2 THEN chr(65533) || ' ' || doc_id || chr(10) WHEN 5 THEN 'h ' || doc_id || chr(10) END AS txt FROM documents""",
+)
+def convert_broken(spark, sf_dir):
+    """For each document a file: sound ones, and one of every kind that is broken beside them, in one batch."""
+    k, word = F.col("doc_id") % 12, F.col("doc_id").cast("string")
+    empty = archive.write([("other.txt", b"nothing", True)])
+    bodies = [
+        F.concat(F.lit("good "), word).cast("binary"),
+        F.concat(F.lit(b"caf\xe9 "), word.cast("binary")),
+        F.concat(F.lit("{\\rtf1 \\u99999999 x "), word, F.lit("}")).cast("binary"),
+        F.concat(F.lit("PK no archive "), word).cast("binary"),
+        F.concat(F.lit("%PDF-1.4 "), word).cast("binary"),
+        F.concat(F.lit("# h "), word).cast("binary"),
+        F.concat(F.lit(empty[:40]), word.cast("binary")),
+        F.lit(empty),
+        F.coalesce("text", F.lit("")).cast("binary"),
+        F.concat(F.lit(b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0\1\0\0\0\0\0\0\0"), word.cast("binary")),
+        F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), word.cast("binary")),
+        F.lit(empty),
+    ]
+    content = F.coalesce(*(F.when(k == n, body) for n, body in enumerate(bodies)))
+    files = i.table(spark, sf_dir, "documents").select(word.alias("hid"), F.concat(word, i.pick(_BROKEN, k)).alias("name"), F.lit(0).cast("long").alias("size"), content.alias("content"))
+    return c.convert(files, "TXT").select(F.col("hid").cast("long").alias("doc_id"), "code", F.col("content").cast("string").alias("txt"))
+
+
+_CELLS = "cells AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS INTEGER) AS row, unnest([0, 1, 2]) AS col, unnest([CAST(l_suppkey AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag || ' & <' || l_linestatus || '>' END, CASE WHEN l_quantity > 25 THEN CAST(l_partkey AS VARCHAR) END]) AS text FROM lineitem), wide AS (SELECT *, max(CASE WHEN text IS NOT NULL THEN col END) OVER (PARTITION BY l_orderkey) AS last FROM cells)"
+
+
+def _tables(spark, sf_dir, target, end):
+    """Orders as tables with empty cells and short rows, written in a format and read again."""
+    lines = i.table(spark, sf_dir, "lineitem")
+    middle = F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.concat("l_returnflag", F.lit(" & <"), "l_linestatus", F.lit(">")))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
+    cells = lines.select(F.col("l_orderkey").cast("string").alias("file_id"), place.alias("row"), F.posexplode(F.array(F.col("l_suppkey").cast("string"), middle, F.when(F.col("l_quantity") > 25, F.col("l_partkey").cast("string")))).alias("col", "text")).where("text IS NOT NULL")
+    pieces = as_pieces(cells, file_id=F.col("file_id"), seq=F.lit(0), t=F.lit("table"), row=F.col("row"), col=F.col("col"), runs=F.array(plain_run(F.col("text"))))
+    made = c.encode(pieces, target).select(F.col("file_id").alias("hid"), F.lit(f"t{end}").alias("name"), F.octet_length("content").alias("size"), "content")
+    back = c.pieces_of(c.parts(made)).where("t = 'table'")
+    return back.select(F.col("file_id").cast("long").alias("l_orderkey"), "row", "col", text_of(F.col("runs")).alias("text"))
+
+
+@_query("docx_tables", f"WITH {_CELLS} SELECT l_orderkey, row, col, coalesce(text, '') AS text FROM wide WHERE col <= last")
+def docx_tables(spark, sf_dir):
+    return _tables(spark, sf_dir, "DOCX", ".docx")
+
+
+@_query("epub_tables", f"WITH {_CELLS} SELECT l_orderkey, row, col, text FROM wide WHERE text IS NOT NULL")
+def epub_tables(spark, sf_dir):
+    return _tables(spark, sf_dir, "EPUB", ".epub")
+
+
+@_query("image_convert", "SELECT vec_id, CASE WHEN vec_id % 5 = 4 THEN 'decode-failed' END AS code, CASE WHEN vec_id % 5 < 4 THEN CASE WHEN vec_id % 2 = 0 THEN CAST(len(embedding) AS BIGINT) ELSE 4096::BIGINT END END AS width, CASE WHEN vec_id % 5 < 4 THEN CASE WHEN vec_id % 2 = 0 THEN CAST(1 + vec_id % 7 AS BIGINT) ELSE 1::BIGINT END END AS height FROM embeddings")
+def image_convert(spark, sf_dir):
+    """Vectors as PNG pictures (every other one wider than the longest edge, some cut off in the head), converted to JPEG; sizes are probed from the bytes."""
+    e = i.table(spark, sf_dir, "embeddings")
+    grey = F.transform(audio.pcm16(F.col("embedding")), lambda s: F.lpad(F.hex(F.shiftright(s.cast("long") + 32768, 8)), 2, "0"))
+    wide, k = F.col("vec_id") % 2 == 1, F.col("vec_id") % 7
+    line = F.array_join(grey, "")
+    images = e.select(
+        F.col("vec_id").cast("string").alias("file_id"), F.when(wide, F.size("embedding") * 80).otherwise(F.size("embedding")).cast("int").alias("width"), F.when(wide, 1).otherwise(1 + k).cast("int").alias("height"), F.lit(1).alias("channels"),
+        F.unhex(F.when(wide, F.repeat(line, F.lit(80))).otherwise(F.repeat(line, (1 + k).cast("int")))).alias("data"),
+    )
+    cut = F.when(F.col("file_id").cast("long") % 5 == 4, F.substring("content", 1, 20)).otherwise(F.col("content"))
+    files = media.write_png(images).select(F.col("file_id").alias("hid"), F.concat("file_id", F.lit(".png")).alias("name"), F.octet_length("content").alias("size"), cut.alias("content"))
+    size = media.jpeg_size(F.col("content"))
+    return c.convert(files, "JPG").select(F.col("hid").cast("long").alias("vec_id"), "code", size["width"].alias("width"), size["height"].alias("height"))
+
+
 @_query("html_blocks")
 def html_blocks(spark, sf_dir):
     """Blocks of web pages; a test compares them with the standard parser's."""
@@ -164,13 +254,15 @@ _STATUS = " UNION ALL ".join(f"SELECT '{f}' AS family, '{t}' AS target" for f, t
 
 @_query(
     "tile_status",
-    f"""WITH t AS ({_STATUS}), s AS (SELECT *, target IN ('DOCX', 'EPUB', 'MD', 'PDF', 'PNG', 'RTF', 'SVG', 'TXT', 'WAV') AS able FROM t)
-SELECT family, target, CASE WHEN target IN ('HEIC', 'MOV', 'MKV', 'AVI') THEN 'INPUT ONLY' WHEN NOT able AND target <> 'JPG' THEN 'NO SUPPORT' ELSE '' END AS status FROM s""",
+    f"""WITH {i.FILES_SQL}, f AS (SELECT hid, {i.FAMILY_SQL} AS family FROM files), t AS ({_STATUS}), s AS (SELECT hid, t.*, target IN ('DOCX', 'EPUB', 'JPG', 'MD', 'PDF', 'PNG', 'RTF', 'SVG', 'TXT', 'WAV') AS able FROM f JOIN t ON f.family = t.family)
+SELECT hid, family, target, CASE WHEN target IN ('HEIC', 'MOV', 'MKV', 'AVI') THEN 'INPUT ONLY' WHEN NOT able THEN 'NO SUPPORT' ELSE '' END AS status FROM s""",
 )
 def tile_status(spark, sf_dir):
+    """What the tiles of each file's family say. There are some twenty targets."""
     from .capabilities import capabilities
 
-    return capabilities(spark).select("family", "target", fx.tile_status(F.col("family"), F.col("target"), F.col("supported")).alias("status"))
+    files = i.files(spark, sf_dir).select("hid", fx.family_of(F.col("name"), F.col("type")).alias("family"))
+    return files.join(F.broadcast(capabilities(spark)), "family").select("hid", "family", "target", fx.tile_status(F.col("family"), F.col("target"), F.col("supported")).alias("status"))
 
 
 @_query("active_targets", f"WITH {i.FILES_SQL} SELECT hid, CASE WHEN batch % 3 = 0 THEN 'TXT' ELSE wanted END AS target, CASE WHEN batch % 2 = 0 THEN 'mixed' WHEN batch % 5 = 0 THEN 'mixed' ELSE 'video' END AS tiles FROM files")

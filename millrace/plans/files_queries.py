@@ -278,6 +278,11 @@ def bulk_update(spark, sf_dir):
     return f.select("hid", F.when(F.col("family") == "audio", "OGG").otherwise(F.col("target")).alias("bulk_target"), F.when(F.col("seq") % 10 == 3, F.col("wanted")).otherwise(F.col("target")).alias("manual_target"))
 
 
-@_query("target_vocabulary", "SELECT * FROM (VALUES " + ", ".join([f"('{f}', {k}, '{t}', true, NULL)" for f, ts in v.TARGETS.items() for k, t in enumerate(ts)] + ["('image', 4, 'HEIC', false, 'input only')"]) + ") AS t(family, position, target, available, label)")
+_OFFERS = "o AS (SELECT * FROM (VALUES " + ", ".join([f"('{f}', {k}, '{t}', true, NULL)" for f, ts in v.TARGETS.items() for k, t in enumerate(ts)] + ["('image', 4, 'HEIC', false, 'input only')"]) + ") AS t(family, position, target, available, label))"
+
+
+@_query("target_vocabulary", f"WITH {i.FILES_SQL}, f AS (SELECT hid, {i.FAMILY_SQL} AS family FROM files), {_OFFERS} SELECT f.hid, o.* FROM f JOIN o ON f.family = o.family")
 def target_vocabulary(spark, sf_dir):
-    return v.targets_table(spark)
+    """What the picker of each file offers. The vocabulary has some twenty rows."""
+    files = i.files(spark, sf_dir).select("hid", fx.family_of(F.col("name"), F.col("type")).alias("family"))
+    return files.join(F.broadcast(v.targets_table(spark)), "family").select("hid", "family", "position", "target", "available", "label")

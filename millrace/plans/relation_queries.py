@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 from ..operators import lists, relate, search
 from . import inputs as i
+from ..functions.files import family_of
 from .files_queries import ABLE
 
 Q: dict = {}
@@ -136,14 +137,25 @@ def _capabilities(spark):
     return capabilities(spark)
 
 
-@_query("capable_targets", f"WITH {_VOCAB} SELECT family, target FROM t WHERE target IN {i._in(ABLE)}")
+#: What the conversion makes, stated once more for the other engine.
+_MADE = ["DOCX", "EPUB", "JPG", "MD", "PDF", "PNG", "RTF", "SVG", "TXT", "WAV"]
+_OFFERED = f"{i.FILES_SQL}, {_VOCAB}, f AS (SELECT hid, {i.FAMILY_SQL} AS family FROM files)"
+
+
+def _offered(spark, sf_dir):
+    """Each file with the targets of its family."""
+    files = i.files(spark, sf_dir)
+    return files.select("hid", family_of(F.col("name"), F.col("type")).alias("family")).join(F.broadcast(v.targets_table(spark).where("available").select("family", "target")), "family")
+
+
+@_query("capable_targets", f"WITH {_OFFERED} SELECT f.hid, t.family, t.target FROM f JOIN t ON f.family = t.family WHERE t.target IN {i._in(_MADE)}")
 def capable_targets(spark, sf_dir):
-    return relate.able(v.targets_table(spark).where("available"), _capabilities(spark)).select("family", "target")
+    return relate.able(_offered(spark, sf_dir), _capabilities(spark)).select("hid", "family", "target")
 
 
-@_query("missing_targets", f"WITH {_VOCAB} SELECT family, target FROM t WHERE target NOT IN {i._in(ABLE)}")
+@_query("missing_targets", f"WITH {_OFFERED} SELECT f.hid, t.family, t.target FROM f JOIN t ON f.family = t.family WHERE t.target NOT IN {i._in(_MADE)}")
 def missing_targets(spark, sf_dir):
-    return relate.able(v.targets_table(spark).where("available"), _capabilities(spark), yes=False).select("family", "target")
+    return relate.able(_offered(spark, sf_dir), _capabilities(spark), yes=False).select("hid", "family", "target")
 
 
 _CODES = [*v.REASONS, "no-such-code"]

@@ -96,7 +96,7 @@ class Html(HTMLParser):
     def _end_part(self) -> None:
         """A block boundary within a cell or an item is a space."""
         inner = self.cell if self.cell is not None else self.entry
-        if inner is not None and inner["runs"]:
+        if inner is not None and inner["runs"] and not inner["runs"][-1]["text"].endswith((" ", "\n")):
             add(inner, " ", inner["runs"][-1]["b"], inner["runs"][-1]["i"])
         self.piece = None
 
@@ -195,7 +195,10 @@ class Html(HTMLParser):
                     return
                 self.piece = self.blocks.open("p")
             into = self.piece
-        add(into, text, bold, self.slanted > 0)
+        if into["runs"] and into["runs"][-1]["text"].endswith((" ", "\n")):
+            text = text.lstrip(" ")
+        if text:
+            add(into, text, bold, self.slanted > 0)
 
 
 def html_blocks(text: str) -> list[dict]:

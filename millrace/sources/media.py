@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import audio
 from ..functions.glyphs import base64_line
 from ..functions.text import xml_escape
+from .model import CodecError
+from .sound import riff
 
 
 def big_end(data: Column, at: Column | int, n: int) -> Column:
@@ -52,7 +54,7 @@ def jpeg_size(data: Column) -> Column:
 def wav_info(data: Column) -> Column:
     """Struct of rate, channels, bits and seconds of a PCM file with the plain head of 44 bytes; null for other data."""
     is_wav = (F.octet_length(data) >= 44) & (F.hex(F.substring(data, 1, 4)) == "52494646") & (F.hex(F.substring(data, 9, 8)) == "57415645666D7420")
-    per_second = little_end(data, 28, 4)
+    per_second = F.nullif(little_end(data, 28, 4), F.lit(0))
     return F.when(is_wav, F.struct(little_end(data, 24, 4).alias("rate"), little_end(data, 22, 2).alias("channels"), little_end(data, 34, 2).alias("bits"), (little_end(data, 40, 4) / per_second).alias("seconds")))
 
 
@@ -85,15 +87,20 @@ def write_wav(sounds: DataFrame) -> DataFrame:
 
 
 def read_wav(files: DataFrame) -> DataFrame:
-    """(file_id, content) -> (file_id, rate, channels, samples array<float>, code) of 16-bit PCM files."""
+    """(file_id, content) -> (file_id, rate, channels, samples array<float>, code) of PCM files, their frames one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(samples=[(np.frombuffer(c[44 : len(c) - (len(c) - 44) % 2], "<i2") / np.float32(32768)).tolist() if ok else None for c, ok in zip(b.pop("content"), b["code"].isna(), strict=True)])
+            rows = []
+            for file_id, content in zip(b["file_id"], b["content"], strict=True):
+                try:
+                    rate, samples = riff(bytes(content or b""))
+                    rows.append((file_id, rate, samples.shape[1], None, samples.reshape(-1).astype(np.float32)))
+                except CodecError as e:
+                    rows.append((file_id, None, None, e.code, None))
+            yield pd.DataFrame(rows, columns=["file_id", "rate", "channels", "code", "samples"])
 
-    info = wav_info(F.col("content"))
-    told = files.select("file_id", "content", info["rate"].alias("rate"), info["channels"].alias("channels"), F.when(F.coalesce(info["bits"] == 16, F.lit(False)), F.lit(None).cast("string")).otherwise("decode-failed").alias("code"))
-    return told.mapInPandas(run, "file_id string, rate long, channels long, code string, samples array<float>")
+    return files.select("file_id", "content").mapInPandas(run, "file_id string, rate long, channels long, code string, samples array<float>")
 
 
 def pictures(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +108,92 @@ def pictures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
 
 
+# Samples of a pixel by the colour type of a PNG.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def png_parts(data: bytes) -> tuple[int, int, int, int, int, bytes, bytes] | None:
+    """Width, height, bits, colour type, interlacing, palette and compressed rows of a PNG; None for other bytes."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR" or len(data) < 33:
+        return None
+    width, height, bits, kind, _, _, laced = struct.unpack_from(">IIBBBBB", data, 16)
+    at, palette, body = 8, b"", bytearray()
+    while at + 12 <= len(data):
+        (size,) = struct.unpack_from(">I", data, at)
+        name, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        at += 12 + size
+        if name == b"PLTE":
+            palette = part
+        elif name == b"IDAT":
+            body += part
+        elif name == b"IEND":
+            break
+    return (width, height, bits, kind, laced, palette, bytes(body)) if kind in _SAMPLES and width and height and body else None
+
+
+def _unfiltered(raw: bytes, height: int, width: int, step: int) -> np.ndarray:
+    """Rows of bytes without their filters; a filter that looks left goes by whole pixels, the others by whole rows."""
+    rows = np.frombuffer(raw, np.uint8, height * (width + 1)).reshape(height, width + 1)
+    out, above = np.zeros((height, width), np.uint8), np.zeros(width, np.uint8)
+    for k in range(height):
+        how, row = rows[k, 0], rows[k, 1:].copy()
+        if how == 1:
+            wide = np.concatenate([row, np.zeros(-width % step, np.uint8)]).reshape(-1, step)
+            row = np.cumsum(wide, axis=0, dtype=np.uint8).reshape(-1)[:width]
+        elif how == 2:
+            row = row + above
+        elif how in (3, 4):
+            left, corner = [0] * step, [0] * step
+            done, up = row.tolist(), above.tolist()
+            for j in range(width):
+                a, b, c = (done[j - step], up[j], up[j - step]) if j >= step else (left[0], up[j], corner[0])
+                if how == 3:
+                    guess = (a + b) >> 1
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                done[j] = (done[j] + guess) & 255
+            row = np.array(done, np.uint8)
+        out[k] = above = row
+    return out
+
+
+def png_rows(data: bytes, most_pixels: int = 1 << 27) -> np.ndarray | None:
+    """Red, green, blue and alpha (height, width, 4) of a PNG that is not interlaced; None for what cannot be read."""
+    found = png_parts(data)
+    if found is None:
+        return None
+    width, height, bits, kind, laced, palette, body = found
+    if laced or width * height > most_pixels or bits not in (1, 2, 4, 8, 16) or bits < 8 and kind not in (0, 3):
+        return None
+    samples = _SAMPLES[kind]
+    line = (width * samples * bits + 7) // 8
+    try:
+        raw = zlib.decompressobj().decompress(body, height * (line + 1))
+    except zlib.error:
+        return None
+    if len(raw) < height * (line + 1):
+        return None
+    rows = _unfiltered(raw, height, line, max(1, samples * bits // 8))
+    if bits == 16:
+        rows = rows[:, ::2]  # the high byte
+    elif bits < 8:
+        rows = np.unpackbits(rows, axis=1).reshape(height, -1, bits)
+        rows = (rows * (1 << np.arange(bits)[::-1])).sum(axis=2).astype(np.uint8)[:, :width]
+        if kind == 0:
+            rows = (rows.astype(np.uint16) * 255 // ((1 << bits) - 1)).astype(np.uint8)
+    pixels = rows[:, : width * samples].reshape(height, width, samples)
+    full = np.full((height, width, 1), 255, np.uint8)
+    if kind == 3:
+        colours = np.zeros((256, 3), np.uint8)
+        colours[: len(palette) // 3] = np.frombuffer(palette[: len(palette) // 3 * 3], np.uint8).reshape(-1, 3)[:256]
+        return np.concatenate([colours[pixels[..., 0]], full], axis=2)
+    if kind in (0, 4):
+        grey = np.repeat(pixels[..., :1], 3, axis=2)
+        return np.concatenate([grey, pixels[..., 1:] if kind == 4 else full], axis=2)
+    return pixels if kind == 6 else np.concatenate([pixels, full], axis=2)
+
+
 def write_png(images: DataFrame) -> DataFrame:
     """(file_id, width, height, channels, data: rows of blue, green, red and perhaps alpha, as Spark reads them) -> (file_id, content)."""
 
@@ -108,11 +201,12 @@ def write_png(images: DataFrame) -> DataFrame:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
     def one(width: int, height: int, channels: int, data: bytes) -> bytes:
-        rows = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-        order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[channels]
+        size = height * width * channels
+        rows = np.frombuffer(data[:size].ljust(size, b"\0"), np.uint8).reshape(height, width, channels)
+        order = {1: [0], 2: [0, 1], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[channels]
         raw = np.zeros((height, 1 + width * channels), np.uint8)  # a filter byte of 0 before each row
         raw[:, 1:] = rows[:, :, order].reshape(height, -1)
-        kind = {1: 0, 3: 2, 4: 6}[channels]
+        kind = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
         return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,72 +1,197 @@
-"""PDF writer: pieces are wrapped into lines, lines are dealt to pages by running heights, and the places of objects by running lengths.
+"""PDF writer: expressions measure runs and wrap them into lines; lines become boxes, boxes are dealt to pages, and objects put into the file, file by file.
 
-All of it is expressions and windows within a file. Texts are in the standard face and its code page; pictures stand as their label.
+A box is what stays on one page: a line of text, a row of a table with its rules, or a picture. Runs keep their faces (regular, bold, slanted, both) within a line. Texts are in the
+standard faces and their code page. JPEG bytes are passed through, PNG rows as they are compressed; a PNG with alpha is flattened on white.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.glyphs import code_page, pdf_escape, width
+from ..functions.glyphs import pdf_escape, width
 from ..functions.text import WS
-from ..operators.layout import wrap
-from .pieces import picture_label, text_of
+from .media import jpeg_size, png_parts, png_rows, png_size
+from .pieces import picture_label
 
 # An A4 page in points, its margin, and sizes of text.
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN = 595, 842, 72
 TEXT_SIZE, HEADING_SIZES, LEADING = 11, {1: 20, 2: 16}, 1.35
-_BOLD_BIT = 8
+#: Lines of one paragraph are at most this far apart, paragraphs at least BEFORE more (see ``layout.PARAGRAPH_GAP``).
+MOST_LEADING, BEFORE, CELL_PAD = 20, 12, 4
+FACES = ["Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique"]
+#: Bold letters are wider; lines are wrapped as if by this much.
+_BOLD = 1.1
+_ROOM_X, _ROOM_Y = PAGE_WIDTH - 2 * MARGIN, PAGE_HEIGHT - 2 * MARGIN
+_SEGMENTS = "array<struct<face: int, text: string>>"
+
+
+def _tokens(runs: Column, bold: Column) -> Column:
+    """Words of runs: text, face, whether the word goes on in the one before, and its width, measured once."""
+    white = f"^{WS}"
+
+    def words(r: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(runs, k - 1)["text"], F.lit(" "))
+        joined = ~r["text"].rlike(white) & ~before.rlike(f"{WS}$") & (F.length(before) > 0)
+        face = (r["b"] | bold).cast("int") + 2 * r["i"].cast("int")
+        return F.transform(F.filter(F.split(r["text"], f"{WS}+"), lambda w: F.length(w) > 0), lambda w, j: F.struct(w.alias("text"), face.alias("face"), (joined & (j == 0)).alias("glued"), (width(w) * F.when(face % 2 == 1, _BOLD).otherwise(1.0)).alias("wide")))
+
+    return F.flatten(F.transform(runs, words))
+
+
+def _wrapped(tokens: Column, room: Column) -> Column:
+    """Lines (arrays of face and text) of tokens, in thousandths of their size; at least one line."""
+    none = F.array().cast(_SEGMENTS)
+    start = F.struct(F.array().cast(f"array<{_SEGMENTS}>").alias("done"), none.alias("line"), F.lit(0.0).alias("wide"))
 
+    def step(s: Column, t: Column) -> Column:
+        size = t["wide"]
+        gap = F.when(t["glued"] | (F.size(s["line"]) == 0), 0.0).otherwise(278.0)
+        fits = (F.size(s["line"]) == 0) | (s["wide"] + gap + size <= room)
+        last = F.element_at(s["line"], -1)
+        text = F.concat(F.when(gap > 0, " ").otherwise(""), t["text"])
+        longer = F.concat(F.slice(s["line"], 1, F.size(s["line"]) - 1), F.array(F.struct(last["face"].alias("face"), F.concat(last["text"], text).alias("text"))))
+        same = (F.size(s["line"]) > 0) & F.coalesce(F.get(s["line"], F.size(s["line"]) - 1)["face"] == t["face"], F.lit(False))
+        on = F.when(same, longer).otherwise(F.concat(s["line"], F.array(F.struct(t["face"].alias("face"), text.alias("text")))))
+        fresh = F.array(F.struct(t["face"].alias("face"), t["text"].alias("text")))
+        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))).alias("done"), F.when(fits, on).otherwise(fresh).alias("line"), F.when(fits, s["wide"] + gap + size).otherwise(size.cast("double")).alias("wide"))
 
-def _lines(pieces: DataFrame) -> DataFrame:
-    """file_id, seq, row, k, line, size, bold: one row a line of text; cells of a row stand in one line."""
-    text = F.when(F.col("t") == "img", picture_label(F.coalesce("alt", F.lit("")))).otherwise(text_of(F.col("runs")))
-    row = pieces.withColumn("text", text).groupBy("file_id", "seq", "t", "level", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ").alias("text"))
-    marked = F.when(F.col("t") == "ol", F.concat((F.col("row") + 1).cast("string"), F.lit(". "), "text")).when(F.col("t") == "ul", F.concat(F.lit("• "), "text")).otherwise(F.col("text"))
+    return F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], F.array(s["line"])))
+
+
+def _shown(segments: Column, size: Column) -> Column:
+    """Operators that show the segments of a line, face after face."""
+    return F.array_join(F.transform(segments, lambda g: F.concat(F.lit("/F"), (g["face"] + 1).cast("string"), F.lit(" "), size.cast("string"), F.lit(" Tf ("), pdf_escape(g["text"]), F.lit(") Tj "))), "")
+
+
+def measured(pieces: DataFrame) -> DataFrame:
+    """Pieces with what a page needs of them: size of text, distance of lines, columns of the table, lines as operators, and width and height of a picture."""
     size = F.when(F.col("t") == "h", F.when(F.col("level") == 1, HEADING_SIZES[1]).when(F.col("level") == 2, HEADING_SIZES[2]).otherwise(13)).otherwise(TEXT_SIZE)
-    sized = row.withColumn("size", size).withColumn("words", F.filter(F.split(marked, f"{WS}+"), lambda w: F.length(w) > 0))
-    # widths are in thousandths of the size
-    room = (PAGE_WIDTH - 2 * MARGIN) * 1000.0 / F.col("size")
-    return sized.select("file_id", "seq", "row", "size", (F.col("t") == "h").alias("bold"), F.posexplode(wrap(F.col("words"), room, width)).alias("k", "line"))
+    lead = F.least(F.ceil(size * LEADING), F.lit(MOST_LEADING)).cast("double")
+    columns = F.max("col").over(Window.partitionBy("file_id", "seq")) + 1
+    marked = F.when(F.col("t") == "ol", F.concat((F.col("row") + 1).cast("string"), F.lit(". "))).when(F.col("t") == "ul", "• ").when(F.col("t") == "img", picture_label(F.coalesce("alt", F.lit(""))))
+    runs = F.when(marked.isNotNull(), F.concat(F.array(F.struct(marked.alias("text"), F.lit(False).alias("b"), F.lit(False).alias("i"))), F.col("runs"))).otherwise(F.col("runs"))
+    told = pieces.repartition("file_id").withColumn("columns", columns).withColumn("size", size).withColumn("lead", lead).withColumn("runs", runs)
+    room = F.when(F.col("t") == "table", _ROOM_X / F.col("columns") - 2 * CELL_PAD).otherwise(_ROOM_X) * 1000.0 / F.col("size")
+    lines = told.withColumn("tokens", _tokens(F.col("runs"), F.col("t") == "h")).withColumn("lines", _wrapped(F.col("tokens"), room))
+    shown = F.transform("lines", lambda line: _shown(line, F.col("size")))
+    own = F.when(F.col("t") == "img", F.coalesce(png_size(F.col("data")), jpeg_size(F.col("data"))))
+    w, h = own["width"] * 0.75, own["height"] * 0.75
+    scale = F.least(F.lit(1.0), _ROOM_X / F.greatest(w, F.lit(1.0)), (_ROOM_Y / 2.0) / F.greatest(h, F.lit(1.0)))
+    return lines.select("file_id", "seq", "t", "row", "col", F.col("columns").cast("int").alias("columns"), "lead", shown.alias("lines"), (w * scale).alias("w"), (h * scale).alias("h"), "data")
+
+
+class _Box(NamedTuple):
+    """What stays on one page."""
+
+    before: float
+    high: float
+    texts: list  # x, baseline from the top, operators
+    columns: int = 0
+    picture: tuple | None = None  # data, width, height
+
+
+def _boxes(group: pd.DataFrame) -> Iterator[_Box]:
+    """The boxes of a file in order: lines of text, rows of tables, pictures."""
+    for (_, row), same in group.sort_values(["seq", "row", "col"], kind="stable").groupby(["seq", "row"], sort=False):
+        cells = list(same.itertuples(index=False))
+        c = cells[0]
+        if c.t == "table":
+            texts = [(MARGIN + x.col * _ROOM_X / c.columns + CELL_PAD, 0.8 * c.lead + k * c.lead + CELL_PAD, line) for x in cells for k, line in enumerate(x.lines)]
+            yield _Box(BEFORE if row == 0 else 0, max(len(x.lines) for x in cells) * c.lead + 3 * CELL_PAD, texts, c.columns)
+        elif c.t == "img" and c.w == c.w:  # a size that is told is a number
+            yield _Box(BEFORE, c.h, [(MARGIN, 12, c.lines[0])], 0, (bytes(c.data), c.w, c.h))
+        else:
+            yield from (_Box(BEFORE if k == 0 else 0, c.lead, [(MARGIN, 0.8 * c.lead, line)]) for k, line in enumerate(c.lines))
+
+
+def _image(data: bytes) -> tuple[str, bytes] | None:
+    """Head and stream of a picture object; None if the bytes cannot be shown as they are."""
+    if data[:2] == b"\xff\xd8":
+        found = jpeg_frame(data)
+        if not found:
+            return None
+        height, wide, n = found
+        return f"/Width {wide}/Height {height}/BitsPerComponent 8/ColorSpace/{ {1: 'DeviceGray', 3: 'DeviceRGB', 4: 'DeviceCMYK'}[n] }/Filter/DCTDecode", data
+    png = png_parts(data)
+    if png is None:
+        return None
+    wide, height, bits, kind, laced, palette, body = png
+    if laced or kind in (4, 6):
+        rows = png_rows(data)
+        if rows is None:
+            return None
+        flat = rows[..., :3].astype("u2") * rows[..., 3:] + 255 * (255 - rows[..., 3:].astype("u2")) + 127
+        return f"/Width {wide}/Height {height}/BitsPerComponent 8/ColorSpace/DeviceRGB/Filter/FlateDecode", zlib.compress((flat // 255).astype("u1").tobytes(), 6)
+    colours = 3 if kind == 2 else 1
+    space = f"[/Indexed/DeviceRGB {len(palette) // 3 - 1}<{palette.hex()}>]" if kind == 3 else "/DeviceRGB" if kind == 2 else "/DeviceGray"
+    return f"/Width {wide}/Height {height}/BitsPerComponent {bits}/ColorSpace{space}/Filter/FlateDecode/DecodeParms<</Predictor 15/Colors {colours}/BitsPerComponent {bits}/Columns {wide}>>", body
+
+
+def jpeg_frame(data: bytes) -> tuple[int, int, int] | None:
+    """Height, width and number of colours of the frame of a JPEG."""
+    at = 2
+    while at + 9 < len(data) and data[at] == 0xFF:
+        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 5 : at + 7], "big"), int.from_bytes(data[at + 7 : at + 9], "big"), data[at + 9]
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def _file(group: pd.DataFrame) -> bytes:
+    """The boxes of a file, in order, as pages and objects."""
+    pages: list[list[str]] = [[]]
+    images: list[tuple[str, bytes]] = []
+    used: list[set[int]] = [set()]
+    down = 0.0
+    for b in _boxes(group):
+        if pages[-1] and down + b.before + b.high > _ROOM_Y:
+            pages.append([])
+            used.append(set())
+            down = 0.0
+        top = PAGE_HEIGHT - MARGIN - down - (b.before if pages[-1] else 0)
+        down = PAGE_HEIGHT - MARGIN - top + b.high
+        made = _image(b.picture[0]) if b.picture else None
+        if made:
+            images.append(made)
+            used[-1].add(len(images))
+            pages[-1].append(f"q {b.picture[1]:.2f} 0 0 {b.picture[2]:.2f} {MARGIN} {top - b.picture[2]:.2f} cm /P{len(images)} Do Q\n")
+            continue
+        step = _ROOM_X / b.columns if b.columns else 0
+        pages[-1] += [f"{MARGIN + k * step:.2f} {top - b.high:.2f} {step:.2f} {b.high:.2f} re S\n" for k in range(b.columns)]
+        pages[-1] += [f"BT {x:.2f} {top - y:.2f} Td {shown}ET\n" for x, y, shown in b.texts if shown]
+    first = 3 + len(FACES)
+    kids = [first + len(images) + 2 * k for k in range(len(pages))]
+    fonts = "".join(f"/F{k + 1} {3 + k} 0 R" for k in range(len(FACES)))
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {len(pages)}/Kids[{' '.join(f'{k} 0 R' for k in kids)}]>>".encode()]
+    objects += [f"<</Type/Font/Subtype/Type1/BaseFont/{face}/Encoding/WinAnsiEncoding>>".encode() for face in FACES]
+
+    def stream(head: str, body: bytes) -> bytes:
+        return f"<<{head}/Length {len(body)}>>stream\n".encode() + body + b"\nendstream"
+
+    objects += [stream(f"/Type/XObject/Subtype/Image{head}", body) for head, body in images]
+    for k, (page, names) in enumerate(zip(pages, used, strict=True)):
+        shown = "".join(f"/P{n} {first + n - 1} 0 R" for n in sorted(names))
+        objects.append(f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 {PAGE_WIDTH} {PAGE_HEIGHT}]/Resources<</Font<<{fonts}>>{f'/XObject<<{shown}>>' if shown else ''}>>/Contents {kids[k] + 1} 0 R>>".encode())
+        objects.append(stream("", "".join(page).encode("latin-1", "replace")))
+    out, places = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"), []
+    for k, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % k + o + b"\nendobj\n"
+    at = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out + b"trailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, at))
 
 
 def write_pdf(pieces: DataFrame) -> DataFrame:
     """(file_id, content) of pieces."""
-    order = Window.partitionBy("file_id").orderBy("seq", "row", "k")
-    high = F.ceil(F.col("size") * LEADING) + F.when((F.col("k") == 0) & (F.col("row") == 0), 6).otherwise(0)
-    room = PAGE_HEIGHT - 2 * MARGIN
-    dealt = _lines(pieces).withColumn("high", high).withColumn("down", F.sum("high").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    paged = dealt.withColumn("page", F.floor((F.col("down") - 1) / room).cast("long")).withColumn("top", F.col("down") - F.col("page") * room)
-    y = (PAGE_HEIGHT - MARGIN - F.col("top")).cast("string")
-    shown = F.concat(F.lit("BT /F"), F.when(F.col("bold"), "2").otherwise("1"), F.lit(" "), F.col("size").cast("string"), F.lit(f" Tf {MARGIN} "), y, F.lit(" Td ("), pdf_escape(F.col("line")), F.lit(") Tj ET\n"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "row", "k", shown.alias("s")))), lambda x: x["s"])
-    pages = paged.groupBy("file_id", "page").agg(F.array_join(in_order, "").alias("stream"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("file_id"))
-    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("page")) - 1
-    numbered = pages.withColumn("n", n).withColumn("nth", nth)
-
-    def number(k: int) -> Column:
-        return F.col("nth") * 2 + k
-
-    page = F.concat(F.lit(f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 {PAGE_WIDTH} {PAGE_HEIGHT}]/Resources<</Font<</F1 3 0 R/F2 4 0 R>>>>/Contents "), number(6).cast("string"), F.lit(" 0 R>>"))
-    stream = F.concat(F.lit("<</Length "), F.length("stream").cast("string"), F.lit(">>stream\n"), "stream", F.lit("endstream"))
-    files = numbered.groupBy("file_id").agg(F.max("n").alias("n"))
-    kids = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat((k * 2 + 5).cast("string"), F.lit(" 0 R"))), " ")
-    face = "<</Type/Font/Subtype/Type1/BaseFont/{}/Encoding/WinAnsiEncoding>>"
-    heads = files.select(
-        "file_id",
-        F.posexplode(F.array(F.lit("<</Type/Catalog/Pages 2 0 R>>"), F.concat(F.lit("<</Type/Pages/Count "), F.col("n").cast("string"), F.lit("/Kids["), kids, F.lit("]>>")), F.lit(face.format("Helvetica")), F.lit(face.format("Helvetica-Bold")))).alias("k", "body"),
-    ).select("file_id", (F.col("k") + 1).cast("long").alias("number"), "body")
-    objects = heads.unionByName(numbered.select("file_id", number(5).cast("long").alias("number"), page.alias("body"))).unionByName(numbered.select("file_id", number(6).cast("long").alias("number"), stream.alias("body")))
-    text = F.concat(F.col("number").cast("string"), F.lit(" 0 obj\n"), "body", F.lit("\nendobj\n"))
-    head = "%PDF-1.4\n"
-    by = Window.partitionBy("file_id").orderBy("number")
-    placed = objects.withColumn("text", text).withColumn("at", F.lit(len(head)) + F.coalesce(F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gathered = placed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("number", "at", "text"))).alias("o"))
-    body = F.array_join(F.transform("o", lambda x: x["text"]), "")
-    table = F.array_join(F.transform("o", lambda x: F.concat(F.lpad(x["at"].cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
-    size = (F.size("o") + 1).cast("string")
-    whole = F.concat(F.lit(head), body, F.lit("xref\n0 "), size, F.lit("\n0000000000 65535 f \n"), table, F.lit("trailer<</Size "), size, F.lit("/Root 1 0 R>>\nstartxref\n"), (F.length(body) + len(head)).cast("string"), F.lit("\n%%EOF\n"))
-    # every character is a byte of the code page, so lengths in characters are lengths in bytes
-    return gathered.select("file_id", F.encode(code_page(whole), "ISO-8859-1").alias("content"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "content": [_file(group)]})
+
+    return measured(pieces).groupBy("file_id").applyInPandas(run, "file_id string, content binary")

@@ -151,7 +151,7 @@ def test_pdf_objects_are_where_the_table_says(spark):
     places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n ", made[at:])]
     assert made[at : at + 4] == b"xref" and all(made[p:].startswith(f"{k} 0 obj\n".encode()) for k, p in enumerate(places, 1))
     assert len(re.findall(rb"/Type/Page/Parent", made)) > 1 and rb"<x>" in made
-    for n, body in re.findall(rb"<</Length (\d+)>>stream\n(.*?)endstream", made, re.S):
+    for n, body in re.findall(rb"/Length (\d+)>>stream\n(.*?)\nendstream", made, re.S):
         assert int(n) == len(body)
     assert QUERIES["pdf_files"](spark, SF_DIR).where("NOT sound OR code IS NOT NULL").count() == 0
 
