@@ -99,13 +99,15 @@ def fingerprint(s: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """The sketch of a fingerprint."""
-    n = F.shiftright(F.length(text) - 1, 4)
-    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: text.substr(16 * k - 14, F.lit(16)))).otherwise(F.array().cast("array<string>"))
-    return F.struct((F.substring(text, 1, 1) == "w").alias("whole"), hashes.alias("hashes"))
+    return F.struct((F.substring(text, 1, 1) == "w").alias("whole"), _sixteens(F.substring(text, 2, 1 << 30)).alias("hashes"))
+
+
+def _sixteens(digits: Column) -> Column:
+    return F.regexp_extract_all(digits, F.lit("[0-9a-f]{16}"), F.lit(0))
 
 
 def _unpacked(whole: Column, bits: Column) -> Column:
-    return parsed(F.concat(F.when(whole, F.lit("w")).otherwise(F.lit("p")), F.lower(F.hex(bits))))
+    return F.struct(whole.alias("whole"), _sixteens(F.lower(F.hex(bits))).alias("hashes"))
 
 
 def low_hashes(df: DataFrame, by: list[str], sketch_col: str = "sketch", share: int = SHARE) -> DataFrame:
