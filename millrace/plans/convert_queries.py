@@ -155,7 +155,8 @@ def _tables(spark, sf_dir, target, end):
     lines = i.table(spark, sf_dir, "lineitem")
     middle = F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.concat("l_returnflag", F.lit(" & <"), "l_linestatus", F.lit(">")))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
-    cells = lines.select(F.col("l_orderkey").cast("string").alias("file_id"), place.alias("row"), F.posexplode(F.array(F.col("l_suppkey").cast("string"), middle, F.when(F.col("l_quantity") > 25, F.col("l_partkey").cast("string")))).alias("col", "text")).where("text IS NOT NULL")
+    placed = lines.withColumn("row", place)
+    cells = placed.select(F.col("l_orderkey").cast("string").alias("file_id"), "row", F.posexplode(F.array(F.col("l_suppkey").cast("string"), middle, F.when(F.col("l_quantity") > 25, F.col("l_partkey").cast("string")))).alias("col", "text")).where("text IS NOT NULL")
     pieces = as_pieces(cells, file_id=F.col("file_id"), seq=F.lit(0), t=F.lit("table"), row=F.col("row"), col=F.col("col"), runs=F.array(plain_run(F.col("text"))))
     made = c.encode(pieces, target).select(F.col("file_id").alias("hid"), F.lit(f"t{end}").alias("name"), F.octet_length("content").alias("size"), "content")
     back = c.pieces_of(c.parts(made)).where("t = 'table'")
