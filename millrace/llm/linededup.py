@@ -31,8 +31,8 @@ and removed are the operator's own and replace columns of that name).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from .arrowmap import gathered, release, thrifty
 from .clusters import linked
 from .kernel import U64, buffers, chunks, mix, prefix_of_hashes, ragged, shingle_hashes, span_hash, starts_within, word_hashes
-from .repeats import _ROW_BIT, _ids, _rows, dealt, groups_of, pack, part_column, together, unpack
+from .repeats import _NO_ID, _ids, _rows, dealt, groups_of, pack, tasks_of, together, unpack
 from .workspace import Workspace
 
 BLOCKS, LEAST_WORDS, PERCENT = 4, 5, 80
@@ -52,12 +52,11 @@ BLOCKS, LEAST_WORDS, PERCENT = 4, 5, 80
 RUNS_FROM = 10
 #: Runs that a long line enters at most.
 MOST_RUNS = 24
-#: Slots in which runs of two words are counted, for each group of documents and at most (a byte each is broadcast), and how many
-#: times the mean of all slots is common.
-SLOTS_A_GROUP, MOST_SLOTS, COMMON = 1 << 14, 1 << 27, 8
+#: Slots in which runs of two words are counted, for each group of documents and at most, and how many times the mean of all slots is
+#: common: an eighth of the slots are at most, and only these are sent out.
+SLOTS_A_GROUP, MOST_SLOTS, COMMON = 1 << 14, 1 << 24, 8
 #: Lines of a key up to which each is held against all others before the key is told; in larger groups all stay.
 SMALL_KEY = 12
-_TAG_BITS = 22
 _SKETCH = ["s0", "s1", "s2", "s3"]
 
 #: How bytes read in a normalised line; bytes beyond ASCII stand for themselves.
@@ -122,7 +121,7 @@ def _leading(n: np.ndarray, percent: int) -> np.ndarray:
     return most[np.searchsorted(size, n)] + 1
 
 
-def near_keys(h: np.ndarray, size: np.ndarray, first: np.ndarray, use: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def near_keys(h: np.ndarray, size: np.ndarray, first: np.ndarray, use: np.ndarray, common: Common, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of lines, and the place in ``use`` of each key's line: similar lines that are not equal share a key.
 
     Lines of few words meet by three words: each edit takes at most one from what two lines have in common, and if the words of both
@@ -148,34 +147,52 @@ def near_keys(h: np.ndarray, size: np.ndarray, first: np.ndarray, use: np.ndarra
     ids, place = ragged(n[many] - 1)
     at = first[use[many]][ids] + place
     runs = shingle_hashes(h, 2)[at]
-    ids, place, token = _ranked(runs, common[_slots(runs, common)], size[at] + size[at + 1], ids)
+    ids, place, token = _ranked(runs, common.of(runs), size[at] + size[at + 1], ids)
     some = place < np.minimum(_leading(n[many], percent), MOST_RUNS)[ids]
     return np.concatenate([*which, many[ids[some]]]), np.concatenate([*keys, token[some]])
 
 
-def _slots(runs: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return ((runs >> U64(8)) & U64(len(of) - 1)).astype(np.int64)
+def _slots(runs: np.ndarray, slots: int) -> np.ndarray:
+    return ((runs >> U64(8)) & U64(slots - 1)).astype(np.int64)
 
 
-def common_runs(docs: DataFrame, slots: int) -> np.ndarray:
-    """How common the runs of two words of each slot are: 0 for all but those that some task has far more often than the mean
-    of its slots (a run that is so common over all must be so in one of them). All texts are counted; only common slots leave a task."""
+class Common:
+    """How common the runs of two words of each slot are: 0 for all but those that have far more than the mean."""
+
+    def __init__(self, slots: int, slot: np.ndarray, level: np.ndarray):
+        self.slots, self.slot, self.level = slots, slot.astype(np.int32), level.astype(np.uint8)
+
+    @cached_property
+    def _of_slot(self) -> np.ndarray:
+        full = np.zeros(self.slots, np.uint8)
+        full[self.slot] = self.level
+        return full
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_of_slot"}
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        return self._of_slot[_slots(runs, self.slots)]
+
+
+def common_runs(docs: DataFrame, slots: int) -> Common:
+    """All texts are counted: each task counts what its chunks have and tells the slots that it has far more often than the mean (a run that is so
+    common over all must be so in one of them)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for t in gathered(batches):
             for _, _, d, o in chunks(*_read(t["text"])):
                 h, _, _, first = word_hashes(d, split_lines(d, o)[0])
-                total += np.bincount(_slots(shingle_hashes(h, 2)[starts_within(first, 2)], total), minlength=slots)
+                slot, n = np.unique(_slots(shingle_hashes(h, 2)[starts_within(first, 2)], slots), return_counts=True)
+                total[slot] += n
         usual = max(COMMON * float(total.mean()), 32.0)
         slot = np.flatnonzero(total > usual)
         level = np.minimum(31, 1 + np.floor(2 * np.log2(total[slot] / usual)))
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(level.astype(np.int32))], names=["slot", "level"])
 
-    found = docs.mapInArrow(count, "slot int, level int").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
-    common = np.zeros(slots, np.uint8)
-    common[found["slot"].to_numpy()] = found["level"].to_numpy()
-    return common
+    found = docs.select("text").mapInArrow(count, "slot int, level int").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
+    return Common(slots, found["slot"].to_numpy(), found["level"].to_numpy())
 
 
 def parities(h: np.ndarray, first: np.ndarray, width: int = 1) -> list[np.ndarray]:
@@ -221,7 +238,7 @@ class Lines:
         of, place = ragged(self.words[some])
         return parities(self.h[self.first[self.use[some]][of] + place], np.cumsum(self.words[some]) - self.words[some])[0]
 
-    def entries(self, some: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def entries(self, some: np.ndarray, common: Common, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these lines the places in ``some`` and what they meet others by: numbers (of a block, or beyond) and codes of 32 bits."""
         use, words = self.use[some], self.words[some]
         which, key = near_keys(self.h, self.bytes, self.first, use, common, percent)
@@ -243,24 +260,16 @@ class Lines:
         )
 
 
-def _tags(text: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """What tells rows of one id apart, in the bits above a line's number: a check sum of the text."""
-    data, offsets = buffers(text)
-    raw, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
-    tag = np.fromiter((crc32(raw[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)), np.int64, len(ends) - 1)
-    return (tag >> (32 - _TAG_BITS)) << _ROW_BIT
-
-
-def _rows_of(docs: pa.Table, own: np.ndarray, line: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Of each row that is meant by some of the places (own, line): their places in the list, and the lines' numbers."""
+def _rows_of(docs: pa.Table, own: np.ndarray, tag: np.ndarray, line: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Of each row that is meant by some of the places (own, tag, line): their places in the list, and the lines' numbers. Rows that agree in
+    id and text are meant by the same places."""
     rows: dict[tuple[int, int], list[int]] = {}
-    for r, k in enumerate(zip(_ids(docs["doc_id"]).tolist(), _tags(docs["text"]).tolist(), strict=True)):
+    for r, k in enumerate(zip(_ids(docs["doc_id"]).tolist(), docs["tag"].to_numpy().tolist(), strict=True)):
         rows.setdefault(k, []).append(r)
     out: dict[int, list[tuple[int, int]]] = {}
-    low = (1 << _ROW_BIT) - 1
-    for k, (d, n) in enumerate(zip(own.tolist(), line.tolist(), strict=True)):
-        for r in rows[d, n & ~low]:
-            out.setdefault(r, []).append((k, n & low))
+    for k, (d, t, n) in enumerate(zip(own.tolist(), tag.tolist(), line.tolist(), strict=True)):
+        for r in rows[d, t]:
+            out.setdefault(r, []).append((k, n))
     return out
 
 
@@ -277,32 +286,33 @@ def _read(text: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return _READ[data], offsets
 
 
-_SCANNED = "bucket int, payload binary, item long, words int, doc array<long>, line array<long>"
-_MET = "col long, item long, words int, doc array<long>, line array<long>"
-_PLACES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_PLACED = "item long, words int, doc array<long>, tag array<long>, line array<int>"
+_SCANNED = f"bucket int, payload binary, {_PLACED}"
+_MET = f"col long, {_PLACED}"
+_PLACES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
 
-def _scan(buckets: int, least_words: int, common: np.ndarray, percent: int) -> Callable:
+def _scan(buckets: int, least_words: int, common: Common, percent: int) -> Callable:
     """Entries of items by bucket, packed, an item once a task; and the places of each item in a table of texts, one row."""
-    names = ["bucket", "payload", "item", "words", "doc", "line"]
+    names = ["bucket", "payload", "item", "words", "doc", "tag", "line"]
 
-    def places(item: np.ndarray, words: np.ndarray, doc: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    def places(item: np.ndarray, words: np.ndarray, doc: np.ndarray, tag: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(item, kind="stable")
         item = item[order]
         head = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
         ends = pa.array(np.append(head, len(item)), pa.int32())
         route = (item[head] % U64(buckets)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (doc, line)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (doc, tag, line.astype(np.int32))]
         return pa.RecordBatch.from_arrays([pa.array(route), pa.nulls(len(head), pa.binary()), pa.array(item[head].view(np.int64)), pa.array(words[order][head].astype(np.int32)), *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, U64)
         for t in gathered(batches):
-            ids, tags = _ids(t["doc_id"]), _tags(t["text"])
+            ids, tags = _ids(t["doc_id"]), t["tag"].to_numpy()
             found, entered = [], []
             for i, _, d, o in chunks(*_read(t["text"])):
                 x = Lines(d, o, least_words)
-                found.append((x.item, x.words, ids[i + x.row], x.number + tags[i + x.row]))
+                found.append((x.item, x.words, ids[i + x.row], tags[i + x.row], x.number))
                 item, at = np.unique(x.item, return_index=True)
                 new = np.searchsorted(seen, item, "right") == np.searchsorted(seen, item)
                 which, nth, code = x.entries(at[new], common, percent)
@@ -324,7 +334,7 @@ def _scan(buckets: int, least_words: int, common: np.ndarray, percent: int) -> C
 
 def _shared(percent: int) -> Callable:
     """Keys (col) that several items of fitting sizes have; places pass as they are."""
-    names = ["col", "item", "words", "doc", "line"]
+    names = ["col", "item", "words", "doc", "tag", "line"]
 
     def solve(values: list[bytes]) -> pa.RecordBatch:
         code, nth, words, item, sketch = (np.concatenate(x) for x in zip(*(unpack(v, np.uint32, np.uint8, np.uint16, np.uint64, np.uint64) for v in values), strict=True))
@@ -428,7 +438,7 @@ def _fetch(key: tuple, docs: pa.Table, wanted: pa.Table) -> pa.Table:
     thrifty()
     release()
     item, out = wanted["item"].to_numpy(), []
-    rows = _rows_of(docs, wanted["doc"].to_numpy(), wanted["line"].to_numpy())
+    rows = _rows_of(docs, wanted["doc"].to_numpy(), wanted["tag"].to_numpy(), wanted["line"].to_numpy())
     data, offsets = _read(docs["text"].take(pa.array(list(rows), pa.int64())))
     raw, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
     for x, y, places in zip(ends[:-1], ends[1:], rows.values(), strict=True):
@@ -444,7 +454,7 @@ def _cut(columns: list[str], text_col: str) -> Callable:
     def run(key: tuple, docs: pa.Table, gone: pa.Table) -> pa.Table:
         thrifty()
         release()
-        by = {r: [n for _, n in places] for r, places in _rows_of(docs, gone["doc"].to_numpy(), gone["line"].to_numpy()).items()}
+        by = {r: [n for _, n in places] for r, places in _rows_of(docs, gone["doc"].to_numpy(), gone["tag"].to_numpy(), gone["line"].to_numpy()).items()}
         texts = docs["text"].to_pylist()
         lines = [0 if t is None else t.count("\n") + 1 for t in texts]
         for r, drop in by.items():
@@ -467,22 +477,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     space = Workspace(spark, "lines")
     if percent < 70:
         raise ValueError("near_keys hold from 70 percent on")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    # rows that repeat an id, or have none, are told apart by their texts, and dealt by these
+    docs = df.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     buckets = buckets or groups_of(docs)
     common = common_runs(docs, min(MOST_SLOTS, max(1 << 18, 1 << (buckets * SLOTS_A_GROUP).bit_length())))
     scanned = docs.mapInArrow(_scan(buckets, least_words, common, percent), _SCANNED)
-    found = space.save(scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _MET))
+    found = space.save(scanned.repartition(tasks_of(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _MET))
     keys = space.save(found.where("col IS NOT NULL").select("col", F.col("item").alias("node")).distinct())
     # one row for each item and table of texts: a line that stands everywhere has no more rows than there are tables
-    places = found.where("col IS NULL").select("item", "words", "doc", "line")
-    first = F.array_min(F.arrays_zip("doc", "line"))
+    places = found.where("col IS NULL").select("item", "words", "doc", "tag", "line")
+    first = F.array_min(F.arrays_zip("doc", "tag", "line"))
     items = space.save(places.groupBy("item").agg(F.min(first).alias("first"), F.max("words").alias("size"), F.sum(F.size("doc")).alias("weight")))
     candidates = keys.select(F.col("node").alias("item")).distinct()
     # a line that stands most often is the likely centre of its near copies
-    wanted = space.save(items.join(candidates, "item", "left_semi").select("item", "first.doc", "first.line", "size", "weight"))
-    part = part_column(F.col("doc_id"), buckets).alias("part")
-    of_doc = part_column(F.col("doc"), buckets).alias("part")
-    fetched = together(docs.select(part, "doc_id", "text"), wanted.select(of_doc, "item", "doc", "line"), buckets)
+    wanted = space.save(items.join(candidates, "item", "left_semi").select("item", "first.doc", "first.tag", "first.line", "size", "weight"))
+    part, of_doc = (F.pmod(F.xxhash64(F.coalesce(F.col(x), F.lit(_NO_ID)), "tag"), F.lit(buckets)).cast("int").alias("part") for x in ("doc_id", "doc"))
+    fetched = together(docs.select(part, "doc_id", "tag", "text"), wanted.select(of_doc, "item", "doc", "tag", "line"), buckets)
     texts = space.save(fetched.applyInArrow(_fetch, "node long, text string, s0 long, s1 long, s2 long, s3 long"))
     nodes = space.save(wanted.select(F.col("item").alias("node"), "size", "weight").join(texts.drop("text"), "node"))
 
@@ -500,17 +511,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     grouped = items.join(groups.withColumnRenamed("node", "item"), "item", "left").select("item", "first", "weight", F.coalesce("component", "item").alias("component"))
     firsts = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("weight").alias("n")).where("n > 1").drop("n")
     kept = grouped.join(firsts, "component").select("item", "kept")
-    gone = places.join(kept, "item").select(F.explode(F.arrays_zip("doc", "line")).alias("place"), "kept").where("place <> kept")
-    gone = space.save(gone.select("place.doc", "place.line").select(of_doc, "doc", "line"))
+    gone = places.join(kept, "item").select(F.explode(F.arrays_zip("doc", "tag", "line")).alias("place"), "kept").where("place <> kept")
+    gone = space.save(gone.select("place.doc", "place.tag", "place.line").select(of_doc, "doc", "tag", "line"))
 
     own = ["n_lines", "n_removed", "removed"]
     columns = [c for c in df.columns if c not in own]
-    clash = {"part", "doc_id", "text"}
+    clash = {"part", "doc_id", "text", "tag"}
     inner = {c: c if c not in clash else f"__in_{c}" for c in columns}
-    whole = df.select(*(F.col(c).alias(inner[c]) for c in columns), part_column(F.col(id_col).cast("long"), buckets).alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole = df.select(*(F.col(c).alias(inner[c]) for c in columns), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     fields = [T.StructField(inner[c], df.schema[c].dataType) for c in columns]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType()))])
-    cut = together(whole, gone, buckets).applyInArrow(_cut([inner[c] for c in columns], inner[text_col]), schema)
+    cut = together(whole.withColumn("part", part), gone, buckets).applyInArrow(_cut([inner[c] for c in columns], inner[text_col]), schema)
     return cut.select(*(F.col(inner[c]).alias(c) for c in columns), *own)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .arrowmap import gathered, release, thrifty
 from .clusters import linked
 from .kernel import LOWER, U64, buffers, chunks, mix, shingle_hashes, starts_within, word_hashes
-from .repeats import _NO_ID, _ids, _key, _part, _rows, _stream, dealt, groups_of, pack, part_column, together, unpack
+from .repeats import _NO_ID, _ids, _key, _part, _rows, _stream, dealt, groups_of, pack, part_column, tasks_of, together, unpack
 from .workspace import Workspace
 
 GRAM, PERCENT = 4, 85
@@ -327,7 +327,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     space = Workspace(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = buckets or groups_of(docs)
-    counted = docs.mapInArrow(_columns(gram, buckets), "bucket int, kind int, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    counted = docs.mapInArrow(_columns(gram, buckets), "bucket int, kind int, payload binary").repartition(tasks_of(buckets), "bucket").sortWithinPartitions("bucket", "kind")
     told = space.save(counted.mapInArrow(_frequencies(buckets), "part int, payload binary"))
     grouped = docs.select(part_column(F.col("doc_id"), buckets).alias("part"), "doc_id", "text")
     matrix = space.save(together(grouped, told, buckets).applyInArrow(_matrix(gram, percent), _ROW))

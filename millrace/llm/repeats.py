@@ -38,6 +38,8 @@ from .workspace import Workspace
 
 #: Bytes of text that a group of documents has, about.
 GROUP_BYTES = 16 << 20
+#: Most partitions of a shuffle of groups.
+MOST_TASKS = 20_000
 #: Entries (one for each task that has it) from which on an anchor is dealt by window.
 HOT_ENTRIES = 500
 _LOW = U64(0xFFFFFFFF)
@@ -54,9 +56,16 @@ def groups_of(docs: DataFrame, text_col: str = "text") -> int:
     return max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES)) | 1
 
 
+def tasks_of(groups: int) -> int:
+    """Partitions over which groups are dealt. Those of a partition are walked one after the other, so that neither their size
+    nor what the driver keeps of a shuffle grows with their number."""
+    return min(groups, MOST_TASKS)
+
+
 def together(docs: DataFrame, told: DataFrame, groups: int):
-    """Groups (part) of both tables side by side, dealt over as many partitions as there are groups."""
-    return docs.repartition(groups, "part").groupBy("part").cogroup(told.repartition(groups, "part").groupBy("part"))
+    """Groups (part) of both tables side by side."""
+    n = tasks_of(groups)
+    return docs.repartition(n, "part").groupBy("part").cogroup(told.repartition(n, "part").groupBy("part"))
 
 
 @dataclass(frozen=True)
@@ -543,7 +552,7 @@ def remove_repeats(df: DataFrame, u: Units, engine: Engine, windows: Callable, i
     buckets = buckets or groups_of(docs)
 
     def streamed(x: DataFrame) -> DataFrame:
-        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return x.repartition(tasks_of(buckets), "bucket").sortWithinPartitions("bucket", "kind")
 
     entries = streamed(docs.mapInArrow(_propose(u, buckets), "bucket int, kind int, payload binary"))
     told = space.save(entries.mapInArrow(_count(buckets, hot_entries), "part int, hot boolean, payload binary"))
