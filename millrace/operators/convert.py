@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.files import ext_of, out_name
 from ..functions.vocab import DEFAULT_QUALITY
-from ..sources import formats, packages, pdf, pdfread, raster, readers, rtf, sound
+from ..sources import formats, packages, pdf, pdfread, raster, readers, rtf, sound, video
 from ..sources.model import CodecError
 from ..sources.pieces import ARROW, PIECES, as_pieces, assemble, plain_run
 from ..sources.shared import saved
@@ -47,9 +47,10 @@ READERS: dict[str, Callable[[bytes], list[dict]]] = {
     ".jpg": raster.probe,
     ".jpeg": raster.probe,
     ".wav": sound.probe,
+    **dict.fromkeys((".mp4", ".m4v", ".mov", ".webm", ".mkv", ".avi"), video.probe),
 }
 #: The family of a file by its extension, as far as it can be read.
-FAMILIES = {e: "image" if read is raster.probe else "audio" if read is sound.probe else "document" for e, read in READERS.items()}
+FAMILIES = {e: "image" if read is raster.probe else "audio" if read is sound.probe else "video" if read is video.probe else "document" for e, read in READERS.items()}
 
 _MORE = {"kind": "string", "page": "int", "x": "double", "y": "double", "body": "string", "name": "string", "size": "long", "code": "string"}
 _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
@@ -141,6 +142,13 @@ MEDIA: dict[str, tuple[str, Callable[[dict, str, int], bytes]]] = {
     **dict.fromkeys(("PNG", "JPG", "SVG"), ("image", lambda r, target, quality: raster.encoded(r["data"], r["mime"], int(r["x"]), int(r["y"]), r["name"] or "", target, quality))),
     "WAV": ("audio", lambda r, target, quality: sound.encoded(r["data"])),
 }
+#: Targets that nothing here makes, their family, and the code that says so.
+FAILING: dict[str, tuple[str, str]] = {
+    "WEBP": ("image", "webp-unsupported"),
+    "HEIC": ("image", "heic-output-unsupported"),
+    **{t: ("audio", f"{t.lower()}-unsupported") for t in ("MP3", "OGG", "AAC", "M4A")},
+    **{t: ("video", f"{t.lower()}-unsupported") for t in ("MP4", "WEBM", "MOV", "MKV", "AVI")},
+}
 TARGETS = {**dict.fromkeys(WRITERS, "document"), **{t: family for t, (family, _) in MEDIA.items()}}
 
 
@@ -170,25 +178,32 @@ def encode_media(found: DataFrame, target: str, quality: int, seconds: float) ->
     return found.where(F.col("kind") == kind).select("file_id", "data", "mime", "x", "y", "name").mapInArrow(run, "file_id string, content binary, made_code string")
 
 
-def _outcome(files: DataFrame, target: str, content: Column, code: Column) -> DataFrame:
-    family = TARGETS.get(target, "document")
+def _outcome(files: DataFrame, target: str, family: str, content: Column, code: Column) -> DataFrame:
     failed = F.when(content.isNull(), F.coalesce(code, F.lit("encode-failed")))
-    name = out_name(F.col("entry_name"), F.lit(family), F.lit(target))
+    name = out_name(F.col("entry_name"), F.lit(family or "document"), F.lit(target))
     return files.select("hid", "entry_name", name.alias("name"), F.lit(target).alias("target"), "src_size", F.octet_length(content).cast("long").alias("size"), content.alias("content"), failed.alias("code"))
 
 
 def convert(files: DataFrame, target: str, quality: int = DEFAULT_QUALITY, seconds: float = MOST_SECONDS) -> DataFrame:
     """Files (hid, name, size, content) as files of one target: hid, entry_name, name, target, src_size, size, content, code. A file of another
     family than the target's has the code of an unsupported target."""
-    if target not in TARGETS:
-        told = files.select("hid", F.col("name").alias("entry_name"), F.col("size").alias("src_size"))
-        return _outcome(told, target, F.lit(None).cast("binary"), F.lit("unsupported-target"))
     found = parts(files, seconds)
     told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), F.col("name").alias("entry_name"), F.col("size").alias("src_size"), F.col("code").alias("__code"))
+    family, code = FAILING.get(target, (TARGETS.get(target, ""), None))
+    other = [e for e, own in FAMILIES.items() if own != family]
+    strange = F.when(ext_of(F.col("entry_name")).isin(*other), "unsupported-target")
+    if target not in TARGETS:
+        return _outcome(told, target, family, F.lit(None).cast("binary"), F.coalesce(strange, F.col("__code"), F.lit(code or "unsupported-target")))
     if target in MEDIA:
         made = encode_media(found, target, quality, seconds).select(F.col("file_id").alias("hid"), "content", "made_code")
     else:
         made = encode(pieces_of(found), target).select(F.col("file_id").alias("hid"), "content", F.lit(None).cast("string").alias("made_code"))
-    other = [e for e, family in FAMILIES.items() if family != TARGETS[target]]
-    strange = F.when(ext_of(F.col("entry_name")).isin(*other), "unsupported-target")
-    return _outcome(told.join(made, "hid", "left"), target, F.col("content"), F.coalesce(F.col("__code"), F.col("made_code"), strange))
+    return _outcome(told.join(made, "hid", "left"), target, family, F.col("content"), F.coalesce(F.col("__code"), F.col("made_code"), strange))
+
+
+def probe_videos(files: DataFrame, seconds: float = MOST_SECONDS) -> DataFrame:
+    """(hid, name, size, content) of videos -> hid, width, height, seconds, code; read by ``parts`` like all others."""
+    found = parts(files, seconds)
+    told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), "code")
+    heads = found.where("kind = 'video'").select(F.col("file_id").alias("hid"), F.col("x").cast("long").alias("width"), F.col("y").cast("long").alias("height"), F.col("body").cast("double").alias("seconds"))
+    return told.join(heads, "hid", "left").select("hid", "width", "height", "seconds", "code")

@@ -16,7 +16,7 @@ from ..operators import convert
 
 #: Targets that ``convert`` accepts.
 WRITERS = set(convert.TARGETS)
-NO_WRITER = {"WEBP": "webp-unsupported", "MP3": "mp3-unsupported", "OGG": "ogg-unsupported", "AAC": "aac-unsupported", "M4A": "m4a-unsupported", "MP4": "mp4-unsupported", "WEBM": "webm-unsupported", "MOV": "mov-unsupported", "MKV": "mkv-unsupported", "AVI": "avi-unsupported", "HEIC": "heic-output-unsupported"}
+NO_WRITER = {t: code for t, (_, code) in convert.FAILING.items()}
 
 
 def encoder_found(name: str = "ffmpeg") -> bool:
