@@ -9,6 +9,7 @@ from ..functions import files as fx
 from ..functions import vocab as v
 from ..operators import report
 from ..operators.admission import admit
+from ..operators.staging import load_files
 from . import inputs as i
 
 Q: dict = {}
@@ -278,6 +279,17 @@ def bulk_update(spark, sf_dir):
     return f.select("hid", F.when(F.col("family") == "audio", "OGG").otherwise(F.col("target")).alias("bulk_target"), F.when(F.col("seq") % 10 == 3, F.col("wanted")).otherwise(F.col("target")).alias("manual_target"))
 
 
+@_query(
+    "staged_files",
+    f"""WITH {CLASSIFIED}, u AS (SELECT *, supported AND size <= {i.LIMIT_SQL} AS ok, row_number() OVER (PARTITION BY supported AND size <= {i.LIMIT_SQL} ORDER BY seq) AS place FROM classified), x AS (SELECT *, (SELECT count(*) FROM u) - least((SELECT count(*) FROM u WHERE ok), 20) AS extra FROM u WHERE ok AND place <= 20)
+SELECT hid, name, {i.TARGET_SQL} AS target, CAST(extra AS BIGINT) AS extra FROM x""",
+)
+def staged_files(spark, sf_dir):
+    """What the queue takes of files that were staged: the first twenty usable ones, and how many stay out."""
+    staged = i.files(spark, sf_dir).withColumn("target", F.col("wanted")).withColumn("ts", F.lit(None).cast("long"))
+    return load_files(staged).select("hid", "name", "target", "extra")
+
+
 _OFFERS = "o AS (SELECT * FROM (VALUES " + ", ".join([f"('{f}', {k}, '{t}', true, NULL)" for f, ts in v.TARGETS.items() for k, t in enumerate(ts)] + ["('image', 4, 'HEIC', false, 'input only')"]) + ") AS t(family, position, target, available, label))"
 
 
