@@ -12,7 +12,8 @@ to all: the reference grows with the corpus, so no bound of a broadcast could be
 segment can only match in the shard of its anchor.
 
 Defined cases: null text has no words; texts with fewer words than the window lose nothing; rows of one
-id count as one document in the order of their texts; kept words are joined by one space; an empty
+id count as one document in the order of their texts, and a null id as a last one; places that tie in id are told apart by their start; very long texts
+are read whole; kept words are joined by one space; an empty
 table gives an empty result; further columns are ignored.
 """
 

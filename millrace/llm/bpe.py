@@ -14,7 +14,8 @@ Only a file of kind byte-level BPE without normaliser is accepted. Its path is a
 session runs and its merges reach the executors with the function (about 1 MB, fixed by the vocabulary).
 
 Defined cases: null text counts as empty and gives no ids; very long texts are handled whole, the
-vectors of a batch being bounded by its own size; repeated rows give equal results; an empty table
+vectors of a batch being bounded by its own size; of places of one rank the leftmost is merged first, which settles ties; ids take no part, so that null and repeated ones
+pass; repeated rows give equal results; an empty table
 gives an empty result; further columns are kept by ``encode`` and ignored by the query.
 """
 

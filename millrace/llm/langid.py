@@ -15,7 +15,7 @@ rows. Whole texts are used in training and prediction. lang, source and doc_id a
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if
 nothing could be learned; very long texts are counted whole; ties go to the first centroid in alphabetical order of the languages;
-repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
+repeated rows are judged alike; a document of a null id takes no part in training, is not marked as held out and is judged like any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ words: similar are lines with 1 - distance / longer length of
 stays and every other line goes.
 
 Runs of words that very many lines have would make all of these meet; they are counted over all texts, and come last among what a
-line must share. Words are told apart by hashes, which can only add candidates; lines by a hash of their words in order.
+line must share. Words are told apart by hashes, which can only add candidates; lines by a 62-bit hash of their words in order, rows of one id by a 64-bit hash of their texts.
 A line that stands everywhere is told once for each table of texts that has it. Of items that very many lines share a key with see
 ``clusters``.
 

@@ -18,11 +18,11 @@ A document's row is its set of n-grams of words; two documents link when their r
 * A column that many rows share is not paired out: see ``clusters``. A row with few columns of its own is the likely
   centre of its near copies, and the pivot.
 
-n-grams are told apart by 64-bit hashes.
+n-grams are told apart by 64-bit hashes, equal sets of them by 128-bit sums.
 
 Defined cases: null text, and text without words, has the empty set and links with nothing; with
 fewer words than n the whole sequence is the one n-gram; rows of one id are one node (a row each in
-the result); a row with a null id links with nothing and has no component; an empty table gives an empty result;
+the result); a row with a null id links with nothing and has no component; very long texts are read whole; ties do not arise, as the smallest id names a component; an empty table gives an empty result;
 further columns are ignored.
 """
 

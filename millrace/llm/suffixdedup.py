@@ -11,7 +11,8 @@ Only prefixes of ``window`` bytes matter, so the direct sort looks at the first
 and leaves later ties as they come; an induced suffix is then in order to at least that depth.
 
 Defined cases: null text is empty and has no bytes; texts shorter than the window lose nothing; rows
-of one id never remove from each other; cuts may fall within a character, so what is kept is
+of one id never remove from each other, and a null id comes last; very long texts are cut whole, as are rows of them in a chunk of their own; of places that
+tie in id none is removed for the other; cuts may fall within a character, so what is kept is
 binary; an empty table gives an empty result; further columns are ignored.
 """
 
