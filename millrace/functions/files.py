@@ -272,6 +272,12 @@ def tiles_family(mode: Column, queue: Column, entry: Column) -> Column:
     return F.when(mode == "bulk", queue).otherwise(F.coalesce(entry, queue))
 
 
+def recorder_for(target: Column, offered: Column) -> Column:
+    """The first container type of a target, in order of preference, that is among those offered; null if none is."""
+    table = F.create_map(*(x for t, kinds in v.RECORDER_TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, kinds)))))
+    return F.get(F.filter(F.try_element_at(table, target), lambda kind: F.array_contains(offered, kind)), F.lit(0))
+
+
 def is_family(family: Column, which: str) -> Column:
     return F.coalesce(family == which, F.lit(False))
 

@@ -12,10 +12,12 @@ import signal
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions.files import ext_of, out_name
 from ..functions.vocab import DEFAULT_QUALITY
@@ -77,9 +79,15 @@ def _limited(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
-def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS) -> tuple[list[dict], str | None]:
+#: What recognises the text of a scanned file: its bytes to the text of each page.
+Engine = Callable[[bytes], list[str]]
+
+
+def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS, recognise: Engine | None = None) -> tuple[list[dict], str | None]:
     """What a reader finds in a file, and the code if it cannot be read."""
     read = READERS.get(ext)
+    if read is pdfread.glyphs:
+        read = partial(read, recognise=recognise)
     if read is None or content is None:
         return [], "decode-failed"
     try:
@@ -91,14 +99,14 @@ def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS) ->
         return [], "decode-failed"
 
 
-def parts(files: DataFrame, seconds: float = MOST_SECONDS) -> DataFrame:
+def parts(files: DataFrame, seconds: float = MOST_SECONDS, recognise: Engine | None = None) -> DataFrame:
     """(hid, name, size, content) -> the rows of all readers, and one of kind "file" for each file, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 hid, name, size, ext, content = (b.column(c)[k].as_py() for c in ("hid", "name", "size", "ext", "content"))
-                rows, code = read_one(ext, content, seconds)
+                rows, code = read_one(ext, content, seconds, recognise)
                 told = [{"kind": "file", "name": name, "size": size, "code": code}, *rows]
                 for at in range(0, len(told), 5000):
                     yield pa.RecordBatch.from_pylist([{"kind": "piece", **r, "file_id": hid} for r in told[at : at + 5000]], schema=_ARROW_PARTS)
@@ -120,7 +128,7 @@ def pieces_of(found: DataFrame) -> DataFrame:
         return found.where(F.col("kind") == kind)
 
     texts = {kind: of(kind).select("file_id", F.col("body").alias("text")) for kind in ("txt", "md")}
-    return of("piece").select(*ARROW.names).unionByName(readers.read_txt(texts["txt"])).unionByName(readers.read_markdown(texts["md"])).unionByName(_laid_out(of("glyph")))
+    return of("piece").select(*ARROW.names).unionByName(readers.read_txt(texts["txt"])).unionByName(readers.read_markdown(texts["md"])).unionByName(_laid_out(of("glyph"))).unionByName(readers.read_ocr(of("ocr").select("file_id", "page", F.col("body").alias("text"))))
 
 
 def _as_bytes(f) -> Callable[[DataFrame], DataFrame]:
@@ -184,10 +192,10 @@ def _outcome(files: DataFrame, target: str, family: str, content: Column, code:
     return files.select("hid", "entry_name", name.alias("name"), F.lit(target).alias("target"), "src_size", F.octet_length(content).cast("long").alias("size"), content.alias("content"), failed.alias("code"))
 
 
-def convert(files: DataFrame, target: str, quality: int = DEFAULT_QUALITY, seconds: float = MOST_SECONDS) -> DataFrame:
+def convert(files: DataFrame, target: str, quality: int = DEFAULT_QUALITY, seconds: float = MOST_SECONDS, recognise: Engine | None = None) -> DataFrame:
     """Files (hid, name, size, content) as files of one target: hid, entry_name, name, target, src_size, size, content, code. A file of another
-    family than the target's has the code of an unsupported target."""
-    found = parts(files, seconds)
+    family than the target's has the code of an unsupported target. ``recognise`` reads scanned files; without it they have the code of an engine that is not there."""
+    found = parts(files, seconds, recognise)
     told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), F.col("name").alias("entry_name"), F.col("size").alias("src_size"), F.col("code").alias("__code"))
     family, code = FAILING.get(target, (TARGETS.get(target, ""), None))
     other = [e for e, own in FAMILIES.items() if own != family]
@@ -207,3 +215,24 @@ def probe_videos(files: DataFrame, seconds: float = MOST_SECONDS) -> DataFrame:
     told = found.where("kind = 'file'").select(F.col("file_id").alias("hid"), "code")
     heads = found.where("kind = 'video'").select(F.col("file_id").alias("hid"), F.col("x").cast("long").alias("width"), F.col("y").cast("long").alias("height"), F.col("body").cast("double").alias("seconds"))
     return told.join(heads, "hid", "left").select("hid", "width", "height", "seconds", "code")
+
+
+@udtf(returnType="kind string, seq long, t string, level int, row int, col int, text string, code string")
+class FileParts:
+    """What ``read_one`` finds, as a table function: ``SELECT f.hid, p.* FROM files f, LATERAL file_parts(f.name, f.content) p``. A file that cannot be read gives a row
+    with its code."""
+
+    def eval(self, name: str, content: bytes):
+        end = (name or "").lower().rpartition(".")
+        rows, code = read_one(f".{end[2]}" if end[1] else "", content)
+        if code:
+            yield "file", None, None, None, None, None, None, code
+        for r in rows:
+            text = r.get("body") if "runs" not in r else "".join(x["text"] for x in r["runs"])
+            yield r.get("kind", "piece"), r.get("seq"), r.get("t"), r.get("level"), r.get("row"), r.get("col"), text, None
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL: file_parts, zip_members."""
+    spark.udtf.register("file_parts", FileParts)
+    packages.register_functions(spark)

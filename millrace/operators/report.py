@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import files as fx
 from ..functions import vocab as v
 from ..functions.files import bitrate_label, fmt_size
 from ..functions.text import round_half_up
@@ -24,6 +25,29 @@ def estimate_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, "n_files", "bytes", "est_kb", pct.alias("pct"), _trend(pct).alias("trend"), F.least(F.lit(100.0), share * 100).alias("bar"))
 
 
+def batch_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each queue (with family, target and supported): its files, those that can be converted, those skipped, files of each family, and whether quality changes nothing for
+    any of what is converted."""
+    able = fx.convertible(F.col("family"), F.col("target"))
+    ignoring = F.every(F.when(able, fx.ignores_quality(F.col("family"), F.col("target"))))
+    kinds = [F.count_if(fx.is_family(F.col("family"), f)).alias(f"n_{f}") for f in v.TARGETS]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(able).alias("n_convertible"), F.count_if(~able).alias("n_skipped"), *kinds, F.coalesce(ignoring, F.lit(False)).alias("quality_idle"))
+
+
+#: How far a file of a queue is when a step begins (see ``progress``).
+STEPS = {"decoding": 0.08, "recognising": 0.15, "encoding": 0.35, "finished": 1.0}
+
+
+def progress(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """A row for each file and step of a queue: percent of the whole queue and its label."""
+    queue = Window.partitionBy(*keys)
+    placed = df.withColumn("nth", F.row_number().over(queue.orderBy(order))).withColumn("n", F.count(F.lit(1)).over(queue))
+    steps = F.array(*(F.struct(F.lit(step).alias("step"), F.lit(part).alias("part")) for step, part in STEPS.items()))
+    each = placed.withColumn("s", F.explode(steps))
+    label = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("nth").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(")"))).otherwise("")
+    return each.select(*df.columns, F.col("s.step").alias("step"), ((F.col("nth") - 1 + F.col("s.part")) * 100 / F.col("n")).alias("percent"), label.alias("label"))
+
+
 def measured_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What conversions measured: only results count, so files that failed are in neither sum."""
     one = F.when(F.count_distinct("target") == 1, F.min("target")).otherwise("Mixed")

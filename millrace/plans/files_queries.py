@@ -290,6 +290,44 @@ def staged_files(spark, sf_dir):
     return load_files(staged).select("hid", "name", "target", "extra")
 
 
+_ABLE_SQL = "coalesce(" + " OR ".join(f"(family = '{f}' AND target IN {i._in(ts)})" for f, ts in v.TARGETS.items()) + ", false)"
+
+
+@_query(
+    "batch_counts",
+    f"""WITH {CLASSIFIED}, x AS (SELECT *, {i.TARGET_SQL} AS target FROM classified), y AS (SELECT *, {_ABLE_SQL} AS able FROM x)
+SELECT batch, count(*) AS n_files, count(*) FILTER (able) AS n_convertible, count(*) FILTER (NOT able) AS n_skipped, {", ".join(f"count(*) FILTER (family = '{f}') AS n_{f}" for f in v.TARGETS)},
+  coalesce(bool_and(family = 'document' AND target IN {i._in(v.IGNORES_QUALITY)}) FILTER (able), false) AS quality_idle FROM y GROUP BY batch""",
+)
+def batch_counts(spark, sf_dir):
+    f = classified(spark, sf_dir).withColumn("target", fx.default_target(F.col("family"), F.col("wanted")))
+    return report.batch_counts(f, ["batch"])
+
+
+_STEPS_SQL = "(VALUES " + ", ".join(f"('{s}', {p}::DOUBLE)" for s, p in report.STEPS.items()) + ") AS t(step, part)"
+
+
+@_query(
+    "progress_steps",
+    f"WITH {i.FILES_SQL}, p AS (SELECT hid, batch, row_number() OVER (PARTITION BY batch ORDER BY seq) AS nth, count(*) OVER (PARTITION BY batch) AS n FROM files) SELECT hid, batch, step, (nth - 1 + part) * 100 / n AS percent, CASE WHEN n > 1 THEN ' (' || nth || ' of ' || n || ')' ELSE '' END AS label FROM p, {_STEPS_SQL}",
+)
+def progress_steps(spark, sf_dir):
+    """What the progress line of each queue shows at every step of every file."""
+    return report.progress(i.files(spark, sf_dir).select("hid", "batch", "seq"), ["batch"], "seq").select("hid", "batch", "step", "percent", "label")
+
+
+_TYPES_SQL = "CASE wanted " + " ".join(f"WHEN '{t}' THEN {i._list(kinds)}" for t, kinds in v.RECORDER_TYPES.items()) + " END"
+_SETS = [["audio/webm;codecs=opus", "video/webm"], ["audio/mp4", "video/mp4"], ["audio/mpeg", "audio/wav", "video/webm;codecs=vp8,opus"], []]
+_SETS_SQL = "CASE seq % 4 " + " ".join(f"WHEN {k} THEN {i._list(s) if s else '[]'}" for k, s in enumerate(_SETS)) + " END"
+
+
+@_query("recorder_types", f"WITH {i.FILES_SQL} SELECT hid, wanted, list_filter({_TYPES_SQL}, lambda t: list_contains({_SETS_SQL}, t))[1] AS kind FROM files")
+def recorder_types(spark, sf_dir):
+    """The container type that a recorder would be given for each file's target, of four sets that it may offer."""
+    offered = F.element_at(F.array(*(F.array(*map(F.lit, s)).cast("array<string>") for s in _SETS)), (F.col("seq") % 4 + 1).cast("int"))
+    return i.files(spark, sf_dir).select("hid", "wanted", fx.recorder_for(F.col("wanted"), offered).alias("kind"))
+
+
 _OFFERS = "o AS (SELECT * FROM (VALUES " + ", ".join([f"('{f}', {k}, '{t}', true, NULL)" for f, ts in v.TARGETS.items() for k, t in enumerate(ts)] + ["('image', 4, 'HEIC', false, 'input only')"]) + ") AS t(family, position, target, available, label))"
 
 

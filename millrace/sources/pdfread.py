@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.entities import name2codepoint
 
 from ..functions.glyphs import DEFAULT_WIDTH, WIDTHS
@@ -499,7 +499,7 @@ class Page:
     """Runs the contents of a page; ``rows`` has (x, y, text) of what is shown."""
 
     def __init__(self, objects: Objects):
-        self.objects, self.rows, self.fonts = objects, [], {}
+        self.objects, self.rows, self.fonts, self.pictures = objects, [], {}, 0
         self.last: tuple[float, float] | None = None  # where the last string ended
 
     def run(self, data: bytes, resources: dict, matrix: tuple = _ONE, depth: int = 0) -> None:
@@ -543,10 +543,12 @@ class Page:
                 text = self._show([held[-1]], text, state)
             elif v == b"Do" and held and depth < 12:
                 form = get(get(resources.get("XObject") or {}).get(held[0]))
+                self.pictures += isinstance(form, Stream) and form.head.get("Subtype") == "Image"
                 if isinstance(form, Stream) and form.head.get("Subtype") == "Form":
                     own = get(form.head.get("Matrix")) or _ONE
                     self.run(self.objects.bytes_of(form), get(form.head.get("Resources")) or resources, _times(tuple(own), state["m"]), depth + 1)
             elif v == b"BI":
+                self.pictures += 1
                 end = re.compile(rb"[\0\t\n\x0c\r ]EI(?=[\0\t\n\x0c\r ])").search(data, r.at)
                 r.at = end.end() if end else len(data)
             held = []
@@ -586,20 +588,22 @@ class Page:
         return text
 
 
-def glyphs(content: bytes) -> list[dict]:
-    """Rows of kind "glyph" (page, seq, x, y, body) of a file; one without any text tells so."""
+def glyphs(content: bytes, recognise: Callable[[bytes], list[str]] | None = None) -> list[dict]:
+    """Rows of kind "glyph" (page, seq, x, y, body) of a file; one without any text tells so. If its pages show pictures, they are recognised, where
+    an engine is given for that."""
     if b"%PDF-" not in content[:1024]:
         raise CodecError("pdf-unsupported")
     try:
         objects = Objects(content)
         rows: list[dict] = []
-        n_pages = 0
+        n_pages, scanned = 0, False
         for n_pages, page in enumerate(objects.pages(), 1):
             shown = Page(objects)
             parts = objects.get(page.get("Contents"))
             streams = [objects.get(p) for p in parts] if isinstance(parts, list) else [parts]
             data = b"\n".join(objects.bytes_of(s) for s in streams if isinstance(s, Stream))
             shown.run(data, objects.get(page.get("Resources")) or {})
+            scanned = scanned or shown.pictures > 0
             rows += [{"kind": "glyph", "page": n_pages - 1, "seq": k, "x": float(x), "y": float(y), "body": text} for k, (x, y, text) in enumerate(shown.rows)]
     except CodecError:
         raise
@@ -607,6 +611,23 @@ def glyphs(content: bytes) -> list[dict]:
         raise CodecError("pdf-unsupported") from None
     if not n_pages:
         raise CodecError("pdf-unsupported")
-    if not any(r["body"].strip() for r in rows):
+    if any(r["body"].strip() for r in rows):
+        return rows
+    if not scanned:
         raise CodecError("pdf-no-text")
-    return rows
+    return recognised(content, recognise)
+
+
+def recognised(content: bytes, recognise: Callable[[bytes], list[str]] | None) -> list[dict]:
+    """Rows of kind "ocr" (page, body) of a file whose pages are pictures; ``recognise`` gives the text of each page."""
+    if recognise is None:
+        raise CodecError("ocr-unsupported")
+    try:
+        pages = list(recognise(content))
+    except CodecError:
+        raise
+    except Exception:  # noqa: BLE001 - whatever is wrong with the engine
+        raise CodecError("ocr-failed") from None
+    if not any((p or "").strip() for p in pages):
+        raise CodecError("pdf-no-text")
+    return [{"kind": "ocr", "page": k, "body": p or ""} for k, p in enumerate(pages)]

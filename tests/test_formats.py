@@ -320,3 +320,50 @@ def test_names_as_they_are_and_no_file_lost(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         scan.save_files(bad, str(tmp_path / "other"))
     assert not (tmp_path / "other").exists() or list((tmp_path / "other").iterdir()) == []
+
+
+def scanned() -> bytes:
+    image = b"6 0 obj<</Type/XObject/Subtype/Image/Width 1/Height 1/BitsPerComponent 8/ColorSpace/DeviceGray/Length 1>>stream\n\0\nendstream endobj"
+    return plain_pdf(b"q 500 0 0 700 0 0 cm /I Do Q", image).replace(b"/Font<</F 4 0 R>>", b"/Font<</F 4 0 R>>/XObject<</I 6 0 R>>")
+
+
+def test_scanned_files_need_an_engine(spark):
+    def broken(content):
+        raise OSError("no model")
+
+    assert converted(spark, "TXT", ("a.pdf", scanned()))["0"].code == "ocr-unsupported"
+    read = converted(spark, "TXT", ("a.pdf", scanned()), recognise=lambda content: ["one\nline\n\n two ", "", "three"])["0"]
+    assert bytes(read.content).decode() == "one line\n\ntwo\n\nthree\n"
+    assert converted(spark, "TXT", ("a.pdf", scanned()), recognise=broken)["0"].code == "ocr-failed"
+    assert converted(spark, "TXT", ("a.pdf", scanned()), recognise=lambda content: [" "])["0"].code == "pdf-no-text"
+
+
+def test_files_in_sql(spark):
+    c.register_functions(spark)
+    files(spark, ("a.docx", b"x"), ("b.rtf", b"{" + BACK + b"rtf1 hello}"), ("c.txt", b"one"), ("d", b"")).createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT f.name, p.kind, p.text, p.code FROM some_files f, LATERAL file_parts(f.name, f.content) p ORDER BY f.name").collect()
+    assert [tuple(r) for r in got] == [("a.docx", "file", None, "zip-corrupt"), ("b.rtf", "piece", "hello", None), ("c.txt", "txt", "one", None), ("d", "file", None, "decode-failed")]
+
+
+def test_video_heads(spark):
+    from millrace.sources import video
+
+    box = lambda kind, body: struct.pack(">I", len(body) + 8) + kind + body
+    wide = lambda kind, body: struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
+    mvhd = box(b"mvhd", b"\1" + b"\0" * 19 + struct.pack(">IQ", 600, 900) + b"\0" * 80)
+    track = lambda kind, w, h: box(b"trak", box(b"tkhd", b"\0" * 76 + struct.pack(">II", w << 16, h << 16)) + box(b"mdia", box(b"hdlr", b"\0" * 8 + kind + b"\0" * 12)))
+    movie = wide(b"moov", mvhd + track(b"soun", 0, 0) + track(b"vide", 320, 180))
+    assert video.head(box(b"ftyp", b"qt  ") + wide(b"mdat", b"x" * 50) + movie) == (320, 180, 1.5)
+    assert video.head(movie + struct.pack(">I4s", 0, b"mdat") + b"x" * 9) == (320, 180, 1.5)
+    for bad in (b"", movie[:40], box(b"moov", mvhd), b"\x1aE\xdf\xa3" + b"\xff" * 40, b"RIFF\0\0\0\0AVI avih", box(b"moov", b"\0\0\0\x01trak" + b"\0" * 30)):
+        with pytest.raises(CodecError):
+            video.head(bad)
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        cut = bytearray(movie)
+        for _ in range(6):
+            cut[r.integers(len(cut))] = r.integers(256)
+        try:
+            video.head(bytes(cut))
+        except CodecError:
+            pass
