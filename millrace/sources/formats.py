@@ -63,6 +63,10 @@ MD = Format(
 )
 
 
+#: Width of a line and least width of a column, in twentieths of a point: A4 less an inch on each side, and half an inch.
+_LINE_WIDTH, _LEAST_WIDTH = 11906 - 2 * 1440, 720
+
+
 # Rich text: every style is a group of its own, so that nothing has to be switched off again.
 def _grouped(r: Column) -> Column:
     words = F.concat(F.when(r["b"], "\\b").otherwise(""), F.when(r["i"], "\\i").otherwise(""))
@@ -72,28 +76,36 @@ def _grouped(r: Column) -> Column:
 
 def _rtf_row(t: Column, row: Column, cells: Column) -> Column:
     mark = F.when(t == "ul", "\\'95").otherwise(F.concat((row + 1).cast("string"), F.lit(".")))
-    item = F.concat(F.lit("{\\pard\\fs22 "), mark, F.lit("\\tab "), F.array_join(cells, ""), F.lit("\\par}"))
-    cell = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("{\\pard\\intbl\\fs20 "), c, F.lit("\\cell}"))), "")
+    item = F.concat(F.lit("{\\pard\\fs21 "), mark, F.lit("\\tab "), F.array_join(cells, ""), F.lit("\\par}"))
+    cell = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("{\\pard\\intbl\\fs19 "), c, F.lit("\\cell}"))), "")
     return F.when(_is(t, "ul", "ol"), item).when(t == "table", cell).otherwise(F.array_join(cells, ""))
 
 
 def _rtf_block(t: Column, level: Column, lines: Column, most: Column) -> Column:
-    step = F.greatest(F.lit(600), F.floor(F.lit(9000) / most))
+    step = F.greatest(F.lit(_LEAST_WIDTH), F.floor(F.lit(_LINE_WIDTH) / most))
     edges = F.array_join(F.transform(F.sequence(F.lit(1), most), lambda k: F.concat(F.lit("\\cellx"), (k * step).cast("string"))), "")
     table = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("{\\trowd"), edges, x, F.lit("\\row}"))), "\n")
-    size = F.when(level == 1, "32").when(level == 2, "28").otherwise("24")
+    size = F.when(level == 1, "34").when(level == 2, "27").otherwise("23")
     heading = F.concat(F.lit("{\\pard\\b\\fs"), size, F.lit(" "), F.array_join(lines, ""), F.lit("\\par}"))
-    plain = F.concat(F.lit("{\\pard\\fs22 "), F.array_join(lines, ""), F.lit("\\par}"))
+    plain = F.concat(F.lit("{\\pard\\fs21 "), F.array_join(lines, ""), F.lit("\\par}"))
     return F.when(t == "table", table).when(_is(t, "ul", "ol"), F.array_join(lines, "\n")).when(t == "h", heading).otherwise(plain)
 
 
+def _rtf_picture(number: Column, data: Column, mime: Column, alt: Column) -> Column:
+    """The bytes as hex digits, after the size in pixels where it can be told."""
+    size = F.coalesce(png_size(data), jpeg_size(data))
+    told = F.coalesce(F.concat(F.lit("\\picw"), size["width"].cast("string"), F.lit("\\pich"), size["height"].cast("string")), F.lit(""))
+    kind = F.when(mime.contains("jp"), "jpeg").otherwise("png")
+    return F.concat(F.lit("{\\pard {\\pict\\"), kind, F.lit("blip"), told, F.lit("\n"), F.lower(F.hex(data)), F.lit("\n}\\par}"))
+
+
 RTF = Format(
     padded=True,
     run=_grouped,
     row=_rtf_row,
     block=_rtf_block,
-    picture=lambda number, data, mime, alt: F.concat(F.lit("{\\pard {\\pict\\"), F.when(mime.contains("jp"), "jpeg").otherwise("png"), F.lit("blip\n"), F.lower(F.hex(data)), F.lit("\n}\\par}")),
-    whole=lambda blocks: F.concat(F.lit("{\\rtf1\\ansi\\deff0\n{\\fonttbl{\\f0 Helvetica;}}\n{\\colortbl;}\n"), F.array_join(blocks, "\n"), F.lit("\n}")),
+    picture=_rtf_picture,
+    whole=lambda blocks: F.concat(F.lit("{\\rtf1\\ansi\\ansicpg1252\\deff0\n{\\fonttbl{\\f0\\fswiss Arial;}}\n"), F.array_join(blocks, "\n"), F.lit("\n}")),
 )
 
 
@@ -152,7 +164,7 @@ def _word_row(t: Column, row: Column, cells: Column) -> Column:
 
 def _column_width(n: Column) -> Column:
     """A share of the line in twentieths of a point."""
-    return F.greatest(F.lit(800), F.floor(F.lit(9000) / F.greatest(n, F.lit(1))))
+    return F.greatest(F.lit(_LEAST_WIDTH), F.floor(F.lit(_LINE_WIDTH) / F.greatest(n, F.lit(1))))
 
 
 _EDGES = "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV"))

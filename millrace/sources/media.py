@@ -45,8 +45,12 @@ def jpeg_size(data: Column) -> Column:
         found = F.struct(at.alias("at"), big_end(data, at + 7, 2).alias("width"), big_end(data, at + 5, 2).alias("height"))
         return F.when(valid & frame, found).when(valid, F.struct((at + 2 + size).alias("at"), s["width"].alias("width"), s["height"].alias("height"))).otherwise(s)
 
-    # heads have some ten segments; 64 leave room for long metadata
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), state, step)
+    def stride(s: Column, _: Column) -> Column:
+        """Further segments, as long as there are any; heads have some ten, but metadata may be cut into very many."""
+        on = s["width"].isNull() & (s["at"] + 9 < F.octet_length(data)) & (big_end(data, s["at"], 1) == 255)
+        return F.when(on, F.aggregate(F.sequence(F.lit(1), F.lit(64)), s, step)).otherwise(s)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.octet_length(data) / 256)).cast("int")), state, stride)
     is_jpeg = (F.octet_length(data) >= 30) & (F.hex(F.substring(data, 1, 2)) == "FFD8")
     return F.when(is_jpeg & walked["width"].isNotNull(), F.struct(walked["width"].alias("width"), walked["height"].alias("height")))
 
