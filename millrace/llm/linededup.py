@@ -52,9 +52,9 @@ BLOCKS, LEAST_WORDS, PERCENT = 4, 5, 80
 RUNS_FROM = 10
 #: Runs that a long line enters at most.
 MOST_RUNS = 24
-#: Slots in which runs of two words are counted, for each group of documents and at most, and how many times the mean of all slots is
-#: common: an eighth of the slots are at most, and only these are sent out.
-SLOTS_A_GROUP, MOST_SLOTS, COMMON = 1 << 14, 1 << 24, 8
+#: Slots in which runs of two words are counted, for each group of documents and at most, and how many times the mean of a task's slots, and how often at
+#: least, is common: half of the slots are at most, and only these are sent out.
+SLOTS_A_GROUP, MOST_SLOTS, COMMON, LEAST_COMMON = 1 << 14, 1 << 24, 2, 6
 #: Lines of a key up to which each is held against all others before the key is told; in larger groups all stay.
 SMALL_KEY = 12
 _SKETCH = ["s0", "s1", "s2", "s3"]
@@ -186,7 +186,7 @@ def common_runs(docs: DataFrame, slots: int) -> Common:
                 h, _, _, first = word_hashes(d, split_lines(d, o)[0])
                 slot, n = np.unique(_slots(shingle_hashes(h, 2)[starts_within(first, 2)], slots), return_counts=True)
                 total[slot] += n
-        usual = max(COMMON * float(total.mean()), 32.0)
+        usual = max(COMMON * float(total.mean()), float(LEAST_COMMON))
         slot = np.flatnonzero(total > usual)
         level = np.minimum(31, 1 + np.floor(2 * np.log2(total[slot] / usual)))
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(level.astype(np.int32))], names=["slot", "level"])
