@@ -99,20 +99,37 @@ def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS, rec
         return [], "decode-failed"
 
 
+#: Rows of a batch, and bytes of the files that they come from, after which it is handed on.
+BATCH_ROWS, BATCH_BYTES = 5000, 1 << 22
+
+
+def _batches(told: Iterator[tuple[list[dict], int]]) -> Iterator[pa.RecordBatch]:
+    """Rows of one file after the other, and the bytes of each file, in batches; small files share one, as a batch costs as much as many rows."""
+    held, weight = [], 0
+    for rows, size in told:
+        held += rows
+        weight += size
+        if len(held) >= BATCH_ROWS or weight >= BATCH_BYTES:
+            for at in range(0, len(held), BATCH_ROWS):
+                yield pa.RecordBatch.from_pylist(held[at : at + BATCH_ROWS], schema=_ARROW_PARTS)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ARROW_PARTS)
+
+
 def parts(files: DataFrame, seconds: float = MOST_SECONDS, recognise: Engine | None = None) -> DataFrame:
     """(hid, name, size, content) -> the rows of all readers, and one of kind "file" for each file, written once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], int]]:
         for b in batches:
-            for k in range(b.num_rows):
-                hid, name, size, ext, content = (b.column(c)[k].as_py() for c in ("hid", "name", "size", "ext", "content"))
+            contents = b.column("content")
+            for k, (hid, name, size, ext) in enumerate(zip(*(b.column(c).to_pylist() for c in ("hid", "name", "size", "ext")), strict=True)):
+                content = contents[k].as_py()
                 rows, code = read_one(ext, content, seconds, recognise)
-                told = [{"kind": "file", "name": name, "size": size, "code": code}, *rows]
-                for at in range(0, len(told), 5000):
-                    yield pa.RecordBatch.from_pylist([{"kind": "piece", **r, "file_id": hid} for r in told[at : at + 5000]], schema=_ARROW_PARTS)
+                yield [{"kind": "file", "file_id": hid, "name": name, "size": size, "code": code}, *({"kind": "piece", **r, "file_id": hid} for r in rows)], len(content or b"")
 
     rows = files.select(F.col("hid").cast("string").alias("hid"), "name", F.col("size").cast("long").alias("size"), ext_of(F.col("name")).alias("ext"), "content")
-    return saved(rows.mapInArrow(run, _PARTS), "kind")
+    return saved(rows.mapInArrow(lambda batches: _batches(told(batches)), _PARTS), "kind")
 
 
 def _laid_out(glyphs: DataFrame) -> DataFrame:
