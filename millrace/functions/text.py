@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+#: The characters of ``WS``.
+WHITE = "\t\n\x0b\f\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    """Looks at the two ends only; a pattern would be tried at every character."""
+    return F.btrim(x, F.lit(WHITE))
 
 
 def trim_end(x: Column) -> Column:
-    return F.regexp_replace(x, f"{WS}+$", "")
+    return F.rtrim(x, F.lit(WHITE))
 
 
 def collapse(x: Column) -> Column:

@@ -22,10 +22,8 @@ def lines(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs of plain text: neighbouring lines that are not blank, trimmed and joined by a space. At least one, perhaps empty."""
-    within = WS.replace(r"\n", "")
-    begin = f"(?<!{within}){within}*+"  # white space is looked at from the beginning of its run only
-    marked = F.regexp_replace(trim(F.coalesce(text, F.lit(""))), f"{begin}(?:\\n{within}*+){{2,}}", "\n\n")
-    return F.transform(F.split(marked, "\n\n"), lambda x: F.regexp_replace(x, f"{begin}\\n{within}*+", " "))
+    rows = F.transform(F.split(trim(F.coalesce(text, F.lit(""))), "\n"), trim)
+    return F.transform(F.split(F.array_join(rows, "\n"), "\n\n+"), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
 
 
 def islands(df: DataFrame, of: Sequence[str], order: str, breaks: Column, name: str = "island") -> DataFrame:

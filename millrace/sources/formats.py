@@ -30,7 +30,7 @@ def _item_or(t: Column, row: Column, cells: Column, table: Column) -> Column:
 
 def _ended(blocks: Column) -> Column:
     """Blocks with a blank line between, and one line feed at the end."""
-    return F.concat(F.regexp_replace(F.array_join(blocks, "\n\n"), "\n+$", ""), F.lit("\n"))
+    return F.concat(F.rtrim(F.array_join(blocks, "\n\n"), F.lit("\n")), F.lit("\n"))
 
 
 TXT = Format(
