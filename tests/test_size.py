@@ -22,3 +22,24 @@ def test_ends_are_trimmed_up_to_the_end(spark):
     """A sign that ends a line for patterns, and is no white space, keeps what is before it."""
     row = spark.range(1).select(trim(F.lit(" a \u0085")).alias("t"), layout.paragraphs(F.lit("﻿ a\r\n b \u0085\n \t\n \nc  d \n")).alias("p"), layout.paragraphs(F.lit(" \n ")).alias("e")).first()
     assert (row.t, row.p, row.e) == ("a \u0085", ["a b \u0085", "c  d"], [""])
+
+
+def test_fixed_members_are_packed_once(monkeypatch):
+    from millrace.sources import archive
+
+    packed = []
+    real = zlib.compressobj
+    monkeypatch.setattr(archive.zlib, "compressobj", lambda *a: packed.append(1) or real(*a))
+    archive._deflate_small.cache_clear()
+    made = [archive.write([("fixed", b"same " * 100, True), ("own", b"%d" % k, True)]) for k in range(50)]
+    assert len(packed) == 51
+    assert [archive.read(m)["own"] for m in made] == [b"%d" % k for k in range(50)]
+
+
+def test_well_formed_pages_read_as_pages_do():
+    from millrace.sources.markup import html_blocks, xhtml_blocks
+
+    page = "<html><head><title>x</title></head><body><h1>A &amp; b</h1><p>one<br/>two <b>three</b></p><ul><li>x</li></ul><table><tr><td>1</td><td/><td>&lt;</td></tr></table><p>%s</p>%s</body></html>"
+    for inner, rest in (("plain", ""), ("a&nbsp;b", ""), ("&#233;", ""), ("x", "<p>open")):
+        text = page % (inner, rest)
+        assert xhtml_blocks(text.encode()) == html_blocks(text)
