@@ -43,3 +43,27 @@ def test_well_formed_pages_read_as_pages_do():
     for inner, rest in (("plain", ""), ("a&nbsp;b", ""), ("&#233;", ""), ("x", "<p>open")):
         text = page % (inner, rest)
         assert xhtml_blocks(text.encode()) == html_blocks(text)
+
+
+def test_pages_of_a_pdf_share_their_fonts():
+    from millrace.sources import pdf, pdfread
+
+    piece = {"seq": 0, "row": 0, "col": 0, "t": "p", "level": None, "runs": [{"text": "some (words) \\ of it " * 1500, "b": False, "i": False}], "data": None, "w": None, "h": None}
+    made = pdf._file([piece])
+    objects = pdfread.Objects(made)
+    pages = list(objects.pages())
+    for page in pages:
+        pdfread.Page(objects).run(objects.bytes_of(objects.get(page["Contents"])), objects.get(page["Resources"]))
+    assert (len(pages) > 2, len(objects.fonts)) == (True, 1)
+    assert " ".join(r["body"] for r in pdfread.glyphs(made)).split() == piece["runs"][0]["text"].split()
+
+
+def test_words_wrap_where_they_no_longer_fit():
+    from millrace.sources import pdf
+
+    runs = [{"text": "ab cd", "b": False, "i": False}, {"text": "ef gh", "b": True, "i": False}]
+    tokens = list(pdf._tokens(runs, False))
+    assert [(t[0], t[1], t[2]) for t in tokens] == [("ab", 0, False), ("cd", 0, False), ("ef", 1, True), ("gh", 1, False)]
+    assert pdf._wrapped(tokens, 1e9) == [[(0, "ab cd"), (1, "ef gh")]]
+    assert pdf._wrapped(tokens, 1.0) == [[(0, "ab")], [(0, "cd")], [(1, "ef")], [(1, "gh")]]
+    assert pdf._wrapped([], 1.0) == [[]]
