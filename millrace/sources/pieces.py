@@ -60,6 +60,11 @@ class Format:
     padded: bool = False  # rows of a table get as many cells as its longest
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _in_order(columns: list[str], *by: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*by, *columns)))
 
@@ -77,15 +82,16 @@ def assemble(pieces: DataFrame, f: Format) -> DataFrame:
     numbered = files.withColumn("places", F.transform(drawn, lambda b: b["seq"])).withColumn("pictures", F.transform(drawn, lambda b, k: F.struct((k + 1).alias("number"), b["picture"]["data"].alias("data"), b["picture"]["mime"].alias("mime"), b["picture"]["alt"].alias("alt"))))
 
     def written(b: Column) -> Column:
-        most = F.array_max(F.transform(b["rows"], lambda r: F.size(r["cells"])))
+        def lines(most: Column) -> Column:
+            def line(r: Column) -> Column:
+                cells = F.transform(r["cells"], lambda c: c["cell"])
+                empty = f.run(plain_run(F.lit("")))
+                whole = F.concat(cells, F.array_repeat(empty, F.greatest(most - F.size(cells), F.lit(0)))) if f.padded else cells
+                return bound(whole, lambda full: f.row(b["t"], r["row"], full))
 
-        def line(r: Column) -> Column:
-            cells = F.transform(r["cells"], lambda c: c["cell"])
-            short = F.greatest(most - F.size(cells), F.lit(0)) if f.padded else F.lit(0)
-            empty = f.run(plain_run(F.lit("")))
-            return f.row(b["t"], r["row"], F.concat(cells, F.array_repeat(empty, short)) if f.padded else cells)
+            return bound(F.transform(b["rows"], line), lambda made: f.block(b["t"], b["level"], made, most))
 
-        text = f.block(b["t"], b["level"], F.transform(b["rows"], line), most)
+        text = bound(F.array_max(F.transform(b["rows"], lambda r: F.size(r["cells"]))), lines)
         p = b["picture"]
         return F.when(b["t"] == "img", f.picture(F.array_position("places", b["seq"]), p["data"], p["mime"], p["alt"])).otherwise(text)
 

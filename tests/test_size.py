@@ -67,3 +67,12 @@ def test_words_wrap_where_they_no_longer_fit():
     assert pdf._wrapped(tokens, 1e9) == [[(0, "ab cd"), (1, "ef gh")]]
     assert pdf._wrapped(tokens, 1.0) == [[(0, "ab")], [(0, "cd")], [(1, "ef")], [(1, "gh")]]
     assert pdf._wrapped([], 1.0) == [[]]
+
+
+def test_the_width_of_a_table_is_computed_once(spark):
+    """Not anew for each of its rows, which grows with their square."""
+    from millrace.sources import formats, pieces
+
+    rows = spark.createDataFrame([("a", 0, "table", None, 0, 0, [("x", False, False)], None, None, None)], pieces.PIECES)
+    plan = pieces.assemble(rows, formats.WORD)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_max(") == 1
