@@ -130,7 +130,9 @@ def video_probe(spark, sf_dir):
     n = k % 5
     digits = F.when(n == 0, F.concat(start, moov, media_data)).when(n == 1, F.concat(start, media_data, moov)).when(n == 2, webm).when(n == 3, avi).otherwise(F.substring(moov, 1, 60))
     end = F.when(n == 2, ".webm").when(n == 3, ".avi").otherwise(".mp4")
-    files = i.table(spark, sf_dir, "part").select(k.cast("string").alias("hid"), F.concat(k.cast("string"), end).alias("name"), F.lit(0).cast("long").alias("size"), F.unhex(digits).alias("content"))
+    # a table of few bytes is read by few tasks, and its rows are dealt out before they become files
+    parts = i.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    files = parts.select(k.cast("string").alias("hid"), F.concat(k.cast("string"), end).alias("name"), F.lit(0).cast("long").alias("size"), F.unhex(digits).alias("content"))
     found = c.probe_videos(files)
     return found.select(F.col("hid").cast("long").alias("p_partkey"), "width", "height", "seconds", "code")
 

@@ -76,3 +76,13 @@ def test_the_width_of_a_table_is_computed_once(spark):
     rows = spark.createDataFrame([("a", 0, "table", None, 0, 0, [("x", False, False)], None, None, None)], pieces.PIECES)
     plan = pieces.assemble(rows, formats.WORD)._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_max(") == 1
+
+
+def test_parts_are_dealt_out_before_they_become_videos(spark, monkeypatch):
+    from millrace.plans import convert_queries
+
+    seen = []
+    real = convert_queries.c.probe_videos
+    monkeypatch.setattr(convert_queries.c, "probe_videos", lambda files: seen.append(files) or real(files))
+    convert_queries.video_probe(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in seen[0]._jdf.queryExecution().analyzed().toString()
