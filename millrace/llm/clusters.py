@@ -4,7 +4,7 @@ Items that share a key are candidates. In a group of a thousand items that are a
 links are as good as half a million: a round compares only some pivots of each key with the key's other
 items, verifies those pairs, and joins what is linked. A key is done when all its items are in one
 component; otherwise its pivots, which have met all others, leave it, and the next round takes
-sixteen times as many pivots. So every pair of items that share a key is compared or already joined, in
+sixteen times as many pivots, or all items of a small key. So every pair of items that share a key is compared or already joined, in
 a number of rounds that grows with the logarithm of a key's items, and the result is the same as that of all pairs.
 Which items are pivots does not change the result, only the work: a group of near copies has a centre from
 which each copy differs a little, while two copies may differ too much to link. The caller's weight names
@@ -18,12 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
 FIRST_PIVOTS = 16
+#: Items of a key up to which, from the second round on, all are pivots.
+WHOLE = 64
 
 
 def components(space: Workspace, links: DataFrame) -> DataFrame:
@@ -57,36 +59,51 @@ def merged(space: Workspace, known: DataFrame | None, links: DataFrame) -> DataF
     return space.save(kept.unionByName(moved.join(known.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, fits: Callable[..., Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the items of ``keys`` (col, node, size, room, weight) under verified links, and those links.
 
     ``room`` is the most that an item can have in common with another from this key on, its ``size`` if unknown:
-    if the lesser room is below what both sizes and ``percent`` demand, the two do not meet by this key. Of a key, or of a
+    if the lesser room is below what both sizes and ``percent`` demand, the two do not meet by this key. Nor do they if ``fits`` denies
+    it, which gets the size and the further columns of ``sketches`` (node, ...) of both. Of a key, or of a
     cell of it, the item of the largest weight is the pivot. ``verify`` takes pairs (a, b), a < b, each
     once in a round, and gives those that are links.
     """
-    central = F.struct((-F.col("weight")).alias("order"), "node", "size", "room", "component")
-    rest = keys.select("col", "node", "size", "room", "weight", F.col("node").alias("component"))
-    pivots = rest.groupBy("col").agg(F.min(central).alias("p"))
+    own, told = ["col", "node", "size", "room", "weight"], ["node", "size", "room", "component"]
+    more = [x for x in sketches.columns if x != "node"] if sketches else []
+    central = F.struct((-F.col("weight")).alias("order"), *told)
+
+    def sketched(df: DataFrame) -> DataFrame:
+        return df.join(sketches, "node") if sketches else df
+
+    def best(groups: GroupedData) -> DataFrame:
+        return groups.agg(F.min(central).alias("p")).select("col", "p.*", F.lit(False).alias("whole"))
+
+    rest = keys.select(*own, F.col("node").alias("component"))
+    pivots = best(rest.groupBy("col"))
     links: DataFrame | None = None
     now: DataFrame | None = None
     many = FIRST_PIVOTS
     while True:
-        chosen = pivots.select(F.col("col").alias("key"), F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.room").alias("pivot_room"), F.col("p.component").alias("pivot_component"))
+        pivot = sketched(pivots).select(F.col("col").alias("key"), "whole", *(F.col(x).alias("pivot" if x == "node" else f"pivot_{x}") for x in told + more))
         near = (100 + percent) * F.least("room", "pivot_room") >= percent * (F.col("size") + F.col("pivot_size"))
-        met = rest.join(chosen, (F.col("col") == F.col("key")) & (F.col("component") != F.col("pivot_component")) & near)
+        if fits:
+            near &= fits(F.col("size"), [F.col(x) for x in more], F.col("pivot_size"), [F.col(f"pivot_{x}") for x in more])
+        once = ~F.col("whole") | (F.col("node") < F.col("pivot"))
+        met = sketched(rest).join(pivot, (F.col("col") == F.col("key")) & (F.col("component") != F.col("pivot_component")) & once & near)
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = space.save(verify(pairs).select("a", "b"))
         # pairs of one component never meet again, so no link is found twice
         links = found if links is None else links.unionByName(found)
         if now is None or not found.isEmpty():
             now = merged(space, now, found)
-        done = chosen.select(F.col("key").alias("col"), F.col("pivot").alias("node"))
-        left = rest.drop("component").join(done, ["col", "node"], "left_anti")
-        placed = left.join(now, "node", "left").select("col", "node", "size", "room", "weight", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("col")
-        rest = space.save(placed.join(mixed, "col", "left_semi"))
+        # the first round has no counts of keys yet
+        open_keys = rest.where(F.col("n") > WHOLE) if "n" in rest.columns else rest
+        left = open_keys.select(*own).join(pivots.select("col", "node"), ["col", "node"], "left_anti")
+        placed = left.join(now, "node", "left").select(*own, F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("col", "n")
+        rest = space.save(placed.join(mixed, "col"))
         if rest.isEmpty():
             return now, links
-        pivots = rest.groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")).agg(F.min(central).alias("p"))
+        cells = best(rest.where(F.col("n") > WHOLE).groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")))
+        pivots = cells.unionByName(rest.where(F.col("n") <= WHOLE).select("col", (-F.col("weight")).alias("order"), *told, F.lit(True).alias("whole")))
         many *= 16

@@ -10,7 +10,8 @@ none), and is cut into ``BLOCKS`` blocks of 32 bits. Items that share a block ar
 whenever fewer bits differ than there are blocks, some block is equal. Similar lines seldom keep a whole block when several words
 differ, so lines also meet by words that they must share (``near_keys``), which the README states with figures. Of the lines of a key
 only those stay that have another of fitting size and sketch (bit by bit the parity of the words that fall on it: similar lines
-differ in few bits), and keys of the same lines are one key. Candidates are verified by edit distance over
+differ in few bits). Lines that no chain of such fits connects are not similar, so each connected part is a key of its own, and keys of the
+same lines are one key. Longer sketches are compared before the texts are fetched. Candidates are verified by edit distance over
 words: similar are lines with 1 - distance / longer length of
 ``percent`` hundredths or more. Of each connected group of items the first occurrence (smallest id, then line)
 stays and every other line goes.
@@ -37,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +56,13 @@ MOST_RUNS = 24
 #: Slots in which runs of two words are counted, for each group of documents and at most, and how many times the mean of a task's slots, and how often at
 #: least, is common: half of the slots are at most, and only these are sent out.
 SLOTS_A_GROUP, MOST_SLOTS, COMMON, LEAST_COMMON = 1 << 14, 1 << 24, 2, 6
-#: Lines of a key up to which each is held against all others before the key is told; in larger groups all stay.
-SMALL_KEY = 12
-_SKETCH = ["s0", "s1", "s2", "s3"]
+#: Lines of a key up to which the pairs of many keys are held against each other at once; up to the second, the pairs of one key.
+#: Beyond the third a key is told whole.
+SMALL_KEY, SQUARE_KEY, WHOLE_KEY = 12, 512, 1 << 14
+#: Pairs of sketches compared at once.
+_CELLS = 1 << 18
+#: 64 bits each of the sketch by which lines of a key meet: of lines of sixty words a fifth of which differ, few bits are changed twice.
+_SKETCH = [f"s{k}" for k in range(8)]
 
 #: How bytes read in a normalised line; bytes beyond ASCII stand for themselves.
 _READ = np.arange(256, dtype=np.uint8)
@@ -332,8 +337,37 @@ def _scan(buckets: int, least_words: int, common: Common, percent: int) -> Calla
     return run
 
 
+def fit_parts(words: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Of the lines of one key, of rising sizes: the place of the first line that a chain of pairs of fitting sizes and sketches leads to."""
+    part = np.arange(len(words))
+    if len(words) > WHOLE_KEY:
+        return np.zeros_like(part)
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = words[a][:, None], words[b][None]
+        common = -(-percent * np.maximum(x, y) // 100)  # at least, of similar lines
+        return (np.minimum(x, y) >= common) & (np.bitwise_count(sketch[a][:, None] ^ sketch[b][None]) <= x + y - 2 * common)
+
+    if len(words) <= SQUARE_KEY:
+        fits = fit(part, part)
+        while True:
+            low = np.where(fits, part[None], len(part)).min(axis=1)
+            if (low == part).all():
+                return part
+            part = low
+    left = part.copy()
+    while len(left):
+        first, reached, left = left[0], left[:1], left[1:]
+        while len(reached) and len(left):
+            some = max(1, _CELLS // len(left))
+            met = fit(reached[:some], left).any(axis=0)
+            reached = np.append(reached[some:], left[met])
+            part[left[met]], left = first, left[~met]
+    return part
+
+
 def _shared(percent: int) -> Callable:
-    """Keys (col) that several items of fitting sizes have; places pass as they are."""
+    """Keys (col) that several items of fitting sizes and sketches have; places pass as they are."""
     names = ["col", "item", "words", "doc", "tag", "line"]
 
     def solve(values: list[bytes]) -> pa.RecordBatch:
@@ -343,26 +377,32 @@ def _shared(percent: int) -> Callable:
         key, item, words, sketch = key[order] >> U64(16), item[order], words[order].astype(np.int64), sketch[order]
         new = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]))
         key, item, words, sketch = key[new], item[new], words[new], sketch[new]
-
-        def groups(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Sizes rise within a key; no pair fits across a gap of sizes."""
-            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (100 * words[:-1] < percent * words[1:])))
-            return start, np.diff(np.append(start, len(key)))
-
-        start, count = groups(key, words)
-        fits = np.repeat(count > SMALL_KEY, count)
+        # sizes rise within a key; no pair fits across a gap of sizes
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (100 * words[:-1] < percent * words[1:])))
+        count = np.diff(np.append(start, len(key)))
+        part = np.arange(len(key))
         for m in range(2, SMALL_KEY + 1):
             at = start[count == m]
+            of = np.tile(np.arange(m), (len(at), 1))
+            fits = []
             for i, j in combinations(range(m), 2):
                 a, b = at + i, at + j
                 common = -(-percent * words[b] // 100)  # at least, of similar lines
-                ok = (words[a] >= common) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= words[a] + words[b] - 2 * common)
-                fits[a[ok]] = fits[b[ok]] = True
-        key, item, words = key[fits], item[fits], words[fits]
-        if not len(key):
-            return pa.RecordBatch.from_arrays([pa.nulls(0, k) for k in (pa.int64(), *_PLACES)], names=names)
-        start, _ = groups(key, words)
-        count = np.diff(np.append(start, len(key)))
+                fits.append((i, j, (words[a] >= common) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= words[a] + words[b] - 2 * common)))
+            changed = len(at) > 0
+            while changed:
+                before = of.copy()
+                for i, j, ok in fits:
+                    low = np.minimum(of[:, i], of[:, j])
+                    of[:, i], of[:, j] = np.where(ok, low, of[:, i]), np.where(ok, low, of[:, j])
+                changed = (of != before).any()
+            part[at[:, None] + np.arange(m)] = at[:, None] + of
+        for lo, n in zip(start[count > SMALL_KEY].tolist(), count[count > SMALL_KEY].tolist(), strict=True):
+            part[lo : lo + n] = lo + fit_parts(words[lo : lo + n], sketch[lo : lo + n], percent)
+        order = np.argsort(part, kind="stable")
+        part, item = part[order], item[order]
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        count = np.diff(np.append(start, len(part)))
         # keys of the same items are one key
         name = np.add.reduceat(mix(item), start) + count.astype(U64)
         several = count > 1
@@ -446,7 +486,7 @@ def _fetch(key: tuple, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         out += [(int(item[k]), b" ".join(lines[n].split()).decode()) for k, n in places]
     text = pa.array([x for _, x in out], pa.string())
     h, _, _, first = word_hashes(*buffers(text))
-    columns = [pa.array([x for x, _ in out], pa.int64()), text, *(pa.array(x.view(np.int64)) for x in parities(h, first[:-1], 4))]
+    columns = [pa.array([x for x, _ in out], pa.int64()), text, *(pa.array(x.view(np.int64)) for x in parities(h, first[:-1], len(_SKETCH)))]
     return pa.table(dict(zip(["node", "text", *_SKETCH], columns, strict=True)))
 
 
@@ -494,19 +534,21 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     wanted = space.save(items.join(candidates, "item", "left_semi").select("item", "first.doc", "first.tag", "first.line", "size", "weight"))
     part, of_doc = (F.pmod(F.xxhash64(F.coalesce(F.col(x), F.lit(_NO_ID)), "tag"), F.lit(buckets)).cast("int").alias("part") for x in ("doc_id", "doc"))
     fetched = together(docs.select(part, "doc_id", "tag", "text"), wanted.select(of_doc, "item", "doc", "tag", "line"), buckets)
-    texts = space.save(fetched.applyInArrow(_fetch, "node long, text string, s0 long, s1 long, s2 long, s3 long"))
-    nodes = space.save(wanted.select(F.col("item").alias("node"), "size", "weight").join(texts.drop("text"), "node"))
+    texts = space.save(fetched.applyInArrow(_fetch, ", ".join(["node long", "text string", *(f"{x} long" for x in _SKETCH)])))
+    nodes = wanted.select(F.col("item").alias("node"), "size", F.col("size").alias("room"), "weight")
+    sketches = texts.select("node", *_SKETCH)
+
+    sides = {s: texts.select(F.col("node").alias(s), F.col("text").alias(f"line_{s}")) for s in "ab"}
 
     def verify(pairs: DataFrame) -> DataFrame:
-        for s in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("size").alias(f"n_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in _SKETCH)), s)
-        differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _SKETCH), F.lit(0))
-        # similar lines have percent hundredths of the longer one's words in common
-        pairs = pairs.where(100 * differ <= 100 * (F.col("n_a") + F.col("n_b")) - 2 * percent * F.greatest("n_a", "n_b")).select("a", "b")
-        sides = {s: texts.select(F.col("node").alias(s), F.col("text").alias(f"line_{s}")) for s in "ab"}
         return pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "line_a", "line_b").mapInArrow(_similar(percent), "a long, b long")
 
-    groups, _ = linked(space, keys.join(nodes.select("node", "size", F.col("size").alias("room"), "weight"), "node"), verify, percent)
+    def fits(size: Column, sketch: list[Column], pivot_size: Column, pivot_sketch: list[Column]) -> Column:
+        """Similar lines have percent hundredths of the longer one's words in common."""
+        differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sketch, pivot_sketch, strict=True)), F.lit(0))
+        return 100 * differ <= 100 * (size + pivot_size) - 2 * percent * F.greatest(size, pivot_size)
+
+    groups, _ = linked(space, keys.join(nodes, "node"), verify, percent, sketches, fits)
     # an item's group is its component, or itself; of each group all places but the first go
     grouped = items.join(groups.withColumnRenamed("node", "item"), "item", "left").select("item", "first", "weight", F.coalesce("component", "item").alias("component"))
     firsts = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("weight").alias("n")).where("n > 1").drop("n")
