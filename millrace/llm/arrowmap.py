@@ -11,13 +11,20 @@ import pyarrow as pa
 
 
 @cache
-def thrifty() -> None:
-    """Have this worker hand the memory of large arrays back as soon as they go. glibc otherwise raises the size
-    from which it does so to that of the largest array freed, and reused workers then keep their peak."""
+def _libc() -> ctypes.CDLL | None:
     with suppress(OSError, AttributeError):
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        return ctypes.CDLL("libc.so.6")
+    return None
+
+
+def thrifty(kept: int = 1 << 20) -> None:
+    """Have this worker hand the memory of arrays of more than ``kept`` bytes back as soon as they go. glibc otherwise raises the size
+    from which it does so to that of the largest array freed, and reused workers then keep their peak. What is handed back
+    is cleared by the system when it is asked for again, which costs more than the work on many short-lived arrays."""
+    libc = _libc()
+    if libc:
+        libc.mallopt(-3, kept)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, kept)  # M_TRIM_THRESHOLD
 
 
 def release() -> None:
@@ -25,9 +32,9 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def gathered(batches: Iterable[pa.RecordBatch], least: int = 8 << 20, most_rows: int = 200_000) -> Iterator[pa.Table]:
+def gathered(batches: Iterable[pa.RecordBatch], least: int = 8 << 20, most_rows: int = 200_000, kept: int = 1 << 20) -> Iterator[pa.Table]:
     """Tables of about ``least`` bytes from smaller batches, and from pieces of larger ones; an empty input gives none."""
-    thrifty()
+    thrifty(kept)
     held, size, rows = [], 0, 0
     for whole in batches:
         step = max(1, whole.num_rows * least // max(whole.nbytes, 1))

@@ -26,6 +26,8 @@ from .workspace import Workspace
 FIRST_PIVOTS = 16
 #: Items of a key up to which, from the second round on, all are pivots.
 WHOLE = 64
+#: Items of a key up to which, where the keys tell their number, all are pivots in the first round.
+FEW = 4
 
 
 def components(space: Workspace, links: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
 
     ``room`` is the most that an item can have in common with another from this key on, its ``size`` if unknown:
     if the lesser room is below what both sizes and ``percent`` demand, the two do not meet by this key. Nor do they if ``fits`` denies
-    it, which gets the size and the further columns of ``sketches`` (node, ...) of both. Of a key, or of a
+    it, which gets the size and the further columns of ``sketches`` (node, ...) of both. If ``keys`` also has ``n``, the number of a key's items
+    (or more), keys of up to FEW are compared whole in the first round and done. Of a key, or of a
     cell of it, the item of the largest weight is the pivot. ``verify`` takes pairs (a, b), a < b, each
     once in a round, and gives those that are links.
     """
@@ -80,6 +83,11 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
 
     rest = keys.select(*own, F.col("node").alias("component"))
     pivots = best(rest.groupBy("col"))
+    open_keys = rest
+    if "n" in keys.columns:
+        few = keys.where(F.col("n") <= FEW).select("col", (-F.col("weight")).alias("order"), "node", "size", "room", F.col("node").alias("component"), F.lit(True).alias("whole"))
+        open_keys = keys.where(F.col("n") > FEW).select(*own)
+        pivots = few.unionByName(best(open_keys.withColumn("component", F.col("node")).groupBy("col")))
     links: DataFrame | None = None
     now: DataFrame | None = None
     many = FIRST_PIVOTS
@@ -96,14 +104,13 @@ def linked(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame], Data
         links = found if links is None else links.unionByName(found)
         if now is None or not found.isEmpty():
             now = merged(space, now, found)
-        # the first round has no counts of keys yet
-        open_keys = rest.where(F.col("n") > WHOLE) if "n" in rest.columns else rest
         left = open_keys.select(*own).join(pivots.select("col", "node"), ["col", "node"], "left_anti")
         placed = left.join(now, "node", "left").select(*own, F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("col", "n")
         rest = space.save(placed.join(mixed, "col"))
         if rest.isEmpty():
             return now, links
+        open_keys = rest.where(F.col("n") > WHOLE)
         cells = best(rest.where(F.col("n") > WHOLE).groupBy("col", F.pmod(F.xxhash64("node"), F.lit(many)).alias("cell")))
         pivots = cells.unionByName(rest.where(F.col("n") <= WHOLE).select("col", (-F.col("weight")).alias("order"), *told, F.lit(True).alias("whole")))
         many *= 16

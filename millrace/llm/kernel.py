@@ -32,6 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def looked_up(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes and a table of 256 values of one byte; not to be written to."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 #: Runs of units of any length are hashed by two polynomials over the field of this many elements, each with a base of its own: two different spans
 #: of n units then agree with a probability of (n / PRIME) squared. (A polynomial modulo a power of two would not do: it
 #: confuses the Thue-Morse sequence and its complement, whatever the base.)
@@ -122,7 +127,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = SPACE[data]
+    gap[1:-1] = looked_up(data, SPACE)
     inside = ~gap[1:-1]
     before = gap[:-2].copy()
     cuts = offsets[1:-1]
@@ -149,9 +154,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """words() and a 64-bit hash of each: its length, mixed with eight bytes after eight."""
     starts, ends, first = words(data, offsets)
     size = ends - starts
-    h, at = mix(size.astype(U64)), loads(data)
+    at = loads(data)
+    h = mix(mix(size.astype(U64)) ^ (at[starts] << np.maximum(8 * (8 - size), 0).astype(U64)))
     left = np.flatnonzero(size <= _LONG)
-    for k in range(0, _LONG, 8):
+    for k in range(8, _LONG, 8):
         left = left[size[left] > k]
         if not len(left):
             break

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from .arrowmap import gathered, release, thrifty
 from .clusters import linked
-from .kernel import U64, buffers, chunks, mix, prefix_of_hashes, ragged, shingle_hashes, span_hash, starts_within, word_hashes
+from .kernel import U64, buffers, chunks, looked_up, mix, prefix_of_hashes, ragged, shingle_hashes, span_hash, starts_within, word_hashes
 from .repeats import _NO_ID, _ids, _rows, dealt, groups_of, pack, tasks_of, together, unpack
 from .workspace import Workspace
 
@@ -61,8 +61,12 @@ SLOTS_A_GROUP, MOST_SLOTS, COMMON, LEAST_COMMON = 1 << 14, 1 << 24, 2, 6
 SMALL_KEY, SQUARE_KEY, WHOLE_KEY = 12, 512, 1 << 14
 #: Pairs of sketches compared at once.
 _CELLS = 1 << 18
-#: 64 bits each of the sketch by which lines of a key meet: of lines of sixty words a fifth of which differ, few bits are changed twice.
-_SKETCH = [f"s{k}" for k in range(8)]
+#: 64 bits each of the wide sketch by which lines of a key meet at last: of lines of sixty words a fifth of which differ, few bits are changed twice.
+_SKETCH = [f"s{k}" for k in range(4)]
+#: Bytes of arrays from which on a worker hands their memory back at once: those of a chunk have less, and are many.
+_KEPT = 16 << 20
+#: Items that a row of a key tells at most.
+_ROW_ITEMS = 1 << 12
 
 #: How bytes read in a normalised line; bytes beyond ASCII stand for themselves.
 _READ = np.arange(256, dtype=np.uint8)
@@ -186,10 +190,10 @@ def common_runs(docs: DataFrame, slots: int) -> Common:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
-        for t in gathered(batches):
+        for t in gathered(batches, kept=_KEPT):
             for _, _, d, o in chunks(*_read(t["text"])):
                 h, _, _, first = word_hashes(d, split_lines(d, o)[0])
-                slot, n = np.unique(_slots(shingle_hashes(h, 2)[starts_within(first, 2)], slots), return_counts=True)
+                slot, n = np.unique(_slots(shingle_hashes(h, 2)[starts_within(first, 2)], slots).astype(np.int32), return_counts=True)
                 total[slot] += n
         usual = max(COMMON * float(total.mean()), float(LEAST_COMMON))
         slot = np.flatnonzero(total > usual)
@@ -239,9 +243,10 @@ class Lines:
         #: hash of the words in their order
         self.item = span_hash(prefix_of_hashes(self.h), self.first[self.use], self.first[self.use + 1])
 
-    def sketch(self, some: np.ndarray) -> np.ndarray:
+    def sketch(self, some: np.ndarray) -> list[np.ndarray]:
+        """Wide sketches; the lanes' parity is the narrow one."""
         of, place = ragged(self.words[some])
-        return parities(self.h[self.first[self.use[some]][of] + place], np.cumsum(self.words[some]) - self.words[some])[0]
+        return parities(self.h[self.first[self.use[some]][of] + place], np.cumsum(self.words[some]) - self.words[some], len(_SKETCH))
 
     def entries(self, some: np.ndarray, common: Common, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these lines the places in ``some`` and what they meet others by: numbers (of a block, or beyond) and codes of 32 bits."""
@@ -282,71 +287,75 @@ def _read(text: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
     lower = pc.utf8_lower(text.fill_null(""))
     data, offsets = buffers(lower)
-    found = np.flatnonzero(_LEADS[data])
+    found = np.flatnonzero(looked_up(data, _LEADS))
     if len(found):
         leads = np.searchsorted(found, offsets)
         unspaced = pa.array(leads[1:] > leads[:-1])
         spaced = pc.replace_substring_regex(lower.filter(unspaced), _UNSPACED, r" \1 ")
         data, offsets = buffers(pc.replace_with_mask(lower, unspaced, spaced))
-    return _READ[data], offsets
+    return looked_up(data, _READ), offsets
 
 
-_PLACED = "item long, words int, doc array<long>, tag array<long>, line array<int>"
-_SCANNED = f"bucket int, payload binary, {_PLACED}"
-_MET = f"col long, {_PLACED}"
-_PLACES = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+#: Kinds of payloads: what lines meet by; of each item its size and wide sketch; places; of each item how often it stands and where first; and keys.
+_ENTRIES, _ITEMS, _PLACES, _FIRSTS, _KEYS = range(5)
+_PLACE = (np.uint64, np.int64, np.int64, np.int32)
+_SCANNED = "bucket int, kind int, payload binary"
+_MET = f"{_SCANNED}, col long, nodes array<long>, big boolean"
+#: What a key's item brings along.
+_TOLD = np.dtype([("size", "<i4"), ("line", "<i4"), ("weight", "<i8"), ("doc", "<i8"), ("tag", "<i8"), ("sketch", "<u8", (len(_SKETCH),))])
+_FIT = ", ".join(["col long, node long, n int, size int, weight long, doc long, tag long, line int", *(f"{x} long" for x in _SKETCH)])
 
 
-def _scan(buckets: int, least_words: int, common: Common, percent: int) -> Callable:
-    """Entries of items by bucket, packed, an item once a task; and the places of each item in a table of texts, one row."""
-    names = ["bucket", "payload", "item", "words", "doc", "tag", "line"]
+def _bucket(item: np.ndarray, buckets: int) -> np.ndarray:
+    return item.view(np.int64) % buckets
 
-    def places(item: np.ndarray, words: np.ndarray, doc: np.ndarray, tag: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(item, kind="stable")
-        item = item[order]
-        head = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
-        ends = pa.array(np.append(head, len(item)), pa.int32())
-        route = (item[head] % U64(buckets)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (doc, tag, line.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(route), pa.nulls(len(head), pa.binary()), pa.array(item[head].view(np.int64)), pa.array(words[order][head].astype(np.int32)), *lists], names=names)
+
+def _scan(buckets: int, least_words: int, common: Common, percent: int) -> Callable:
+    """Packed by bucket: entries and sketches of items, an item once a task; and all places of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, U64)
-        for t in gathered(batches):
+        for t in gathered(batches, kept=_KEPT):
             ids, tags = _ids(t["doc_id"]), t["tag"].to_numpy()
-            found, entered = [], []
+            found, entered, told = [], [], []
             for i, _, d, o in chunks(*_read(t["text"])):
                 x = Lines(d, o, least_words)
-                found.append((x.item, x.words, ids[i + x.row], tags[i + x.row], x.number))
+                found.append((x.item, ids[i + x.row], tags[i + x.row], x.number.astype(np.int32)))
                 item, at = np.unique(x.item, return_index=True)
                 new = np.searchsorted(seen, item, "right") == np.searchsorted(seen, item)
                 which, nth, code = x.entries(at[new], common, percent)
-                words = np.minimum(x.words[at[new]], 0xFFFF).astype(np.uint16)
-                entered.append((code, nth, words[which], item[new][which], x.sketch(at[new])[which]))
+                words, sketch = x.words[at[new]], x.sketch(at[new])
+                entered.append((code, nth, np.minimum(words, 0xFFFF).astype(np.uint16)[which], item[new][which], np.bitwise_xor.reduce(sketch)[which]))
+                told.append((item[new], words.astype(np.uint32), *sketch))
                 seen = np.sort(np.append(seen, item[new]))
-            yield places(*(np.concatenate(v) for v in zip(*found, strict=True)))
-            code, *rest = (np.concatenate(v) for v in zip(*entered, strict=True))
-            nth = rest[0]
-            columns: list[list] = [[], []]
-            for b, at in dealt((mix(code.astype(U64) + (nth.astype(U64) << U64(32))) % U64(buckets)).astype(np.int64)):
-                columns[0].append(b)
-                columns[1].append(pack(code[at], *(x[at] for x in rest)))
-            none = [pa.nulls(len(columns[0]), k) for k in _PLACES]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), *none], names=names)
+            columns: list[list] = [[], [], []]
+            for kind, parts in ((_ENTRIES, entered), (_ITEMS, told), (_PLACES, found)):
+                arrays = [np.concatenate(v) for v in zip(*parts, strict=True)]
+                route = (mix(arrays[0].astype(U64) + (arrays[1].astype(U64) << U64(32))) % U64(buckets)).astype(np.int64) if kind == _ENTRIES else _bucket(arrays[0], buckets)
+                for b, at in dealt(route):
+                    for column, v in zip(columns, (b, kind, pack(*(x[at] for x in arrays))), strict=True):
+                        column.append(v)
+            yield _rows(["bucket", "kind", "payload"], columns, [pa.int32(), pa.int32(), pa.binary()])
 
     return run
 
 
+def _lanes(sketch: np.ndarray) -> list[np.ndarray]:
+    return [sketch] if sketch.ndim == 1 else [np.ascontiguousarray(x) for x in sketch.T]
+
+
 def fit_parts(words: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     """Of the lines of one key, of rising sizes: the place of the first line that a chain of pairs of fitting sizes and sketches leads to."""
     part = np.arange(len(words))
     if len(words) > WHOLE_KEY:
         return np.zeros_like(part)
+    lanes = _lanes(sketch)
 
     def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = words[a][:, None], words[b][None]
         common = -(-percent * np.maximum(x, y) // 100)  # at least, of similar lines
-        return (np.minimum(x, y) >= common) & (np.bitwise_count(sketch[a][:, None] ^ sketch[b][None]) <= x + y - 2 * common)
+        differ = sum(np.bitwise_count(k[a][:, None] ^ k[b][None]).astype(np.int64) for k in lanes)
+        return (np.minimum(x, y) >= common) & (differ <= x + y - 2 * common)
 
     if len(words) <= SQUARE_KEY:
         fits = fit(part, part)
@@ -366,73 +375,216 @@ def fit_parts(words: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray
     return part
 
 
+def _parts_of_keys(key: np.ndarray, words: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of rising keys and sizes: an order in which the connected parts of the keys stand together, and start and count of those parts that have several lines."""
+    lanes = _lanes(sketch)
+    # no pair fits across a gap of sizes
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (100 * words[:-1] < percent * words[1:])))
+    count = np.diff(np.append(start, len(key)))
+    part = np.arange(len(key))
+    for m in range(2, SMALL_KEY + 1):
+        at = start[count == m]
+        of = np.tile(np.arange(m), (len(at), 1))
+        fits = []
+        for i, j in combinations(range(m), 2):
+            a, b = at + i, at + j
+            common = -(-percent * words[b] // 100)  # at least, of similar lines
+            differ = sum(np.bitwise_count(k[a] ^ k[b]).astype(np.int64) for k in lanes)
+            fits.append((i, j, (words[a] >= common) & (differ <= words[a] + words[b] - 2 * common)))
+        changed = len(at) > 0
+        while changed:
+            before = of.copy()
+            for i, j, ok in fits:
+                low = np.minimum(of[:, i], of[:, j])
+                of[:, i], of[:, j] = np.where(ok, low, of[:, i]), np.where(ok, low, of[:, j])
+            changed = (of != before).any()
+        part[at[:, None] + np.arange(m)] = at[:, None] + of
+    for lo, n in zip(start[count > SMALL_KEY].tolist(), count[count > SMALL_KEY].tolist(), strict=True):
+        part[lo : lo + n] = lo + fit_parts(words[lo : lo + n], sketch[lo : lo + n], percent)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    count = np.diff(np.append(start, len(part)))
+    return order, start[count > 1], count[count > 1]
+
+
+def _names(item: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Name, start and count of runs of items: those of the same items are one."""
+    if not len(start):
+        return np.zeros(0, U64), start, count
+    sums = np.append(U64(0), np.cumsum(mix(item)))
+    name, first = np.unique(sums[start + count] - sums[start] + count.astype(U64), return_index=True)
+    return name, start[first], count[first]
+
+
 def _shared(percent: int) -> Callable:
-    """Keys (col) that several items of fitting sizes and sketches have; places pass as they are."""
-    names = ["col", "item", "words", "doc", "tag", "line"]
+    """Keys (col) that several items of fitting sizes and sketches have; of each bucket what its items are; places pass as they are."""
+    names = ["bucket", "kind", "payload", "col", "nodes", "big"]
 
-    def solve(values: list[bytes]) -> pa.RecordBatch:
+    def keys(bucket: int, values: list[bytes]) -> pa.RecordBatch:
         code, nth, words, item, sketch = (np.concatenate(x) for x in zip(*(unpack(v, np.uint32, np.uint8, np.uint16, np.uint64, np.uint64) for v in values), strict=True))
-        key = (code.astype(U64) + (nth.astype(U64) << U64(32)) << U64(16)) + words
+        key = code.astype(U64) + (nth.astype(U64) << U64(32))
+        # most keys have one line only: those that no other falls together with go before all is sorted
+        width = max(16, (2 * len(key)).bit_length())
+        slot = (key * U64(0x9E3779B97F4A7C15) >> U64(64 - width)).astype(np.int64)
+        several = np.flatnonzero(np.bincount(slot, minlength=1 << width)[slot] > 1)
+        key, words, item, sketch = (key[several] << U64(16)) + words[several], words[several], item[several], sketch[several]
         order = np.lexsort((item, key))
         key, item, words, sketch = key[order] >> U64(16), item[order], words[order].astype(np.int64), sketch[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]))
+        new = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]))[: len(key)]
         key, item, words, sketch = key[new], item[new], words[new], sketch[new]
-        # sizes rise within a key; no pair fits across a gap of sizes
-        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (100 * words[:-1] < percent * words[1:])))
-        count = np.diff(np.append(start, len(key)))
-        part = np.arange(len(key))
-        for m in range(2, SMALL_KEY + 1):
-            at = start[count == m]
-            of = np.tile(np.arange(m), (len(at), 1))
-            fits = []
-            for i, j in combinations(range(m), 2):
-                a, b = at + i, at + j
-                common = -(-percent * words[b] // 100)  # at least, of similar lines
-                fits.append((i, j, (words[a] >= common) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= words[a] + words[b] - 2 * common)))
-            changed = len(at) > 0
-            while changed:
-                before = of.copy()
-                for i, j, ok in fits:
-                    low = np.minimum(of[:, i], of[:, j])
-                    of[:, i], of[:, j] = np.where(ok, low, of[:, i]), np.where(ok, low, of[:, j])
-                changed = (of != before).any()
-            part[at[:, None] + np.arange(m)] = at[:, None] + of
-        for lo, n in zip(start[count > SMALL_KEY].tolist(), count[count > SMALL_KEY].tolist(), strict=True):
-            part[lo : lo + n] = lo + fit_parts(words[lo : lo + n], sketch[lo : lo + n], percent)
-        order = np.argsort(part, kind="stable")
-        part, item = part[order], item[order]
-        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        count = np.diff(np.append(start, len(part)))
-        # keys of the same items are one key
-        name = np.add.reduceat(mix(item), start) + count.astype(U64)
-        several = count > 1
-        _, first = np.unique(name[several], return_index=True)
-        start, count, name = (x[several][first] for x in (start, count, name))
-        which, place = ragged(count)
-        none = [pa.nulls(len(which), k) for k in _PLACES[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(name[which].view(np.int64)), pa.array(item[start[which] + place].view(np.int64)), *none], names=names)
+        order, start, count = _parts_of_keys(key, words, sketch, percent)
+        item = item[order]
+        name, start, count = _names(item, start, count)
+        rows = -(-count // _ROW_ITEMS)
+        of, nth = ragged(rows)
+        size = np.minimum(count[of] - nth * _ROW_ITEMS, _ROW_ITEMS)
+        which, place = ragged(size)
+        nodes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(item[(start[of] + nth * _ROW_ITEMS)[which] + place].view(np.int64)))
+        n = len(of)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, _KEYS, np.int32)), pa.nulls(n, pa.binary()), pa.array(name[of].view(np.int64)), nodes, pa.array(count[of] > WHOLE_KEY)], names=names)
+
+    def firsts(item: np.ndarray, n: np.ndarray, doc: np.ndarray, tag: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((line, tag, doc, item))
+        item, n = item[order], n[order]
+        head = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        return item[head], np.add.reduceat(n, head), *(x[order][head] for x in (doc, tag, line))
+
+    def told(rows: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
+        n = len(rows)
+        columns = [pa.array([b for b, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.int32()), pa.array(list(rows.values()), pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.bool_())], names=names)
+
+    def end(bucket: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        if held[_ENTRIES]:
+            yield keys(bucket, held[_ENTRIES])
+        if held[_PLACES]:
+            first = firsts(*(np.concatenate(x) for x in zip(*held[_PLACES], strict=True)))
+            items = [np.concatenate(x) for x in zip(*(unpack(v, np.uint64, np.uint32, *[np.uint64] * len(_SKETCH)) for v in held[_ITEMS]), strict=True)]
+            at = np.unique(items[0], return_index=True)[1]
+            yield told({(bucket, _ITEMS): pack(*(x[at] for x in items)), (bucket, _FIRSTS): pack(*first)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, values = None, []
-        thrifty()
+        bucket, held = None, {}
+        thrifty(_KEPT)
         for batch in batches:
             release()
-            packed = batch.filter(pc.is_valid(batch["payload"]))
-            places = batch.filter(pc.is_null(batch["payload"]))
+            for b, kind, value in zip(*(batch[x].to_pylist() for x in names[:3]), strict=True):
+                if b != bucket:
+                    if held:
+                        yield from end(bucket, held)
+                    bucket, held = b, {_ENTRIES: [], _ITEMS: [], _PLACES: []}
+                if kind == _PLACES:
+                    item, doc, tag, line = unpack(value, *_PLACE)
+                    value = firsts(item, np.ones(len(item), np.int64), doc, tag, line)
+                held[kind].append(value)
+            places = batch.filter(pc.equal(batch["kind"], _PLACES))
             if places.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(places.num_rows, pa.int64()), *(places[x] for x in names[1:])], names=names)
-            for b, value in zip(packed["bucket"].to_pylist(), packed["payload"].to_pylist(), strict=True):
-                if b != bucket and values:
-                    yield solve(values)
-                    values = []
-                bucket = b
-                values.append(value)
-        if values:
-            yield solve(values)
+                yield pa.RecordBatch.from_arrays([*(places[x] for x in names[:3]), pa.nulls(places.num_rows, pa.int64()), pa.nulls(places.num_rows, pa.list_(pa.int64())), pa.nulls(places.num_rows, pa.bool_())], names=names)
+        if held:
+            yield from end(bucket, held)
+
+    return run
+
+
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item of a key what its bucket, which comes first, knows of it."""
+    thrifty(_KEPT)
+    parts: dict[int, tuple] = {}
+    bucket, item, told = None, np.zeros(0, U64), np.zeros(0, _TOLD)
+    for batch in batches:
+        release()
+        head = batch.filter(pc.is_valid(batch["payload"]))
+        for b, kind, value in zip(*(head[x].to_pylist() for x in ("bucket", "kind", "payload")), strict=True):
+            parts[b, kind] = value
+        rows = batch.filter(pc.is_null(batch["payload"]))
+        of = rows["bucket"].to_numpy()
+        for b in np.unique(of).tolist():
+            if b != bucket:
+                item, size, *sketch = unpack(parts.pop((b, _ITEMS)), np.uint64, np.uint32, *[np.uint64] * len(_SKETCH))
+                _, weight, doc, tag, line = unpack(parts.pop((b, _FIRSTS)), np.uint64, *[np.int64] * 3, np.int32)
+                told = np.empty(len(item), _TOLD)
+                told["size"], told["line"], told["weight"], told["doc"], told["tag"], told["sketch"] = size, line, weight, doc, tag, np.stack(sketch, axis=1)
+                bucket, parts = b, {k: v for k, v in parts.items() if k[0] > b}
+            some = rows.filter(pa.array(of == b))
+            raw = told[np.searchsorted(item, some["node"].to_numpy().view(U64))].tobytes()
+            ends = np.arange(some.num_rows + 1, dtype=np.int32) * _TOLD.itemsize
+            binary = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([some["col"], some["node"], some["big"], binary], names=["col", "node", "big", "told"])
+
+
+def _refine(percent: int) -> Callable:
+    """Keys, each whole and in order, as the parts of them that wide sketches connect; those that are told whole stay so."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        col, node, big = t["col"].to_numpy(), t["node"].to_numpy().view(U64), t["big"].to_numpy()
+        told = np.frombuffer(b"".join(t["told"].to_pylist()), _TOLD)
+        order = np.lexsort((node, told["size"], col))
+        order, whole = order[~big[order]], np.flatnonzero(big)
+        inner, start, count = _parts_of_keys(col[order], told["size"][order].astype(np.int64), told["sketch"][order], percent)
+        order = order[inner]
+        name, start, count = _names(node[order], start, count)
+        which, place = ragged(count)
+        at = np.append(order[start[which] + place], whole)
+        told = told[at]
+        many = np.append(count[which], np.full(len(whole), WHOLE_KEY)).astype(np.int32)
+        columns = [np.append(name[which].view(np.int64), col[whole]), node[at].view(np.int64), many, *(told[x] for x in ("size", "weight", "doc", "tag", "line")), *told["sketch"].view(np.int64).T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["col", "node", "n", "size", "weight", "doc", "tag", "line", *_SKETCH])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, last = [], 0, None
+        for batch in batches:
+            col = batch["col"].to_numpy()
+            if not len(col):
+                continue
+            # what begins here of the last key may go on
+            cut = int(np.searchsorted(col, col[-1]))
+            if rows >= 100_000 and (cut > 0 or col[0] != last):
+                held.append(batch.slice(0, cut))
+                yield solve(pa.Table.from_batches(held))
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows, last = rows + batch.num_rows, col[-1]
+        if rows:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
 
+def _dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of items but the one that stays: by bucket first the items of groups with the place that the group keeps, then first places of
+    all items, then places, walked payload by payload."""
+    thrifty(_KEPT)
+    bucket, own, first, kept = None, [], None, None
+    for batch in batches:
+        release()
+        if not batch.num_rows:
+            continue
+        # runs of one bucket and kind
+        at, kinds = batch["bucket"].to_numpy(), batch["kind"].to_numpy()
+        edge = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])))[: len(at)]
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True):
+            if at[lo] != bucket:
+                bucket, own, kept = at[lo], [], None
+            some = batch.slice(lo, hi - lo)
+            if kinds[lo] == -2:
+                own.append([some[x].to_numpy() for x in ("node", "doc", "tag", "line")])
+            elif kinds[lo] == -1:
+                item, _, doc, tag, line = unpack(some["payload"][0].as_py(), np.uint64, *[np.int64] * 3, np.int32)
+                first = np.rec.fromarrays([doc, tag, line], names="doc,tag,line")
+                kept = item, first
+                for node, *place in own:
+                    k = np.searchsorted(item, node.view(U64))
+                    first["doc"][k], first["tag"][k], first["line"][k] = place
+            else:
+                for value in some["payload"].to_pylist():
+                    item, doc, tag, line = unpack(value, *_PLACE)
+                    stays = kept[1][np.searchsorted(kept[0], item)]
+                    gone = (stays["doc"] != doc) | (stays["tag"] != tag) | (stays["line"] != line)
+                    if gone.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(tag[gone]), pa.array(line[gone])], names=["doc", "tag", "line"])
+
+
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by bit vectors."""
     least, k, end = min(len(a), len(b)), 0, 0
@@ -474,25 +626,26 @@ def _similar(percent: int) -> Callable:
 
 
 def _fetch(key: tuple, docs: pa.Table, wanted: pa.Table) -> pa.Table:
-    """Normalised lines at the wanted places, and their sketches."""
-    thrifty()
+    """Normalised lines at the wanted places."""
+    thrifty(_KEPT)
     release()
-    item, out = wanted["item"].to_numpy(), []
+    item, ids, out = wanted["node"].to_numpy(), [], []
     rows = _rows_of(docs, wanted["doc"].to_numpy(), wanted["tag"].to_numpy(), wanted["line"].to_numpy())
-    data, offsets = _read(docs["text"].take(pa.array(list(rows), pa.int64())))
+    for r, places in rows.items():
+        # neither lower case nor spaces between words make or take a line
+        lines = docs["text"][r].as_py().split("\n")
+        for k, n in places:
+            ids.append(item[k])
+            out.append(lines[n])
+    data, offsets = _read(pa.array(out, pa.string()))
     raw, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
-    for x, y, places in zip(ends[:-1], ends[1:], rows.values(), strict=True):
-        lines = raw[x:y].tobytes().split(b"\n")
-        out += [(int(item[k]), b" ".join(lines[n].split()).decode()) for k, n in places]
-    text = pa.array([x for _, x in out], pa.string())
-    h, _, _, first = word_hashes(*buffers(text))
-    columns = [pa.array([x for x, _ in out], pa.int64()), text, *(pa.array(x.view(np.int64)) for x in parities(h, first[:-1], len(_SKETCH)))]
-    return pa.table(dict(zip(["node", "text", *_SKETCH], columns, strict=True)))
+    text = [b" ".join(raw[x:y].tobytes().split()).decode() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"node": pa.array(ids, pa.int64()), "text": pa.array(text, pa.string())})
 
 
 def _cut(columns: list[str], text_col: str) -> Callable:
     def run(key: tuple, docs: pa.Table, gone: pa.Table) -> pa.Table:
-        thrifty()
+        thrifty(_KEPT)
         release()
         by = {r: [n for _, n in places] for r, places in _rows_of(docs, gone["doc"].to_numpy(), gone["tag"].to_numpy(), gone["line"].to_numpy()).items()}
         texts = docs["text"].to_pylist()
@@ -501,8 +654,7 @@ def _cut(columns: list[str], text_col: str) -> Callable:
             out = set(drop)
             texts[r] = "\n".join(x for k, x in enumerate(texts[r].split("\n")) if k not in out)
         removed = [sorted(by.get(r, [])) for r in range(len(texts))]
-        out = {c: docs[c] for c in columns}
-        out[text_col] = pa.array(texts, pa.string())
+        out = {c: pa.array(texts, pa.string()) if c == text_col else docs[c] for c in columns}
         out["n_lines"] = pa.array(lines, pa.int64())
         out["n_removed"] = pa.array([len(x) for x in removed], pa.int64())
         out["removed"] = pa.array(removed, pa.list_(pa.int64()))
@@ -523,20 +675,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     buckets = buckets or groups_of(docs)
     common = common_runs(docs, min(MOST_SLOTS, max(1 << 18, 1 << (buckets * SLOTS_A_GROUP).bit_length())))
     scanned = docs.mapInArrow(_scan(buckets, least_words, common, percent), _SCANNED)
-    found = space.save(scanned.repartition(tasks_of(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _MET))
-    keys = space.save(found.where("col IS NOT NULL").select("col", F.col("item").alias("node")).distinct())
-    # one row for each item and table of texts: a line that stands everywhere has no more rows than there are tables
-    places = found.where("col IS NULL").select("item", "words", "doc", "tag", "line")
-    first = F.array_min(F.arrays_zip("doc", "tag", "line"))
-    items = space.save(places.groupBy("item").agg(F.min(first).alias("first"), F.max("words").alias("size"), F.sum(F.size("doc")).alias("weight")))
-    candidates = keys.select(F.col("node").alias("item")).distinct()
-    # a line that stands most often is the likely centre of its near copies
-    wanted = space.save(items.join(candidates, "item", "left_semi").select("item", "first.doc", "first.tag", "first.line", "size", "weight"))
+    tasks = tasks_of(buckets)
+    found = space.save(scanned.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shared(percent), _MET))
+
+    def by_kind(*kinds: int) -> DataFrame:
+        return found.where(F.col("kind").isin(*kinds)).select("bucket", "kind", "payload")
+
+    def walked(told: DataFrame) -> DataFrame:
+        return told.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind")
+
+    def bucket_of(item: str) -> Column:
+        return F.pmod(F.col(item), F.lit(buckets).cast("long")).cast("int").alias("bucket")
+
+    # keys of the same lines are one key, here and once they are parts by wide sketches
+    met = found.where(F.col("kind") == _KEYS).select("col", "nodes", "big").distinct().select("col", F.explode("nodes").alias("node"), "big")
+    met = met.select(bucket_of("node"), F.lit(_KEYS).alias("kind"), "col", "node", "big")
+    told = walked(by_kind(_ITEMS, _FIRSTS).unionByName(met, allowMissingColumns=True)).mapInArrow(_tell, "col long, node long, big boolean, told binary")
+    salt = F.when(F.col("big"), F.pmod(F.col("node"), F.lit(tasks))).otherwise(F.lit(0))
+    keys = space.save(told.repartition(tasks, "col", salt).sortWithinPartitions("col").mapInArrow(_refine(percent), _FIT).distinct())
+    own = ["doc", "tag", "line", *_SKETCH]
+    wanted = space.save(keys.select("node", *own).distinct())
     part, of_doc = (F.pmod(F.xxhash64(F.coalesce(F.col(x), F.lit(_NO_ID)), "tag"), F.lit(buckets)).cast("int").alias("part") for x in ("doc_id", "doc"))
-    fetched = together(docs.select(part, "doc_id", "tag", "text"), wanted.select(of_doc, "item", "doc", "tag", "line"), buckets)
-    texts = space.save(fetched.applyInArrow(_fetch, ", ".join(["node long", "text string", *(f"{x} long" for x in _SKETCH)])))
-    nodes = wanted.select(F.col("item").alias("node"), "size", F.col("size").alias("room"), "weight")
-    sketches = texts.select("node", *_SKETCH)
+    fetched = together(docs.select(part, "doc_id", "tag", "text"), wanted.select(of_doc, "node", "doc", "tag", "line"), buckets)
+    texts = space.save(fetched.applyInArrow(_fetch, "node long, text string"))
+    # a line that stands most often is the likely centre of its near copies
+    keys = keys.select("col", "node", "n", "size", F.col("size").alias("room"), "weight")
+    sketches = wanted.select("node", *_SKETCH)
 
     sides = {s: texts.select(F.col("node").alias(s), F.col("text").alias(f"line_{s}")) for s in "ab"}
 
@@ -548,19 +712,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sketch, pivot_sketch, strict=True)), F.lit(0))
         return 100 * differ <= 100 * (size + pivot_size) - 2 * percent * F.greatest(size, pivot_size)
 
-    groups, _ = linked(space, keys.join(nodes, "node"), verify, percent, sketches, fits)
-    # an item's group is its component, or itself; of each group all places but the first go
-    grouped = items.join(groups.withColumnRenamed("node", "item"), "item", "left").select("item", "first", "weight", F.coalesce("component", "item").alias("component"))
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("weight").alias("n")).where("n > 1").drop("n")
-    kept = grouped.join(firsts, "component").select("item", "kept")
-    gone = places.join(kept, "item").select(F.explode(F.arrays_zip("doc", "tag", "line")).alias("place"), "kept").where("place <> kept")
-    gone = space.save(gone.select("place.doc", "place.tag", "place.line").select(of_doc, "doc", "tag", "line"))
+    groups, _ = linked(space, keys, verify, percent, sketches, fits)
+    # of each group of items, and of each other item, all places but the first go
+    placed = groups.join(wanted.select("node", F.struct("doc", "tag", "line").alias("first")), "node")
+    kept = placed.join(placed.groupBy("component").agg(F.min("first").alias("kept")), "component").select(bucket_of("node"), F.lit(-2).alias("kind"), "node", "kept.*")
+    stand = found.where(F.col("kind").isin(_FIRSTS, _PLACES)).select("bucket", F.when(F.col("kind") == _FIRSTS, -1).otherwise(F.col("kind")).alias("kind"), "payload")
+    dropped = walked(stand.unionByName(kept, allowMissingColumns=True)).mapInArrow(_dropped, "doc long, tag long, line int")
+    gone = space.save(dropped.select(of_doc, "doc", "tag", "line"))
 
     own = ["n_lines", "n_removed", "removed"]
     columns = [c for c in df.columns if c not in own]
     clash = {"part", "doc_id", "text", "tag"}
     inner = {c: c if c not in clash else f"__in_{c}" for c in columns}
-    whole = df.select(*(F.col(c).alias(inner[c]) for c in columns), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+    whole = df.select(*(F.col(c).alias(inner[c]) for c in columns if c != text_col), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     fields = [T.StructField(inner[c], df.schema[c].dataType) for c in columns]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType()))])
     cut = together(whole.withColumn("part", part), gone, buckets).applyInArrow(_cut([inner[c] for c in columns], inner[text_col]), schema)

@@ -27,6 +27,23 @@ def test_unlike_lines_of_a_key_do_not_meet(spark, monkeypatch):
     assert groups and max(groups) <= 3  # a chance fit of 64 bits is allowed for
 
 
+def test_long_unlike_lines_of_a_key_do_not_meet(spark, monkeypatch):
+    """Forty lines of ninety words share a run of twenty and no others: 64 bits do not tell them apart."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    same = [word(30) for _ in range(20)]
+    lines = [[*same, *(word(6) for _ in range(70))] for _ in range(40)]
+    lines += [[*x[:-9], *(word(6) for _ in range(9))] for x in lines[:2]]
+    seen = []
+    real = linededup.linked
+    monkeypatch.setattr(linededup, "linked", lambda space, keys, *a: (seen.append(keys), real(space, keys, *a))[1])
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
+    gone = {r["doc_id"] for r in dedup_lines(df).where("n_removed > 0").collect()}
+    assert gone == {40, 41}
+    groups = [r["count"] for r in seen[0].groupBy("col").count().collect()]
+    assert groups and max(groups) <= 3
+
+
 def test_parts_of_a_key():
     rng = np.random.default_rng(5)
     for n in (1, 2, 40, SQUARE_KEY, SQUARE_KEY + 150):
