@@ -11,7 +11,7 @@ from __future__ import annotations
 import signal
 import threading
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from functools import partial
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ from ..functions.files import ext_of, out_name
 from ..functions.vocab import DEFAULT_QUALITY
 from ..sources import formats, packages, pdf, pdfread, raster, readers, rtf, sound, video
 from ..sources.model import CodecError
-from ..sources.pieces import ARROW, PIECES, as_pieces, assemble, plain_run
+from ..sources.pieces import ARROW, PIECES, as_pieces, assemble, piece_batch, plain_run
 from ..sources.shared import saved
 from . import layout
 
@@ -60,23 +60,40 @@ _PARTS = f"{PIECES}, " + ", ".join(f"{n} {t}" for n, t in _MORE.items())
 _ARROW_PARTS = pa.schema([*ARROW, *((n, _KINDS[t]) for n, t in _MORE.items())])
 
 
-@contextmanager
-def _limited(seconds: float) -> Iterator[None]:
-    """Raise in what runs within when the time is over; a reader that never ends costs its limit."""
+def _over(*_: object) -> None:
+    raise CodecError("encode-timeout")
 
-    def over(*_: object) -> None:
-        raise CodecError("encode-timeout")
 
-    if threading.current_thread() is not threading.main_thread():
+_watched = False
+
+
+@contextmanager
+def _watch() -> Iterator[None]:
+    """Alarms raise where they find the main thread. Set once around many files, as it costs more than small files do."""
+    global _watched
+    if _watched or threading.current_thread() is not threading.main_thread():
         yield
         return
-    before = signal.signal(signal.SIGALRM, over)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+    before, _watched = signal.signal(signal.SIGALRM, _over), True
     try:
         yield
     finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
         signal.signal(signal.SIGALRM, before)
+        _watched = False
+
+
+@contextmanager
+def _limited(seconds: float) -> Iterator[None]:
+    """Raise in what runs within when the time is over; a reader that never ends costs its limit."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    with nullcontext() if _watched else _watch():
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            yield
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
 
 
 #: What recognises the text of a scanned file: its bytes to the text of each page.
@@ -103,7 +120,7 @@ def read_one(ext: str, content: bytes | None, seconds: float = MOST_SECONDS, rec
 BATCH_ROWS, BATCH_BYTES = 5000, 1 << 22
 
 
-def _batches(told: Iterator[tuple[list[dict], int]]) -> Iterator[pa.RecordBatch]:
+def _batches(told: Iterator[tuple[list[dict], int]], schema: pa.Schema = _ARROW_PARTS) -> Iterator[pa.RecordBatch]:
     """Rows of one file after the other, and the bytes of each file, in batches; small files share one, as a batch costs as much as many rows."""
     held, weight = [], 0
     for rows, size in told:
@@ -111,25 +128,50 @@ def _batches(told: Iterator[tuple[list[dict], int]]) -> Iterator[pa.RecordBatch]
         weight += size
         if len(held) >= BATCH_ROWS or weight >= BATCH_BYTES:
             for at in range(0, len(held), BATCH_ROWS):
-                yield pa.RecordBatch.from_pylist(held[at : at + BATCH_ROWS], schema=_ARROW_PARTS)
+                yield piece_batch(held[at : at + BATCH_ROWS], schema)
             held, weight = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema=_ARROW_PARTS)
+        yield piece_batch(held, schema)
+
+
+#: A file that was read: its identity, name and size, what was found in it, its code, and the bytes it has.
+Read = tuple[str, str, int, list[dict], str | None, int]
+
+
+def _read_all(batches: Iterator[pa.RecordBatch], seconds: float, recognise: Engine | None) -> Iterator[Read]:
+    with _watch():
+        for b in batches:
+            for hid, name, size, ext, content in zip(*(b.column(c).to_pylist() for c in ("hid", "name", "size", "ext", "content")), strict=True):
+                rows, code = read_one(ext, content, seconds, recognise)
+                for r in rows:
+                    r["file_id"] = hid
+                yield hid, name, size, rows, code, len(content or b"")
+
+
+def _to_read(files: DataFrame) -> DataFrame:
+    return files.select(F.col("hid").cast("string").alias("hid"), "name", F.col("size").cast("long").alias("size"), ext_of(F.col("name")).alias("ext"), "content")
 
 
 def parts(files: DataFrame, seconds: float = MOST_SECONDS, recognise: Engine | None = None) -> DataFrame:
     """(hid, name, size, content) -> the rows of all readers, and one of kind "file" for each file, written once."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], int]]:
-        for b in batches:
-            contents = b.column("content")
-            for k, (hid, name, size, ext) in enumerate(zip(*(b.column(c).to_pylist() for c in ("hid", "name", "size", "ext")), strict=True)):
-                content = contents[k].as_py()
-                rows, code = read_one(ext, content, seconds, recognise)
-                yield [{"kind": "file", "file_id": hid, "name": name, "size": size, "code": code}, *({"kind": "piece", **r, "file_id": hid} for r in rows)], len(content or b"")
+        for hid, name, size, rows, code, weight in _read_all(batches, seconds, recognise):
+            yield [{"kind": "file", "file_id": hid, "name": name, "size": size, "code": code}, *({"kind": "piece", **r} for r in rows)], weight
+
+    return saved(_to_read(files).mapInArrow(lambda batches: _batches(told(batches)), _PARTS), "kind")
+
+
+def read_pieces(files: DataFrame, seconds: float = MOST_SECONDS) -> DataFrame:
+    """(hid, name, size, content) -> the pieces of DOCX, EPUB and rich text files, whose readers give no other rows. One reader follows, so nothing is written in between."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], int]]:
+        for _, name, _, rows, _, weight in _read_all(batches, seconds, None):
+            if any("kind" in r for r in rows):
+                raise ValueError(f"{name} is read as more than pieces")
+            yield rows, weight
 
-    rows = files.select(F.col("hid").cast("string").alias("hid"), "name", F.col("size").cast("long").alias("size"), ext_of(F.col("name")).alias("ext"), "content")
-    return saved(rows.mapInArrow(lambda batches: _batches(told(batches)), _PARTS), "kind")
+    return _to_read(files).mapInArrow(lambda batches: _batches(told(batches), ARROW), PIECES)
 
 
 def _laid_out(glyphs: DataFrame) -> DataFrame:

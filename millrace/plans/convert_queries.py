@@ -196,14 +196,15 @@ _CELLS = "cells AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_or
 
 def _tables(spark, sf_dir, target, end):
     """Orders as tables with empty cells and short rows, written in a format and read again."""
-    lines = i.table(spark, sf_dir, "lineitem")
+    # dealt by what tells the files apart, so that they are put together where their lines lie
+    lines = i.table(spark, sf_dir, "lineitem").withColumn("file_id", F.col("l_orderkey").cast("string"))
     middle = F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.concat("l_returnflag", F.lit(" & <"), "l_linestatus", F.lit(">")))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
     placed = lines.withColumn("row", place)
-    cells = placed.select(F.col("l_orderkey").cast("string").alias("file_id"), "row", F.posexplode(F.array(F.col("l_suppkey").cast("string"), middle, F.when(F.col("l_quantity") > 25, F.col("l_partkey").cast("string")))).alias("col", "text")).where("text IS NOT NULL")
+    cells = placed.select("file_id", "row", F.posexplode(F.array(F.col("l_suppkey").cast("string"), middle, F.when(F.col("l_quantity") > 25, F.col("l_partkey").cast("string")))).alias("col", "text")).where("text IS NOT NULL")
     pieces = as_pieces(cells, file_id=F.col("file_id"), seq=F.lit(0), t=F.lit("table"), row=F.col("row"), col=F.col("col"), runs=F.array(plain_run(F.col("text"))))
     made = c.encode(pieces, target).select(F.col("file_id").alias("hid"), F.lit(f"t{end}").alias("name"), F.octet_length("content").alias("size"), "content")
-    back = c.pieces_of(c.parts(made)).where("t = 'table'")
+    back = c.read_pieces(made).where("t = 'table'")
     return back.select(F.col("file_id").cast("long").alias("l_orderkey"), "row", "col", text_of(F.col("runs")).alias("text"))
 
 

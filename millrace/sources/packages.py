@@ -11,6 +11,7 @@ import binascii
 import posixpath
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -76,6 +77,7 @@ def _media_type(path: str) -> str:
     return _MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "image/png")
 
 
+@lru_cache(4096)
 def _within(folder: str, path: str) -> str:
     """A path as the archive names it: relative to a folder, or from the root."""
     return posixpath.normpath(posixpath.join("/", folder, path.replace("\\", "/"))).lstrip("/")
@@ -117,17 +119,29 @@ def _inline_data(source: str) -> tuple[bytes, str] | None:
         return None
 
 
+#: Bytes of a container that is remembered.
+_LARGEST_CONTAINER = 4096
+
+
+@lru_cache(64)
+def _roots(container: bytes) -> list[str]:
+    """Paths of the packages that a container names; books of one maker have the same container."""
+    found: list[str] = []
+
+    def root(attrs: dict) -> None:
+        if attrs.get("full-path"):
+            found.append(attrs["full-path"])
+
+    xml_events(container, {"rootfile": root})
+    return found
+
+
 def epub(content: bytes) -> list[dict]:
     """Blocks of the chapters of a book in the order of its spine."""
     parts = archive.read(content)
-    roots: list[str] = []
     manifest: dict[str, tuple[str, str]] = {}
     order: list[str] = []
 
-    def root(attrs: dict) -> None:
-        if attrs.get("full-path"):
-            roots.append(attrs["full-path"])
-
     def item(attrs: dict) -> None:
         manifest[attrs.get("id", "")] = _within(folder, attrs.get("href", "").partition("#")[0]), attrs.get("media-type", "")
 
@@ -135,7 +149,8 @@ def epub(content: bytes) -> list[dict]:
         order.append(attrs.get("idref", ""))
 
     try:
-        xml_events(parts.get("META-INF/container.xml", b""), {"rootfile": root})
+        container = parts.get("META-INF/container.xml", b"")
+        roots = (_roots if len(container) <= _LARGEST_CONTAINER else _roots.__wrapped__)(container)
         if not roots or roots[0] not in parts:
             raise CodecError("epub-corrupt")
         folder = posixpath.dirname(roots[0])
@@ -146,19 +161,17 @@ def epub(content: bytes) -> list[dict]:
     for name in order:
         path, kind = manifest.get(name, ("", ""))
         if path in parts and ("html" in kind or "xml" in kind):
-            first = out[-1]["seq"] + 1 if out else 0
+            first, own = out[-1]["seq"] + 1 if out else 0, posixpath.dirname(path)
             for block in xhtml_blocks(parts[path]):
                 block["seq"] += first
-                out += _drawn(block, posixpath.dirname(path), parts)
+                out += [block] if block["t"] != "img" else _drawn(block, own, parts)
     if not out:
         raise CodecError("epub-no-text")
     return out
 
 
 def _drawn(block: dict, folder: str, parts: dict[str, bytes]) -> list[dict]:
-    """A block; for a picture its bytes, or what it is called if there are none."""
-    if block["t"] != "img":
-        return [block]
+    """A picture with its bytes, or what it is called if there are none."""
     source = block["mime"]
     path = _within(folder, source.partition("#")[0])
     found = _inline_data(source) if source.startswith("data:") else (parts[path], _media_type(path)) if path in parts else None
@@ -207,9 +220,10 @@ def _closed(files: DataFrame, first: list[Column | tuple[str, str, bool]], folde
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, members, made = b.column("file_id"), b.column("members"), []
-            for k in range(b.num_rows):
-                own = [(m["name"], m["data"] or b"", True) for m in members[k].as_py()]
-                rest = iter(own)
+            names, data = (members.values.field(n).to_pylist() for n in ("name", "data"))
+            places = members.offsets.to_pylist()
+            for start, end in zip(places, places[1:], strict=False):
+                rest = iter([(names[k], data[k] or b"", True) for k in range(start, end)])
                 made.append(archive.write([*(m or next(rest) for m in fixed), *rest]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["file_id", "content"])
 

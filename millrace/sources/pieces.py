@@ -25,9 +25,21 @@ ARROW = pa.schema([("file_id", pa.string()), ("seq", pa.int64()), ("t", pa.strin
 NAMES = ["file_id", "seq", "t", "level", "row", "col", "runs", "data", "mime", "alt"]
 
 
-def piece_batch(rows: list[dict]) -> pa.RecordBatch:
+def _runs(held: list[list[dict] | None]) -> pa.Array:
+    """Runs by columns: their texts and flags, and where those of a row begin."""
+    flat = [r for runs in held if runs for r in runs]
+    starts, at = [], 0
+    for runs in held:
+        starts.append(None if runs is None else at)
+        at += len(runs or ())
+    columns = [pa.array([r[f.name] for r in flat], f.type) for f in _RUN]
+    return pa.ListArray.from_arrays(pa.array([*starts, at], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_RUN)), type=pa.list_(_RUN))
+
+
+def piece_batch(rows: list[dict], schema: pa.Schema = ARROW) -> pa.RecordBatch:
     """Pieces as Python rows, in the columns of a batch; what a row lacks is null."""
-    return pa.RecordBatch.from_pylist(rows, schema=ARROW)
+    columns = [[r.get(f.name) for r in rows] for f in schema]
+    return pa.RecordBatch.from_arrays([_runs(c) if f.name == "runs" else pa.array(c, f.type) for f, c in zip(schema, columns, strict=True)], schema=schema)
 
 
 def plain_run(text: Column, b: Column | None = None, i: Column | None = None) -> Column:
@@ -65,35 +77,52 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _in_order(columns: list[str], *by: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*by, *columns)))
+def _stretches(items: Column, *by: str) -> Column:
+    """Neighbours in an array of structs that agree in ``by``, an array each. The array is sorted by that, so that all agree if the ends do."""
+
+    def same(x: Column, y: Column) -> Column:
+        agree = x[by[0]].eqNullSafe(y[by[0]])
+        for n in by[1:]:
+            agree = agree & x[n].eqNullSafe(y[n])
+        return agree
+
+    def cut(a: Column) -> Column:
+        starts = F.filter(F.transform(a, lambda x, k: F.when((k == 0) | ~same(x, F.get(a, k - 1)), k)), lambda k: k.isNotNull())
+        several = bound(starts, lambda found: F.transform(found, lambda s, k: F.slice(a, s + 1, F.coalesce(F.get(found, k + 1), F.size(a)) - s)))
+        return F.when(same(a[0], F.get(a, F.size(a) - 1)), F.array(a)).otherwise(several)
+
+    return bound(items, cut)
+
+
+def _first_of(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def assemble(pieces: DataFrame, f: Format) -> DataFrame:
-    """file_id, body, title (text of the first heading) and pictures (array of number, data, mime, alt) of every file. One shuffle by file; cells, rows and blocks are
-    gathered within it."""
-    dealt = pieces.repartition("file_id").withColumn("cell", F.array_join(F.transform(F.col("runs"), f.run), ""))
-    picture = F.first(F.when(F.col("t") == "img", F.struct("data", F.coalesce("mime", F.lit("image/png")).alias("mime"), F.coalesce("alt", F.lit("")).alias("alt"))), ignorenulls=True)
-    head = F.first(F.when(F.col("t") == "h", text_of(F.col("runs"))), ignorenulls=True)
-    rows = dealt.groupBy("file_id", "seq", "t", "level", "row").agg(_in_order(["cell"], "col").alias("cells"), picture.alias("picture"), head.alias("head"))
-    blocks = rows.groupBy("file_id", "seq", "t", "level").agg(_in_order(["cells"], "row").alias("rows"), F.first("picture", ignorenulls=True).alias("picture"), F.first("head", ignorenulls=True).alias("head"))
-    files = blocks.groupBy("file_id").agg(_in_order(["t", "level", "rows", "picture", "head"], "seq").alias("blocks"))
+    """file_id, body, title (text of the first heading) and pictures (array of number, data, mime, alt) of every file. The pieces of a file are gathered and sorted once, without a
+    shuffle where they lie by file already; blocks, rows and cells are stretches of them."""
+    cell = F.array_join(F.transform(F.col("runs"), f.run), "")
+    picture = F.when(F.col("t") == "img", F.struct("data", F.coalesce("mime", F.lit("image/png")).alias("mime"), F.coalesce("alt", F.lit("")).alias("alt")))
+    head = F.when(F.col("t") == "h", text_of(F.col("runs")))
+    placed = F.struct("seq", "t", "level", "row", "col", cell.alias("cell"), picture.alias("picture"), head.alias("head"))
+    files = pieces.groupBy("file_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+    block = lambda b: F.struct(b[0]["seq"].alias("seq"), b[0]["t"].alias("t"), b[0]["level"].alias("level"), b.alias("placed"), _first_of(b["picture"]).alias("picture"))
+    blocks = files.select("file_id", F.transform(_stretches(F.col("placed"), "seq", "t", "level"), block).alias("blocks"), F.coalesce(_first_of(F.col("placed")["head"]), F.lit("")).alias("title"))
     drawn = F.filter("blocks", lambda b: b["t"] == "img")
-    numbered = files.withColumn("places", F.transform(drawn, lambda b: b["seq"])).withColumn("pictures", F.transform(drawn, lambda b, k: F.struct((k + 1).alias("number"), b["picture"]["data"].alias("data"), b["picture"]["mime"].alias("mime"), b["picture"]["alt"].alias("alt"))))
+    numbered = blocks.withColumn("places", F.transform(drawn, lambda b: b["seq"])).withColumn("pictures", F.transform(drawn, lambda b, k: F.struct((k + 1).alias("number"), b["picture"]["data"].alias("data"), b["picture"]["mime"].alias("mime"), b["picture"]["alt"].alias("alt"))))
 
     def written(b: Column) -> Column:
-        def lines(most: Column) -> Column:
+        def lines(rows: Column, most: Column) -> Column:
             def line(r: Column) -> Column:
-                cells = F.transform(r["cells"], lambda c: c["cell"])
+                cells = r["cell"]
                 empty = f.run(plain_run(F.lit("")))
                 whole = F.concat(cells, F.array_repeat(empty, F.greatest(most - F.size(cells), F.lit(0)))) if f.padded else cells
-                return bound(whole, lambda full: f.row(b["t"], r["row"], full))
+                return bound(whole, lambda full: f.row(b["t"], r[0]["row"], full))
 
-            return bound(F.transform(b["rows"], line), lambda made: f.block(b["t"], b["level"], made, most))
+            return bound(F.transform(rows, line), lambda made: f.block(b["t"], b["level"], made, most))
 
-        text = bound(F.array_max(F.transform(b["rows"], lambda r: F.size(r["cells"]))), lines)
+        text = bound(_stretches(b["placed"], "row"), lambda rows: bound(F.array_max(F.transform(rows, F.size)), lambda most: lines(rows, most)))
         p = b["picture"]
         return F.when(b["t"] == "img", f.picture(F.array_position("places", b["seq"]), p["data"], p["mime"], p["alt"])).otherwise(text)
 
-    heads = F.filter(F.transform("blocks", lambda b: b["head"]), lambda h: h.isNotNull())
-    return numbered.select("file_id", f.whole(F.transform("blocks", written)).alias("body"), F.coalesce(F.get(heads, F.lit(0)), F.lit("")).alias("title"), "pictures")
+    return numbered.select("file_id", f.whole(F.transform("blocks", written)).alias("body"), "title", "pictures")
