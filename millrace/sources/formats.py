@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.glyphs import base64_line, md_escape, rtf_escape
 from ..functions.text import xml_escape
 from .media import jpeg_size, png_size
-from .pieces import Format, picture_label
+from .pieces import Format, bound, picture_label
 
 
 def _text(r: Column) -> Column:
@@ -157,8 +157,8 @@ def _word_run(r: Column) -> Column:
 def _word_row(t: Column, row: Column, cells: Column) -> Column:
     joined = F.array_join(cells, "")
     listed = F.concat(F.lit('<w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="'), F.when(t == "ol", "2").otherwise("1"), F.lit('"/></w:numPr></w:pPr>'), joined, F.lit("</w:p>"))
-    size = _column_width(F.size(cells)).cast("string")
-    cell = F.array_join(F.transform(cells, lambda c: F.concat(F.lit('<w:tc><w:tcPr><w:tcW w:type="dxa" w:w="'), size, F.lit('"/></w:tcPr><w:p>'), c, F.lit("</w:p></w:tc>"))), "")
+    begun = F.concat(F.lit('<w:tc><w:tcPr><w:tcW w:type="dxa" w:w="'), _column_width(F.size(cells)).cast("string"), F.lit('"/></w:tcPr><w:p>'))
+    cell = bound(begun, lambda start: F.array_join(F.transform(cells, lambda c: F.concat(start, c, F.lit("</w:p></w:tc>"))), ""))
     return F.when(_is(t, "ul", "ol"), listed).when(t == "table", _wrapped("w:tr", cell)).otherwise(joined)
 
 

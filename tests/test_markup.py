@@ -117,3 +117,13 @@ def test_files_read_as_more_than_pieces_are_refused(spark):
         convert.read_pieces(files).collect()
     broken = files.withColumn("name", F.lit("a.docx"))
     assert convert.read_pieces(broken).collect() == []
+
+
+def test_the_width_of_a_cell_is_computed_once_a_row(spark):
+    """And not within what is done for each cell."""
+    rows = spark.createDataFrame([("a", 0, "table", None, 0, c, [("x", False, False)], None, None, None) for c in range(4)], pieces.PIECES)
+    made = pieces.assemble(rows, formats.WORD)
+    assert made.first().body.count('<w:tcW w:type="dxa" w:w="2256"/>') == 4
+    plan = made._jdf.queryExecution().analyzed().toString()
+    per_cell = plan[plan.index("concat(<w:tr>") :].split("</w:p></w:tc>")[0]
+    assert "FLOOR" not in per_cell[per_cell.index("array_join(transform(") :].split("lambdafunction(concat(")[-1]
